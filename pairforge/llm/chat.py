@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .base import tuned
+
 PIECE = 64
 START, END, SEP, LINE = "<|im_start|>", "<|im_end|>\n", "<|im_sep|>", "<|im_nl|>"
 _BLOCK = "array<struct<role:string,texts:array<string>>>"
@@ -45,6 +47,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     turns come first; null role and text are empty; rows without conv_id are left out; other columns are ignored. Runs
     are in code points; loss is true for the texts of role assistant, a run for each, and false for everything else.
     """
+    tuned(turns.sparkSession)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.replace(escape(_text("role")), F.lit("\n"), F.lit(LINE)).alias("role"), escape(_text("text")).alias("text")).where("conv_id is not null")
     pieces = rows.groupBy("conv_id", F.floor(F.col("turn") / PIECE).alias("piece")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     pieces = pieces.select("conv_id", "piece", F.aggregate("turns", F.array().cast(_BLOCK), _merged).alias("runs"))
@@ -64,7 +67,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
 def read_back(chats: DataFrame) -> DataFrame:
     """(conv_id, turns, loss_texts, formatted): roles and texts, and the texts under the mask, read from the formatted text alone and its mask."""
     quoted = lambda s: "".join(f"\\{c}" if c in "<|>" else c for c in s)
-    chats = chats.withColumn("segments", F.slice(F.split("formatted", quoted(START), -1), 2, 2**31 - 1))
+    chats = chats.withColumn("segments", F.filter(F.split("formatted", quoted(START), -1), lambda s, k: k > 0))
     cut = F.transform("segments", lambda s: F.struct(F.substring_index(s, "\n", 1).alias("role"), F.substring(s, F.instr(s, "\n") + 1, F.length(s)).alias("rest")))
     chats = chats.withColumn("runs", F.transform(cut, lambda s: F.struct(F.replace(s["role"], F.lit(LINE), F.lit("\n")).alias("role"), F.split(F.substring(s["rest"], F.lit(1), F.length(s["rest"]) - len(END)), quoted(SEP), -1).alias("texts"))))
     chats = chats.withColumn("raw", F.flatten(F.transform("runs", lambda r: F.transform(r["texts"], lambda t: F.struct(unescape(r["role"]).alias("role"), t.alias("text"))))))

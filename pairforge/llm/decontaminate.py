@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import id_text
+from .base import id_text, tuned
 
 K = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,7 +36,10 @@ def _minima(g: Column, w: int) -> Column:
 
 
 def fingerprints(df: DataFrame, window: int, short: list[int]) -> DataFrame:
-    """Adds fps: the distinct minima of windows, and all grams of the short lengths, of the column words; step by step, so that nothing is worked out twice."""
+    """Adds fps: the distinct minima of windows, and all grams of the short lengths, of the column words; step by step, so that nothing is worked out twice.
+
+    Callers use explode_outer: a plain explode would push a filter on the size of fps, with all that makes it, below every step.
+    """
     k = min(K, window)
     df = df.withColumn("h", F.transform("words", lambda x: F.xxhash64(x)))
     df = df.withColumn("g", _grams(F.col("h"), k))
@@ -61,13 +64,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     whole short items; repeated rows are judged each; other columns are ignored; with an empty benchmark nothing is hit.
     The join leaves it to Spark to broadcast the item windows, which it does below its size threshold only.
     """
+    tuned(docs.sparkSession)
     docs = id_text(docs).withColumn("tag", F.xxhash64("text"))
     wins = item_windows(benchmark, window)
     # At most window - 1 lengths; most benchmarks have none.
     short = sorted(r.n for r in wins.where(F.col("n") < window).select("n").distinct().collect())
     found = fingerprints(docs.select("doc_id", "tag", words(F.col("text")).alias("words")), window, short)
-    found = found.select("doc_id", "tag", F.explode("fps").alias("fp"))
-    whole = fingerprints(wins.where(F.col("n") == window).withColumnRenamed("win", "words"), window, []).select("n", F.col("words").alias("win"), "items", F.explode("fps").alias("fp"))
+    found = found.select("doc_id", "tag", F.explode_outer("fps").alias("fp")).where("fp is not null")
+    whole = fingerprints(wins.where(F.col("n") == window).withColumnRenamed("win", "words"), window, []).select("n", F.col("words").alias("win"), "items", F.explode_outer("fps").alias("fp"))
     keyed = whole
     for n in short:
         one = wins.where(F.col("n") == n).withColumn("h", F.transform("win", lambda x: F.xxhash64(x)))

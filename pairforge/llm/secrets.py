@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import id_text
+from .base import id_text, tuned
 
 #: The base patterns, their kinds in order, and the least length of what each must hold.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -101,6 +101,7 @@ def scan_secrets(df: DataFrame) -> DataFrame:
     non-overlapping for each; spans also those of the method. Null text counts as empty and has none. The table must not
     have columns of the names base, spans, assign, access, hex or random; scan() picks its own columns.
     """
+    tuned(df.sparkSession)
     text = F.col("text")
     df = df.withColumn("text", F.coalesce(text.cast("string"), F.lit("")))
     df = df.withColumns({"assign": _spans(text, ASSIGN, 0, 6, 2), "access": _spans(text, ACCESS, 1, 20), "hex": _spans(text, HEX, 2)})

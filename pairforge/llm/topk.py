@@ -117,8 +117,8 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     groups = max(1, -(-n_q // QUERIES))
 
     def spread(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        """Each row's own block, once for each of the other side's."""
-        return df.withColumn(own, F.pmod(F.xxhash64("rep"), F.lit(n_own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+        """Each row's own block, once for each of the other side's; fresh columns, as both sides stem from one table."""
+        return df.select(*(F.col(x).alias(x) for x in df.columns)).withColumn(own, F.pmod(F.xxhash64("rep"), F.lit(n_own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
 
     placed = spread(cands.select("rep", "v", "dim"), "c", blocks, "q", groups)
     key = ["dim", "c", "q"]
