@@ -33,7 +33,7 @@ TEMPLATES = {
 }
 GRAM, SLACK = 4, 3
 #: A span counts with so many votes, and so large a share of the template words between its first and last hit.
-VOTES, SHARE = 5, 0.6
+VOTES, SHARE = 10, 0.6
 
 
 def template_positions() -> list[tuple[str, int, int]]:

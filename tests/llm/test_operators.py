@@ -386,9 +386,9 @@ def licenses_brute(rows):
 
 def test_licenses_match_brute_force(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
-    rows += [r for r in hostile() if r[0] is not None] + [(50, "MIT License\nCC-BY cc by; (Apache) LICENSE gnu General public license, MIT license"), (51, licenses.TEMPLATES["bsd"]), (52, "x " * 20 + licenses.TEMPLATES["mit"].replace("deal in", "deal freely in") + " y" * 9)]
+    rows += [r for r in hostile() if r[0] is not None] + [(9050, "MIT License\nCC-BY cc by; (Apache) LICENSE gnu General public license, MIT license"), (9051, licenses.TEMPLATES["bsd"]), (9052, "x " * 20 + licenses.TEMPLATES["mit"].replace("deal in", "deal freely in") + " y" * 9)]
     got = licenses.scan_licenses(table(spark, rows)).collect()
     assert sorted((r.doc_id, r.n_words, r.n_base, -1 if r.first_word is None else r.first_word, -1 if r.last_word is None else r.last_word, r.base_labels) for r in got) == licenses_brute(rows)
     by = {r.doc_id: r for r in got}
-    assert by[51].labels == "bsd" and by[51].score == 1.0 and by[52].labels == "mit" and by[52].score > 0.9 and by[52].base_labels == ""
+    assert by[9051].labels == "bsd" and by[9051].score == 1.0 and by[9052].labels == "mit" and by[9052].score > 0.9 and by[9052].base_labels == ""
     assert licenses.scan_licenses(table(spark, [])).count() == 0
