@@ -54,7 +54,7 @@ def strict_verdict(text: Column) -> tuple[Column, Column]:
     body = F.lower(strip_code_span(text))
     plain, tags = r"^([abcd])\s+([+-]?\d{1,9})$", r"^<choice>\s*([abcd])\s*</choice>\s*<confidence>\s*([+-]?\d{1,9})\s*</confidence>$"
     take = lambda k: F.when(body.rlike(plain), F.regexp_extract(body, plain, k)).when(body.rlike(tags), F.regexp_extract(body, tags, k))
-    return take(1), F.least(F.greatest(take(2).cast("int"), F.lit(1)), F.lit(5))
+    return take(1), F.when(take(2).isNotNull(), F.least(F.greatest(take(2).cast("int"), F.lit(1)), F.lit(5)))
 
 
 def deswap(choice: Column, side_a: Column, side_b: Column) -> Column:
