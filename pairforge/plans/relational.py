@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions import verdicts
+from ..operators import collect
 from ..operators import panel as P
 from ..operators import sampling as X
 from ..sources import fixture as fx
+from ..sources.readers import RESPONSE
 from .base import CANONICAL, JUDGMENTS, MU_SQL, PANEL, RECORDS, query
 
 R6 = lambda c: F.round(c, 6)
@@ -514,3 +517,31 @@ def nll(spark, sf):
     d = scored(P.counts(llm(spark, sf), "k", "i", "j", "a"), spark).withColumn("eta", eta)
     y = F.col("y2") / 2.0
     return d.agg(F.round(F.sum(y * S.softplus(-F.col("eta")) + (F.col("n") - y) * S.softplus(F.col("eta"))), 4).alias("nll"))
+
+
+# -- collection ------------------------------------------------------------------------------------------------------
+
+
+@query(name="stub_judge")
+def stub_judge(spark, sf):
+    """Jobs through the stub judge and the full reading of its replies."""
+    return collect.stub_judge(build_messages(spark, sf)).withColumn("v", verdicts.full_verdict(F.col("raw_response"))).select("record_id", "a_first", "raw_response", "v.choice", "v.confidence")
+
+
+@query(name="parse_verdict_full")
+def parse_verdict_full(spark, sf):
+    return stub_judge(spark, sf).groupBy("choice", "confidence").agg(F.count("*").alias("n"))
+
+
+@query(name="chunk_requests")
+def chunk_requests(spark, sf):
+    docs = fx.table(spark, sf, "documents").select("doc_id", F.col("lang"), S.token_estimate(F.col("text")).alias("tokens"))
+    return collect.greedy_chunks(docs, "lang", "doc_id", 50, 20_000)
+
+
+@query(name="jsonl_scan")
+def jsonl_scan(spark, sf):
+    """The log scan over lines as they lie in a response log, one of them cut off."""
+    line = F.to_json(F.struct(F.col("record_id").cast("string").alias("id"), F.concat(F.lit("judge_"), F.col("judge").cast("string")).alias("judge"), F.col("verdict").alias("canonical_verdict")))
+    lines = fx.judgments(spark, sf).where("judge < 2").select(F.when(F.col("record_id") % 97 == 0, F.substring(line, 1, 9)).otherwise(line).alias("line"))
+    return lines.select(F.from_json("line", RESPONSE).alias("r")).where("r.id is not null").select("r.id", "r.judge", "r.canonical_verdict")

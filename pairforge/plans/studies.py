@@ -1 +1,349 @@
-"""Studies as queries."""
+"""Study designs, result tables and their summaries; cells fan out as grouped tasks."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..kernel import solver as K
+from ..operators import sampling as X
+from ..sources import fixture as fx
+from .base import PANEL, query
+from .estimation import _PATH_ROWS, ITEMS, N_ITEMS, N_JUDGES, TRUTH, cells, fitted, split  # noqa: F401
+from .relational import R6, human, llm
+
+METHODS = ("human_only", "consensus_cal", "staged_w", "joint")
+KEY = ["sweep", "panel", "level", "method"]
+_GRID = """
+jobs AS (SELECT s.sweep, p.panel, l.level, d.seed FROM (VALUES ('order'),('budget')) s(sweep), (VALUES ('all'),('small')) p(panel), (VALUES (0),(1),(2)) l(level), range(20) d(seed) WHERE s.sweep = 'order' OR l.level > 0),
+raw AS (SELECT j.*, m.method, CAST('0x' || substr(md5(j.sweep || '|' || j.panel || '|' || j.level || '|' || j.seed || '|' || m.method), 1, 7) AS BIGINT) AS u FROM jobs j, (VALUES ('human_only'),('consensus_cal'),('staged_w'),('joint')) m(method)),
+results AS (SELECT sweep, panel, level, CAST(seed AS INT) AS seed, method, CASE WHEN u % 17 = 0 THEN NULL ELSE (u % 1000) / 1000.0::DOUBLE END AS excess, (u % 7) / 7.0::DOUBLE AS tau, CASE WHEN u % 5 = 0 THEN NULL ELSE (u % 50)::DOUBLE END AS lam, u % 17 = 0 AS failed, u % 11 = 0 AS irregular FROM raw)"""
+
+
+def job_table(spark) -> DataFrame:
+    """sweep x panel x level x seed; level 0 only where the sweep has a base."""
+    arr = lambda *v: F.explode(F.array(*map(F.lit, v)))
+    d = spark.range(20).select(F.col("id").cast("int").alias("seed")).select("seed", arr("order", "budget").alias("sweep")).select("*", arr("all", "small").alias("panel")).select("*", arr(0, 1, 2).alias("level"))
+    return d.where((F.col("sweep") == "order") | (F.col("level") > 0)).select("sweep", "panel", "level", "seed")
+
+
+def results(spark) -> DataFrame:
+    """Result rows of a finished study, made up by hash: one per job and method."""
+    d = job_table(spark).select("*", F.explode(F.array(*map(F.lit, METHODS))).alias("method"))
+    u = S.uniform28("sweep", "panel", F.col("level").cast("string"), F.col("seed").cast("string"), "method")
+    d = d.withColumn("u", u)
+    return d.select(*KEY, "seed", F.when(F.col("u") % 17 != 0, F.col("u") % 1000 / 1000.0).alias("excess"), (F.col("u") % 7 / 7.0).alias("tau"), F.when(F.col("u") % 5 != 0, (F.col("u") % 50).cast("double")).alias("lam"), (F.col("u") % 17 == 0).alias("failed"), (F.col("u") % 11 == 0).alias("irregular"))
+
+
+def sem(c: str):  # noqa: ANN201
+    """Standard error over what isn't null; null for one value."""
+    return F.stddev_samp(c) / F.sqrt(F.count(c))
+
+
+@query("SELECT sweep, panel, level, CAST(seed AS INT) AS seed FROM jobs", _GRID)
+def jobs(spark, sf):
+    return job_table(spark)
+
+
+@query("SELECT sweep, panel, level, method, seed, round(excess, 6) AS excess, failed FROM results", _GRID, "explode_jobs")
+@query("SELECT sweep, panel, level, method, seed, round(excess, 6) AS excess, failed FROM results", _GRID)
+def load_results(spark, sf):
+    """Through the stored form: one JSON line per job with its rows nested, exploded again; bare NaN is null."""
+    row = F.struct("method", "excess", "failed")
+    stored = results(spark).groupBy("sweep", "panel", "level", "seed").agg(F.to_json(F.struct(F.collect_list(row).alias("rows"))).alias("line"))
+    parsed = F.from_json("line", "rows array<struct<method:string,excess:double,failed:boolean>>")
+    flat = stored.select("sweep", "panel", "level", "seed", F.explode(parsed["rows"]).alias("r"))
+    return flat.select("sweep", "panel", "level", "r.method", "seed", R6(F.when(~F.isnan("r.excess"), F.col("r.excess"))).alias("excess"), "r.failed")
+
+
+@query("SELECT r.sweep, r.panel, r.level, r.method, r.seed, b.sweep IS NOT NULL AS irregular FROM results r LEFT JOIN (SELECT DISTINCT sweep, panel, level, seed FROM results WHERE irregular) b USING (sweep, panel, level, seed)", _GRID)
+def load_sim(spark, sf):
+    r = results(spark)
+    key = ["sweep", "panel", "level", "seed"]
+    return r.drop("irregular").join(r.where("irregular").select(*key, F.lit(True).alias("bad")).distinct(), key, "left").select(*KEY, "seed", F.coalesce("bad", F.lit(False)).alias("irregular"))
+
+
+_DIFF = _GRID + ", diffs AS (SELECT r.sweep, r.panel, r.level, r.method, r.seed, r.excess - h.excess AS diff FROM results r JOIN results h USING (sweep, panel, level, seed) WHERE h.method = 'human_only')"
+
+
+def diffs(spark) -> DataFrame:
+    r = results(spark)
+    base = r.where("method = 'human_only'").select("sweep", "panel", "level", "seed", F.col("excess").alias("base"))
+    return r.join(base, ["sweep", "panel", "level", "seed"]).select(*KEY, "seed", (F.col("excess") - F.col("base")).alias("diff"))
+
+
+@query("SELECT sweep, panel, level, method, seed, round(diff, 6) AS diff FROM diffs", _DIFF)
+def paired_diff(spark, sf):
+    return diffs(spark).withColumn("diff", R6("diff"))
+
+
+_AGG = "SELECT sweep, panel, level, method, count(*) AS n, round(avg(excess), 6) AS excess, round(stddev_samp(excess) / sqrt(count(excess)), 6) AS excess_se, round(avg(tau), 6) AS tau, round(median(lam), 6) AS lam_median, round(avg((lam IS NULL)::INT), 6) AS share_anchor, count(*) FILTER (WHERE failed) AS n_failed FROM results GROUP BY ALL"
+
+
+def _aggregate(r: DataFrame, *key: str) -> DataFrame:
+    return r.groupBy(*key).agg(F.count("*").alias("n"), R6(F.avg("excess")).alias("excess"), R6(sem("excess")).alias("excess_se"), R6(F.avg("tau")).alias("tau"), R6(F.percentile("lam", 0.5)).alias("lam_median"), R6(F.avg(F.col("lam").isNull().cast("int"))).alias("share_anchor"), F.count_if("failed").alias("n_failed"))
+
+
+@query(_AGG, _GRID)
+def agg_results(spark, sf):
+    return _aggregate(results(spark), *KEY)
+
+
+@query("SELECT method, round(stddev_samp(excess) / sqrt(count(excess)), 6) AS sem FROM results GROUP BY 1", _GRID)
+def sem_by_method(spark, sf):
+    return results(spark).groupBy("method").agg(R6(sem("excess")).alias("sem"))
+
+
+@query("SELECT sweep, level, round(avg((tau > 0.5)::INT), 6) AS reject_rate, count(*) AS n FROM results GROUP BY ALL", _GRID)
+def agg_spectest(spark, sf):
+    return results(spark).groupBy("sweep", "level").agg(R6(F.avg((F.col("tau") > 0.5).cast("int"))).alias("reject_rate"), F.count("*").alias("n"))
+
+
+@query("SELECT sweep, level, method, count(*) FILTER (WHERE NOT irregular) AS n, count(*) FILTER (WHERE irregular) AS n_irregular, round(avg(excess) FILTER (WHERE NOT irregular), 6) AS excess FROM results GROUP BY ALL", _GRID)
+def agg_sim(spark, sf):
+    ok = ~F.col("irregular")
+    return results(spark).groupBy("sweep", "level", "method").agg(F.count_if(ok).alias("n"), F.count_if("irregular").alias("n_irregular"), R6(F.avg(F.when(ok, F.col("excess")))).alias("excess"))
+
+
+@query("SELECT sweep, panel, level, method, round(avg(diff), 6) AS mean_diff, round(stddev_samp(diff) / sqrt(count(diff)), 6) AS se_diff FROM diffs GROUP BY ALL", _DIFF)
+def summarize(spark, sf):
+    return diffs(spark).groupBy(*KEY).agg(R6(F.avg("diff")).alias("mean_diff"), R6(sem("diff")).alias("se_diff"))
+
+
+@query("SELECT r.sweep, r.panel, r.level, r.method, round(avg(r.excess) - any_value(c.base), 6) AS delta FROM results r LEFT JOIN (SELECT sweep, panel, level, avg(excess) AS base FROM results WHERE method = 'consensus_cal' GROUP BY ALL) c USING (sweep, panel, level) GROUP BY ALL", _GRID)
+def delta_vs_cons(spark, sf):
+    r = results(spark)
+    base = r.where("method = 'consensus_cal'").groupBy("sweep", "panel", "level").agg(F.avg("excess").alias("base"))
+    return r.groupBy(*KEY).agg(F.avg("excess").alias("excess")).join(base, ["sweep", "panel", "level"], "left").select(*KEY, R6(F.col("excess") - F.col("base")).alias("delta"))
+
+
+@query("SELECT sweep, panel, level, method, round(avg(excess), 6) AS excess, count(DISTINCT seed) = 20 AND count(*) = 20 AS complete FROM results WHERE sweep = 'budget' GROUP BY ALL", _GRID)
+def panel_budget(spark, sf):
+    whole = F.size(F.array_sort(F.collect_set("seed"))) == 20
+    return results(spark).where("sweep = 'budget'").groupBy(*KEY).agg(R6(F.avg("excess")).alias("excess"), (whole & (F.count("*") == 20)).alias("complete"))
+
+
+@query("SELECT count(*) AS n_rows, count(*) FILTER (WHERE failed) AS n_failed, count(*) FILTER (WHERE irregular) AS n_irregular, count(*) FILTER (WHERE lam IS NULL) AS n_anchor FROM results", _GRID)
+def run_diag(spark, sf):
+    return results(spark).agg(F.count("*").alias("n_rows"), F.count_if("failed").alias("n_failed"), F.count_if("irregular").alias("n_irregular"), F.count_if(F.col("lam").isNull()).alias("n_anchor"))
+
+
+@query("SELECT sweep, level FROM results WHERE method = 'human_only' GROUP BY ALL HAVING bool_and(tau < 0.95)", _GRID)
+def exists_budgets(spark, sf):
+    return results(spark).where("method = 'human_only'").groupBy("sweep", "level").agg(F.every(F.col("tau") < 0.95).alias("ok")).where("ok").select("sweep", "level")
+
+
+@query("SELECT sweep, level, round(avg(excess) FILTER (WHERE method = 'human_only'), 6) AS human_only, round(avg(excess) FILTER (WHERE method = 'joint'), 6) AS joint FROM results GROUP BY ALL", _GRID)
+def pivot_methods(spark, sf):
+    return results(spark).groupBy("sweep", "level").pivot("method", ["human_only", "joint"]).agg(R6(F.avg("excess")))
+
+
+@query("SELECT method, round(avg(excess), 6) AS mean, round(median(excess), 6) AS median, round(quantile_cont(excess, 0.9), 6) AS q90 FROM results GROUP BY 1", _GRID)
+def excess_quantiles(spark, sf):
+    return results(spark).groupBy("method").agg(R6(F.avg("excess")).alias("mean"), R6(F.percentile("excess", 0.5)).alias("median"), R6(F.percentile("excess", 0.9)).alias("q90"))
+
+
+@query("SELECT sweep, panel, level, seed FROM results WHERE NOT failed AND method IN ('joint', 'human_only') GROUP BY ALL HAVING count(DISTINCT method) = 2", _GRID)
+def done_keys(spark, sf):
+    have = results(spark).where(~F.col("failed")).groupBy("sweep", "panel", "level", "seed").agg(F.collect_set("method").alias("have"))
+    return have.where(F.size(F.array_except(F.array(F.lit("joint"), F.lit("human_only")), "have")) == 0).select("sweep", "panel", "level", "seed")
+
+
+# -- generators ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT k, i, j, CAST(10 + (CASE WHEN (k * 10 + i + j) % 3 = 0 THEN 1 ELSE 0 END) AS INT) AS n FROM range(4) a(k), range(5) b(i), range(5) c(j) WHERE i < j")
+def sim_balanced(spark, sf):
+    d = spark.range(4).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(4))).cast("long").alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.lit(4))).cast("long").alias("j")).where("i < j")
+    return d.select("k", "i", "j", (10 + F.when((F.col("k") * 10 + F.col("i") + F.col("j")) % 3 == 0, 1).otherwise(0)).cast("int").alias("n"))
+
+
+def draw_params(seed: int, n: int = 6, k: int = 4) -> dict:
+    """Identified parameters: mu and V centred and orthogonal with squared norm n, U centred, gamma with mean 1, b."""
+    rng = np.random.default_rng([seed, 11])
+    mu, v = K.basis(n) @ rng.normal(size=n - 1), K.basis(n) @ rng.normal(size=n - 1)
+    mu *= np.sqrt(n) / np.linalg.norm(mu)
+    v -= mu * (mu @ v) / (mu @ mu)
+    v *= np.sqrt(n) / np.linalg.norm(v)
+    u, gamma = rng.normal(0, 0.4, k), 1 + rng.normal(0, 0.25, k)
+    return {"mu": mu, "v": v, "u": u - u.mean(), "gamma": gamma + 1 - gamma.mean(), "b": rng.uniform(0.3, 1.2, k) * np.where(rng.random(k) < 0.8, 1, -1)}
+
+
+def draw_counts(p: dict, seed: int, per_cell: int) -> K.Counts:
+    rng, n, k = np.random.default_rng([seed, 12]), len(p["mu"]), len(p["b"])
+    cell = [(q, i, j, a) for q in range(k) for i in range(n) for j in range(i + 1, n) for a in (-1, 1)]
+    q, i, j, a = (np.array(x) for x in zip(*cell, strict=True))
+    s = np.outer(p["gamma"], p["mu"]) + np.outer(p["u"], p["v"])
+    return K.Counts(q, i, j, a, np.full(len(q), per_cell), rng.binomial(per_cell, K.sigmoid(s[q, i] - s[q, j] + a * p["b"][q])), k, n)
+
+
+def seeds(spark, n: int) -> DataFrame:
+    return spark.range(n).select(F.col("id").cast("int").alias("seed")).repartition(n, "seed")
+
+
+def simulated(spark, n: int, work, schema: str) -> DataFrame:  # noqa: ANN001
+    """One task per seed."""
+    return seeds(spark, n).groupBy("seed").applyInPandas(lambda p: pd.DataFrame(work(int(p.seed.iloc[0]))), schema)
+
+
+@query(name="sim_params")
+def sim_params(spark, sf):
+    return simulated(spark, 3, lambda s: {"seed": s, "item": range(6), "mu": draw_params(s)["mu"], "v": draw_params(s)["v"]}, "seed int, item int, mu double, v double")
+
+
+@query(name="sim_llm")
+def sim_llm(spark, sf):
+    def work(s):
+        c = draw_counts(draw_params(s), s, 20)
+        return {"seed": s, "k": c.k, "i": c.i, "j": c.j, "a": c.a, "n": c.n, "y": c.y}
+
+    return simulated(spark, 3, work, "seed int, k int, i int, j int, a double, n double, y double")
+
+
+def draw_human(p: dict, seed: int, n: int):  # noqa: ANN201
+    rng, size = np.random.default_rng([seed, 13]), len(p["mu"])
+    i, j = np.triu_indices(size, 1)
+    count = rng.multinomial(n, np.full(len(i), 1 / len(i))).astype(float)
+    s = 1.2 * p["mu"]
+    return i, j, count, rng.binomial(count.astype(int), K.sigmoid(s[i] - s[j])).astype(float)
+
+
+@query(name="sim_human")
+def sim_human(spark, sf):
+    def work(s):
+        i, j, n, y = draw_human(draw_params(s), s, 300)
+        return {"seed": s, "i": i, "j": j, "n": n, "y": y}
+
+    return simulated(spark, 3, work, "seed int, i int, j int, n double, y double")
+
+
+@query(name="sim_poshet")
+def sim_poshet(spark, sf):
+    """Position effects that vary by pair: centred and scaled within each judge by windows."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("seed", "k")
+    z = sim_llm(spark, sf).groupBy("seed", "k", "i", "j").agg((F.sum(F.col("y") * F.col("a")) / F.sum("n")).alias("x"))
+    return z.select("seed", "k", "i", "j", ((F.col("x") - F.avg("x").over(w)) / F.stddev_pop("x").over(w)).alias("effect"))
+
+
+# -- cells -----------------------------------------------------------------------------------------------------------
+
+_CELL = "method string, excess double, accuracy double, lam double, error string"
+
+
+def run_methods(c: K.Counts, i, j, n, y, truth: np.ndarray) -> list[tuple]:  # noqa: ANN001
+    """All methods on one cell; a method that fails gives a row with its error and doesn't end the cell."""
+    base = K.structured(c, 1)  # shared by the methods that start from the judges
+
+    def human_only():  # noqa: ANN202
+        return K.btl(i, j, n, y, c.N, firth=not K.mle_exists(i, j, n, y, c.N))[0], 0.0
+
+    def consensus():  # noqa: ANN202
+        return K.calibrate(base["mu"][:, None], i, j, n, y)["s"], None
+
+    def staged():  # noqa: ANN202
+        return K.calibrate(np.concatenate([base["mu"][:, None], base["V"]], 1), i, j, n, y)["s"], None
+
+    def selected():  # noqa: ANN202
+        best = K.chosen(K.select(c, i, j, n, y, 1, multiples=(0.1, 1.0, 10.0)))
+        return best["s"], None if np.isinf(best["lam"]) else best["lam"]
+
+    up, out = np.triu_indices(c.N, 1), []
+    d0 = truth[up[0]] - truth[up[1]]
+    for name, f in (("human_only", human_only), ("consensus_cal", consensus), ("staged_w", staged), ("joint", selected)):
+        try:
+            s, lam = f()
+            d = s[up[0]] - s[up[1]]
+            risk = lambda x: float(np.mean(np.logaddexp(0, x) - K.sigmoid(d0) * x))  # noqa: B023, E731
+            out.append((name, risk(d) - risk(d0), float(np.mean(np.sign(d) == np.sign(d0))), lam, None))
+        except Exception as e:  # noqa: BLE001  a row, not a failed task
+            out.append((name, None, None, None, f"{type(e).__name__}: {e}"[:4000]))
+    return out
+
+
+@query(name="sim_study")
+def sim_study(spark, sf):
+    def work(s):
+        p = draw_params(s)
+        return [(s, *r) for r in run_methods(draw_counts(p, s, 15), *draw_human(p, s, 200), 1.2 * p["mu"])]
+
+    return seeds(spark, 4).groupBy("seed").applyInPandas(lambda q: pd.DataFrame(work(int(q.seed.iloc[0])), columns=["seed", "method", "excess", "accuracy", "lam", "error"]), "seed int, " + _CELL)
+
+
+def sweep(spark, sf, level_rows: DataFrame) -> DataFrame:
+    """Fits every (level, seed) cell: judge rows of the level, a human draw of 300 by seed; counts only reach the tasks."""
+    from ..operators import panel as P
+
+    low = P.counts(level_rows, "level", "k", "i", "j", "a")
+    low = low.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("seed")).withColumn("side", F.lit("L"))
+    h = human(spark, sf).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("seed"))
+    h = h.where(S.uniform("seed", F.col("record_id").cast("string")) < 0.1)
+    pairs = P.counts(h, "seed", "i", "j").crossJoin(F.broadcast(level_rows.select("level").distinct())).withColumns({"side": F.lit("H"), "k": F.lit(0), "a": F.lit(0)})
+    both = low.unionByName(pairs.select(*low.columns))
+
+    def work(p: pd.DataFrame) -> pd.DataFrame:
+        c, i, j, n, y = split(p)
+        used = np.unique(c.k)
+        c.k, c.K = np.searchsorted(used, c.k), len(used)
+        out = pd.DataFrame(run_methods(c, i, j, n, y, TRUTH), columns=["method", "excess", "accuracy", "lam", "error"])
+        return out.assign(level=p.level.iloc[0], seed=p.seed.iloc[0])
+
+    return both.groupBy("level", "seed").applyInPandas(work, _CELL + ", level double, seed int")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(name="sweep_order")
+def sweep_order(spark, sf):
+    rows = llm(spark, sf)
+    return sweep(spark, sf, _union([X.thin_order(rows, rho, "w1").withColumn("level", F.lit(rho)) for rho in (0.05, 1.0)]))
+
+
+@query(name="sweep_noise")
+def sweep_noise(spark, sf):
+    rows = llm(spark, sf)
+    return sweep(spark, sf, _union([(X.inject(rows, "anti", m, "w2", 4) if m else rows).withColumn("level", F.lit(float(m))) for m in (0, 2)]))
+
+
+@query(name="sweep_noise_scarce")
+def sweep_noise_scarce(spark, sf):
+    rows = X.draw(llm(spark, sf), 400, "w3", "record_id", "k", "a")
+    return sweep(spark, sf, _union([(X.inject(rows, "position", m, "w3", 4) if m else rows).withColumn("level", F.lit(float(m))) for m in (0, 1)]))
+
+
+@query(name="sweep_budget")
+def sweep_budget(spark, sf):
+    return sweep(spark, sf, llm(spark, sf).withColumn("level", F.lit(-1.0)))
+
+
+@query(name="sweep_llm_budget")
+def sweep_llm_budget(spark, sf):
+    rows = llm(spark, sf)
+    return sweep(spark, sf, _union([X.draw(rows, n, "w4", "record_id", "k", "a").withColumn("level", F.lit(float(n))) for n in (300, 1000)]))
+
+
+@query(name="spectest")
+def spectest(spark, sf):
+    """Likelihood-ratio test of the judges' consensus against the human sample, by budget."""
+    from ..operators import panel as P
+
+    h = fx.human_sim(spark, sf)
+    it = P.item_index(fx.records(spark, sf))
+    coded = h.join(F.broadcast(it.withColumnsRenamed({"item": "item_i", "idx": "i"})), "item_i").join(F.broadcast(it.withColumnsRenamed({"item": "item_j", "idx": "j"})), "item_j").select("record_id", "i", "j", (2 * F.col("y")).alias("y2"))
+    draws = _union([X.draw(coded, n, "w5", "record_id").withColumn("budget", F.lit(n)) for n in (100, 400)])
+    counted = P.counts(draws, "budget", "i", "j")
+
+    def work(p: pd.DataFrame) -> pd.DataFrame:
+        args = (p.i.to_numpy(int), p.j.to_numpy(int), p.n.to_numpy(float), p.y2.to_numpy(float) / 2)
+        stat, df, pv = K.lr_test(TRUTH[:, None], *args)
+        return pd.DataFrame({"budget": [int(p.budget.iloc[0])], "stat": [stat], "df": [df], "p_value": [pv], "reject": [pv < 0.05]})
+
+    return counted.groupBy("budget").applyInPandas(work, "budget int, stat double, df int, p_value double, reject boolean")
