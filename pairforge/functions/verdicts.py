@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _PAIR = re.compile(r"\s*([abcd])[\s,:;-]+([+-]?\d{1,9})\s*", re.IGNORECASE)
 _TAGS = re.compile(r"<choice>\s*([abcd])\s*(?:</choice>)?\s*<confidence>\s*([+-]?\d{1,9})\s*(?:</(?:confidence|choice)>)?", re.IGNORECASE)
@@ -47,7 +48,7 @@ def read_verdict(text: str | None) -> tuple[str, int] | None:
     return found.pop() if len(found) == 1 else None
 
 
-@F.pandas_udf("choice string, confidence int")
+@F.pandas_udf(T.StructType([T.StructField("choice", T.StringType()), T.StructField("confidence", T.IntegerType())]))
 def _read(texts: pd.Series) -> pd.DataFrame:
     out = [read_verdict(t) or (None, None) for t in texts]
     return pd.DataFrame(out, columns=["choice", "confidence"]).astype({"confidence": "Int32"})
