@@ -11,6 +11,7 @@ from . import chat, decontaminate, licenses, secrets, substring, topk, toxicity
 from .base import table
 from .html import extract_pages
 from .jaccard import ngram_jaccard_components
+from .oracles import SQL
 from .packing import pack_documents
 
 
@@ -75,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
