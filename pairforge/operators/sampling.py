@@ -9,15 +9,18 @@ from ..functions import scalars as S
 
 
 def _rank(df: DataFrame, key: str, seed: str) -> DataFrame:
-    """Position of each distinct key by its hash."""
-    keys = df.select(key).distinct().withColumn("h", F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))))
-    return keys.withColumn("r", F.row_number().over(Window.orderBy("h", key)))
+    """Position of each distinct key by its hash: its place among keys of the same three hash digits, and how many have smaller ones."""
+    keys = df.select(key).distinct().withColumn("h", F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")))).withColumn("digits", F.substring("h", 1, 3))
+    before = keys.groupBy("digits").agg(F.count("*").alias("own")).withColumn("before", F.sum("own").over(Window.orderBy("digits")) - F.col("own"))
+    own = F.row_number().over(Window.partitionBy("digits").orderBy("h", key))
+    # At most 4096 rows.
+    return keys.withColumn("own_rank", own).join(F.broadcast(before.select("digits", "before")), "digits").select(key, (F.col("before") + F.col("own_rank")).alias("r"))
 
 
 def split_records(df: DataFrame, share: float, seed: str, key: str = "record_id") -> DataFrame:
     """(key, test): the first round-half-even(share * n) records by hash are the test part."""
-    n = F.count("*").over(Window.partitionBy())
-    return _rank(df, key, seed).select(key, (F.col("r") <= F.bround(n * share)).alias("test"))
+    n = df.agg(F.count_distinct(key).alias("n"))
+    return _rank(df, key, seed).crossJoin(F.broadcast(n)).select(key, (F.col("r") <= F.bround(F.col("n") * share)).alias("test"))
 
 
 def draw(df: DataFrame, n: int, seed: str, *key: str) -> DataFrame:
