@@ -26,7 +26,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a window of ten words of a benchmark item occurs go."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), window=10)
+    # Written first: a filter on n_hit would be pushed below the steps that make it, and each would be worked out again and again.
+    found = cut(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), window=10).select("doc_id", "n_hit"))
     return docs.join(found.where("n_hit > 0").select(F.col("doc_id").alias("__hit")), F.col("doc_id") == F.col("__hit"), "left_anti")
 
 
