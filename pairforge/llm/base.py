@@ -117,6 +117,9 @@ def exchange(df: DataFrame, n_buckets: int, reduce: Callable[[list[bytes]], Iter
 def release(spark: SparkSession) -> None:
     """Lets Spark remove shuffle files of finished steps that nothing refers to any more."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the driver's side learns of dropped references a moment later
+        gc.collect()
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()

@@ -6,7 +6,7 @@ depth `window` that two documents share hangs below the prefix of one of its anc
 
 1. The first level: suffixes at anchors, grouped by their prefix of PREFIX words. A group whose suffixes all lie in one
    document has no node that two documents share and is dropped; most are.
-2. The surviving subtrees are split further, by the whole path of `window` words (two 64-bit hashes): a node of that depth
+2. The surviving subtrees are split further, by the whole path of `window` words (a hash of 96 bits): a node of that depth
    with leaves in two documents is a repeat, and its smallest document keeps it. Runs of such nodes are the maximal repeats.
 3. Words covered by a repeat that a smaller document has go.
 
@@ -16,7 +16,6 @@ settles all others against it, so a passage in a third of all documents costs on
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .base import EXCHANGED, buckets_for, chunks, exchange, id_text, pack, packed_batch, tuned, unpack
+from .base import EXCHANGED, buckets_for, chunks, cut, exchange, id_text, pack, packed_batch, release, tuned, unpack
 
 PREFIX = 5
 #: Words that a task gathers before it settles what it has and sends the rest.
@@ -95,9 +94,12 @@ def _shared_prefixes(docs: DataFrame, window: int) -> DataFrame:
             known = several[group] == 1
             # A shared prefix sends one leaf for the other tasks to see; its own leaves are known to survive.
             one = ~known | new
+            # Back in the documents' order, where neighbours share most bytes and so compress.
+            many, back = several[group], np.argsort(order)
+            key, doc, tag, pos, many, known, one = (x[back] for x in (key, doc, tag, pos, many, known, one))
             if known.any():
                 yield packed_batch([(b, b"S" + v) for b, v in pack(doc[known] % k, k, [doc[known], tag[known], pos[known]])])
-            yield packed_batch([(b, b"P" + v) for b, v in pack((key[one] % U(k)).astype(np.int64), k, [key[one], doc[one], tag[one], pos[one], several[group][one]])])
+            yield packed_batch([(b, b"P" + v) for b, v in pack((key[one] % U(k)).astype(np.int64), k, [key[one], doc[one], tag[one], pos[one], many[one]])])
 
         for t in chunks(batches):
             w = tk.words(t["text"].to_pylist(), lower=False)
@@ -145,7 +147,9 @@ def _later_windows(docs: DataFrame, window: int, n_buckets: int) -> DataFrame:
             h1, h2, doc, tag, pos = h1[order], h2[order], doc[order], tag[order], pos[order]
             new = _starts(h1) | _starts(h2)
             least = doc[new][np.cumsum(new) - 1]
-            later = doc != least
+            back = np.argsort(order)
+            later = (doc != least)[back]
+            h1, h2, doc, tag, pos = (x[back] for x in (h1, h2, doc, tag, pos))
             if later.any():
                 yield packed_batch([(b, b"L" + v) for b, v in pack(doc[later] % k, k, [doc[later], tag[later], pos[later]])])
             keep = ~later
@@ -163,7 +167,7 @@ def _later_windows(docs: DataFrame, window: int, n_buckets: int) -> DataFrame:
             ok = tk.within(w, window)
             at = np.flatnonzero(ok & (np.cumsum(live)[: len(ok)] > 0))
             doc = w.doc[at]
-            held.add(tk.grams(w.hash, window, 1)[at], tk.grams(w.hash, window, 2)[at], t["doc_id"].to_numpy()[doc], t["tag"].to_numpy()[doc], (at - w.first[doc]).astype(np.uint32))
+            held.add(tk.grams(w.hash, window, 1)[at], (tk.grams(w.hash, window, 2)[at] >> U(32)).astype(np.uint32), t["doc_id"].to_numpy()[doc], t["tag"].to_numpy()[doc], (at - w.first[doc]).astype(np.uint32))
             if held.size > FLUSH // 4:
                 yield from flush()
         if held.size:
@@ -171,7 +175,7 @@ def _later_windows(docs: DataFrame, window: int, n_buckets: int) -> DataFrame:
 
     def meet(values: list[bytes]) -> Iterator[pa.RecordBatch]:
         doc, tag, pos = unpack([v[1:] for v in values if v[:1] == b"L"], ["<i8", "<i8", "<u4"])
-        h1, h2, d, t, p = unpack([v[1:] for v in values if v[:1] == b"N"], ["<u8", "<u8", "<i8", "<i8", "<u4"])
+        h1, h2, d, t, p = unpack([v[1:] for v in values if v[:1] == b"N"], ["<u8", "<u4", "<i8", "<i8", "<u4"])
         if len(h1):
             order = np.lexsort((d, h2, h1))
             h1, h2, d, t, p = h1[order], h2[order], d[order], t[order], p[order]
@@ -197,8 +201,11 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     docs = id_text(docs).withColumn("tag", F.xxhash64("text"))
     key = ["doc_id", "tag"]
     n_buckets = buckets_for(docs)
-    live = docs.join(_by_document(_shared_prefixes(docs, window)), key)
-    gone = _by_document(_later_windows(live, window, n_buckets))
+    # What a step leaves is small; with it written, the step's own shuffle files can go before the next one moves texts.
+    anchors = cut(_by_document(_shared_prefixes(docs, window)))
+    release(docs.sparkSession)
+    gone = cut(_by_document(_later_windows(docs.join(anchors, key), window, n_buckets)))
+    release(docs.sparkSession)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches):
