@@ -32,7 +32,7 @@ from .base import EXCHANGED, buckets_for, chunks, cut, exchange, id_text, pack,
 from .components import connected_components
 
 #: Ratio of the largest to the smallest size of a band; sets that one task compares at once.
-BAND, BLOCK = 1.5, 1500
+BAND, BLOCK = 1.25, 2000
 U = np.uint64
 
 
@@ -244,11 +244,15 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) ->
     members = classed.where("doc_id = rep").distinct().join(ties, F.col("rep") == F.col("node")).select("comp", "doc_id", "n_shingles")
     large = members.groupBy("comp").agg(F.count("*").alias("g")).where("g > 1")
     members = members.join(large, "comp")
-    blocks = F.ceil(F.col("g") / BLOCK).cast("int")
+    # A large component is cut by size: bucket k and k + 1 hold all partners of a set in k, as linked sizes differ by less than a bucket.
+    bucket = F.floor(F.log(F.col("n_shingles")) / math.log(100.1 / percent)).cast("int")
+    lows = F.when(F.col("g") <= BLOCK, F.array(F.lit(-1))).otherwise(F.array(bucket - 1, bucket))
+    cut_up = members.select("comp", "doc_id", F.explode(lows).alias("low"))
+    sizes = cut_up.groupBy("comp", "low").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # Of what is still too large each pair of blocks is a cell; side 1 is compared with side 0 and itself.
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    # Of a component with more than one block each pair of blocks is a cell; side 1 is compared with side 0 and itself.
-    cells = members.withColumn("blocks", blocks).withColumn("own", own).select("comp", "doc_id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = cells.select(F.xxhash64("comp", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "doc_id")
+    cells = cut_up.join(sizes, ["comp", "low"]).withColumn("own", own).select("comp", "low", "doc_id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = cells.select(F.xxhash64("comp", "low", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "doc_id")
     placed = docs.join(cells, "doc_id").select("cell", "side", "doc_id", "text")
     links = placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(percent, n), "a long, b long")
     # Equal sets of one doc_id's rows apart, a class is one node; rows that repeat a doc_id tie their classes.
