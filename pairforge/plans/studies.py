@@ -108,9 +108,9 @@ def agg_sim(spark, sf):
     return results(spark).groupBy("sweep", "level", "method").agg(F.count_if(ok).alias("n"), F.count_if("irregular").alias("n_irregular"), R6(F.avg(F.when(ok, F.col("excess")))).alias("excess"))
 
 
-@query("SELECT sweep, panel, level, method, round(avg(diff), 6) AS mean_diff, round(stddev_samp(diff) / sqrt(count(diff)), 6) AS se_diff FROM diffs GROUP BY ALL", _DIFF)
+@query("SELECT sweep, panel, level, method, round(avg(diff), 8) AS mean_diff, round(stddev_samp(diff) / sqrt(count(diff)), 8) AS se_diff FROM diffs GROUP BY ALL", _DIFF)
 def summarize(spark, sf):
-    return diffs(spark).groupBy(*KEY).agg(R6(F.avg("diff")).alias("mean_diff"), R6(sem("diff")).alias("se_diff"))
+    return diffs(spark).groupBy(*KEY).agg(F.round(F.avg("diff"), 8).alias("mean_diff"), F.round(sem("diff"), 8).alias("se_diff"))
 
 
 @query("SELECT r.sweep, r.panel, r.level, r.method, round(avg(r.excess) - any_value(c.base), 6) AS delta FROM results r LEFT JOIN (SELECT sweep, panel, level, avg(excess) AS base FROM results WHERE method = 'consensus_cal' GROUP BY ALL) c USING (sweep, panel, level) GROUP BY ALL", _GRID)
@@ -157,7 +157,8 @@ def done_keys(spark, sf):
 
 @query("SELECT k, i, j, CAST(10 + (CASE WHEN (k * 10 + i + j) % 3 = 0 THEN 1 ELSE 0 END) AS INT) AS n FROM range(4) a(k), range(5) b(i), range(5) c(j) WHERE i < j")
 def sim_balanced(spark, sf):
-    d = spark.range(4).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(4))).cast("long").alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.lit(4))).cast("long").alias("j")).where("i < j")
+    items = F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))
+    d = spark.range(4).select(F.col("id").alias("k"), F.explode(items).alias("i")).select("*", F.explode(items).alias("j")).where("i < j")
     return d.select("k", "i", "j", (10 + F.when((F.col("k") * 10 + F.col("i") + F.col("j")) % 3 == 0, 1).otherwise(0)).cast("int").alias("n"))
 
 
