@@ -75,7 +75,8 @@ def pack(bucket: np.ndarray, n_buckets: int, columns: list[np.ndarray]) -> Itera
     columns = [c[order] for c in columns]
     for b in np.flatnonzero(np.diff(edges)):
         lo, hi = edges[b], edges[b + 1]
-        yield int(b), b"".join([np.int64(hi - lo).tobytes(), *(c[lo:hi].tobytes() for c in columns)])
+        # Byte by byte, as the high bytes of small or sorted numbers then compress to nothing.
+        yield int(b), b"".join([np.int64(hi - lo).tobytes(), *(np.ascontiguousarray(c[lo:hi]).view(np.uint8).reshape(hi - lo, -1).T.tobytes() for c in columns)])
 
 
 def unpack(values: list[bytes], dtypes: list[str]) -> list[np.ndarray]:
@@ -84,8 +85,9 @@ def unpack(values: list[bytes], dtypes: list[str]) -> list[np.ndarray]:
     for v in values:
         n, at = int(np.frombuffer(v, "<i8", 1)[0]), 8
         for p, t in zip(parts, dtypes, strict=True):
-            p.append(np.frombuffer(v, t, n, at))
-            at += n * np.dtype(t).itemsize
+            size = np.dtype(t).itemsize
+            p.append(np.ascontiguousarray(np.frombuffer(v, np.uint8, n * size, at).reshape(size, n).T).view(t).reshape(n))
+            at += n * size
     return [np.concatenate(p) if p else np.empty(0, t) for p, t in zip(parts, dtypes, strict=True)]
 
 

@@ -30,7 +30,7 @@ PREFIX = 5
 #: Words that a task gathers before it settles what it has and sends the rest.
 FLUSH = 6_000_000
 U = np.uint64
-_PLACES = "doc_id long, tag long, places binary"
+_PLACES = "doc_id long, tag int, places binary"
 
 
 def _starts(key: np.ndarray) -> np.ndarray:
@@ -46,6 +46,15 @@ def _rows(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(tag[new]), pa.array([pos[a:b].tobytes() for a, b in zip(new, ends, strict=True)], pa.binary())], ["doc_id", "tag", "places"])
 
 
+def _by_document(packed: DataFrame, n_buckets: int) -> DataFrame:
+    """A row for each document, with all its places in one value; there are as many as words at most."""
+
+    def gather(values: list[bytes]) -> Iterator[pa.RecordBatch]:
+        yield _rows(*unpack(values, ["<i8", "<i4", "<u4"]))
+
+    return exchange(packed, n_buckets, gather, _PLACES)
+
+
 def anchor_places(w: tk.Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Places whose prefix has the smallest hash of some window, and all prefix hashes."""
     prefix = min(PREFIX, window)
@@ -112,8 +121,8 @@ def _shared_prefixes(docs: DataFrame, window: int) -> DataFrame:
             yield from flush()
 
     def meet(values: list[bytes]) -> Iterator[pa.RecordBatch]:
-        doc, tag, pos = unpack([v[1:] for v in values if v[:1] == b"S"], ["<i8", "<i8", "<u4"])
-        key, d, t, p, several = unpack([v[1:] for v in values if v[:1] == b"P"], ["<u8", "<i8", "<i8", "<u4", "<u1"])
+        doc, tag, pos = unpack([v[1:] for v in values if v[:1] == b"S"], ["<i8", "<i4", "<u4"])
+        key, d, t, p, several = unpack([v[1:] for v in values if v[:1] == b"P"], ["<u8", "<i8", "<i4", "<u4", "<u1"])
         if len(key):
             order = np.lexsort((d, key))
             key, d, t, p, several = key[order], d[order], t[order], p[order], several[order]
@@ -124,14 +133,9 @@ def _shared_prefixes(docs: DataFrame, window: int) -> DataFrame:
             live = shared[group] & (several == 0)
             doc, tag, pos = np.concatenate((doc, d[live])), np.concatenate((tag, t[live])), np.concatenate((pos, p[live]))
         if len(doc):
-            yield _rows(doc, tag, pos)
-
-    return exchange(docs.mapInArrow(send, EXCHANGED), k, meet, _PLACES)
-
+            yield packed_batch(list(pack(doc % k, k, [doc, tag, pos])))
 
-def _by_document(places: DataFrame) -> DataFrame:
-    """All places of a document in one value; there are as many as words at most."""
-    return places.groupBy("doc_id", "tag").agg(F.collect_list("places").alias("places"))
+    return _by_document(exchange(docs.mapInArrow(send, EXCHANGED), k, meet, EXCHANGED), k)
 
 
 def _later_windows(docs: DataFrame, window: int, n_buckets: int) -> DataFrame:
@@ -158,12 +162,11 @@ def _later_windows(docs: DataFrame, window: int, n_buckets: int) -> DataFrame:
         for t in chunks(batches):
             w = tk.words(t["text"].to_pylist(), lower=False)
             live = np.zeros(len(w.hash) + 1, np.int64)
-            for row, parts in enumerate(t["places"].to_pylist()):
-                for part in parts:
-                    # A live anchor at p speaks for the windows that start in p - window + prefix .. p.
-                    p = np.frombuffer(part, "<u4").astype(np.int64)
-                    np.add.at(live, w.first[row] + np.maximum(p - (window - prefix), 0), 1)
-                    np.add.at(live, w.first[row] + p + 1, -1)
+            for row, places in enumerate(t["places"].to_pylist()):
+                # A live anchor at p speaks for the windows that start in p - window + prefix .. p.
+                p = np.frombuffer(places, "<u4").astype(np.int64)
+                np.add.at(live, w.first[row] + np.maximum(p - (window - prefix), 0), 1)
+                np.add.at(live, w.first[row] + p + 1, -1)
             ok = tk.within(w, window)
             at = np.flatnonzero(ok & (np.cumsum(live)[: len(ok)] > 0))
             doc = w.doc[at]
@@ -174,8 +177,8 @@ def _later_windows(docs: DataFrame, window: int, n_buckets: int) -> DataFrame:
             yield from flush()
 
     def meet(values: list[bytes]) -> Iterator[pa.RecordBatch]:
-        doc, tag, pos = unpack([v[1:] for v in values if v[:1] == b"L"], ["<i8", "<i8", "<u4"])
-        h1, h2, d, t, p = unpack([v[1:] for v in values if v[:1] == b"N"], ["<u8", "<u4", "<i8", "<i8", "<u4"])
+        doc, tag, pos = unpack([v[1:] for v in values if v[:1] == b"L"], ["<i8", "<i4", "<u4"])
+        h1, h2, d, t, p = unpack([v[1:] for v in values if v[:1] == b"N"], ["<u8", "<u4", "<i8", "<i4", "<u4"])
         if len(h1):
             order = np.lexsort((d, h2, h1))
             h1, h2, d, t, p = h1[order], h2[order], d[order], t[order], p[order]
@@ -183,9 +186,9 @@ def _later_windows(docs: DataFrame, window: int, n_buckets: int) -> DataFrame:
             later = d != d[new][np.cumsum(new) - 1]
             doc, tag, pos = np.concatenate((doc, d[later])), np.concatenate((tag, t[later])), np.concatenate((pos, p[later]))
         if len(doc):
-            yield _rows(doc, tag, pos)
+            yield packed_batch(list(pack(doc % k, k, [doc, tag, pos])))
 
-    return exchange(docs.mapInArrow(send, EXCHANGED), k, meet, _PLACES)
+    return _by_document(exchange(docs.mapInArrow(send, EXCHANGED), k, meet, EXCHANGED), k)
 
 
 def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
@@ -198,24 +201,24 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     result.
     """
     tuned(docs.sparkSession)
-    docs = id_text(docs).withColumn("tag", F.xxhash64("text"))
+    docs = id_text(docs).withColumn("tag", F.hash("text"))
     key = ["doc_id", "tag"]
     n_buckets = buckets_for(docs)
     # What a step leaves is small; with it written, the step's own shuffle files can go before the next one moves texts.
-    anchors = cut(_by_document(_shared_prefixes(docs, window)))
+    anchors = cut(_shared_prefixes(docs, window))
     release(docs.sparkSession)
-    gone = cut(_by_document(_later_windows(docs.join(anchors, key), window, n_buckets)))
+    gone = cut(_later_windows(docs.join(anchors, key), window, n_buckets))
     release(docs.sparkSession)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches):
             n_words, n_removed, kept = [], [], []
-            for text, parts in zip(t["text"].to_pylist(), t["places"].to_pylist(), strict=True):
+            for text, places in zip(t["text"].to_pylist(), t["places"].to_pylist(), strict=True):
                 words = (text or "").encode("utf-8", "surrogatepass").split()
                 n_words.append(len(words))
-                if parts:
+                if places:
                     cover = np.zeros(len(words) + 1, np.int64)
-                    p = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in parts])).astype(np.int64)
+                    p = np.unique(np.frombuffer(places, "<u4")).astype(np.int64)
                     cover[p] += 1
                     cover[p + window] -= 1
                     stay = np.cumsum(cover[:-1]) == 0
