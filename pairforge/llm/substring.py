@@ -88,6 +88,7 @@ class _Held:
 def _shared_prefixes(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, tag, places): anchors whose prefix starts in at least two documents."""
     k = buckets_for(docs)
+    few = max(1, k // 4)  # what is left is small, and each bucket sends a value to each of these
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held()
@@ -133,14 +134,15 @@ def _shared_prefixes(docs: DataFrame, window: int) -> DataFrame:
             live = shared[group] & (several == 0)
             doc, tag, pos = np.concatenate((doc, d[live])), np.concatenate((tag, t[live])), np.concatenate((pos, p[live]))
         if len(doc):
-            yield packed_batch(list(pack(doc % k, k, [doc, tag, pos])))
+            yield packed_batch(list(pack(doc % few, few, [doc, tag, pos])))
 
-    return _by_document(exchange(docs.mapInArrow(send, EXCHANGED), k, meet, EXCHANGED), k)
+    return _by_document(exchange(docs.mapInArrow(send, EXCHANGED), k, meet, EXCHANGED), few)
 
 
 def _later_windows(docs: DataFrame, window: int, n_buckets: int) -> DataFrame:
     """(doc_id, tag, places): starts of windows that also start in a document with a smaller doc_id; docs come with the places of live anchors."""
     k, prefix = n_buckets, min(PREFIX, window)
+    few = max(1, k // 4)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held()
@@ -186,9 +188,9 @@ def _later_windows(docs: DataFrame, window: int, n_buckets: int) -> DataFrame:
             later = d != d[new][np.cumsum(new) - 1]
             doc, tag, pos = np.concatenate((doc, d[later])), np.concatenate((tag, t[later])), np.concatenate((pos, p[later]))
         if len(doc):
-            yield packed_batch(list(pack(doc % k, k, [doc, tag, pos])))
+            yield packed_batch(list(pack(doc % few, few, [doc, tag, pos])))
 
-    return _by_document(exchange(docs.mapInArrow(send, EXCHANGED), k, meet, EXCHANGED), k)
+    return _by_document(exchange(docs.mapInArrow(send, EXCHANGED), k, meet, EXCHANGED), few)
 
 
 def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
