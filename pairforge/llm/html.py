@@ -2,9 +2,9 @@
 
 The page becomes a DOM. Every node counts its characters and tags, and those inside links; its density is characters per
 tag, cut down where links make up much of it or its neighbourhood (Sun, Song and Liao, 2011). The node whose children's
-densities have the largest sum holds the article; its lowest density on the way up to the body is the threshold that
-sets off other blocks of the same standing. Elements that never hold article text (navigation, forms, scripts, adverts
-by class, ...) are no part of the DOM that is measured.
+densities have the largest sum holds the article; the lowest density on the way from it up to the body is the threshold
+from which on other blocks are kept too, with the headings before them. Elements that never hold article text
+(navigation, forms, scripts, adverts by class, ...) are no part of the DOM that is measured.
 """
 
 from __future__ import annotations
@@ -37,20 +37,33 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"
 _HINT = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none", re.IGNORECASE)
 _WHITE = re.compile(r"\s+")
+#: Class words that say what a page has around its text ("with-sidebar") mark nothing.
+_STATE = re.compile(r"(?:with|without|has|have|no|not|is|hide|show|enable|disable)[-_]|.*[-_](?:open|closed|enabled|disabled|on|off)$")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "up", "first", "last", "chars", "tags", "link_chars", "link_tags", "kids", "density")
+    __slots__ = ("tag", "up", "first", "last", "chars", "tags", "link_chars", "link_tags", "kids", "density", "doubtful")
 
     def __init__(self, tag: str, up: Node | None, first: int) -> None:
         self.tag, self.up, self.first, self.last = tag, up, first, first
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.kids: list[Node] = []
         self.density = 0.0
+        self.doubtful = False
+
+
+def noise(attrs: str) -> int:
+    """2 if a class, id or role is a word of NOISE, 1 if only a part of a longer one is ("cookie-notice"), else 0."""
+    found = [m for x in _HINT.findall(attrs) for w in (x[0] or x[1] or x[2]).lower().split() if not _STATE.match(w) for m in [(NOISE.search(w), w)] if m[0]]
+    return max((2 if m[0] == w else 1 for m, w in found), default=0)
 
 
 def parse(page: str) -> tuple[Node, list[str | None]]:
-    """The DOM without what is left out, and its texts in order; None is a block's edge."""
+    """The DOM without what is left out, and its texts in order; None is a block's edge.
+
+    An element that only a part of a longer class word speaks against stays if it holds most of the text.
+    """
     root = Node("#", None, 0)
     stack, events, out, at, links = [root], [], [], 0, 0  # out: open elements that are left out
     n = len(page)
@@ -111,7 +124,8 @@ def parse(page: str) -> tuple[Node, list[str | None]]:
         if out:
             out.append(tag)
             continue
-        if tag not in KEPT and (tag in LEFT_OUT or _HIDDEN.search(attrs) or any(NOISE.search((x[0] or x[1] or x[2]).lower()) for x in _HINT.findall(attrs))):
+        doubt = 0 if tag in KEPT else 2 if tag in LEFT_OUT or _HIDDEN.search(attrs) else noise(attrs)
+        if doubt == 2:
             out.append(tag)
             continue
         if tag in ("html", "body") and any(x.tag == tag for x in stack):
@@ -127,11 +141,35 @@ def parse(page: str) -> tuple[Node, list[str | None]]:
         if tag in BLOCK:
             events.append(None)
         node = Node(tag, stack[-1], len(events))
+        node.doubtful = doubt == 1
         stack[-1].kids.append(node)
         stack.append(node)
         links += tag == "a"
     close(0)
-    return root, events
+    return _without_doubtful(root, events), events
+
+
+def _without_doubtful(root: Node, events: list[str | None]) -> Node:
+    """Takes out the doubtful elements that hold at most half of the text, with their texts; children go with their parents."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += node.kids
+    if not any(x.doubtful for x in order):
+        return root
+    held = {id(x): x.chars for x in order}
+    for x in reversed(order):
+        if x.up is not None:
+            held[id(x.up)] += held[id(x)]
+    most = held[id(root)] / 2
+    for x in order:
+        gone = [k for k in x.kids if k.doubtful and held[id(k)] <= most]
+        if gone:
+            x.kids = [k for k in x.kids if not k.doubtful or held[id(k)] > most]
+            for k in gone:
+                events[k.first : k.last] = [None] * (k.last - k.first)
+    return root
 
 
 def _measure(root: Node) -> list[Node]:
@@ -159,29 +197,62 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
-def main_node(root: Node) -> Node:
+def main_nodes(root: Node) -> list[Node]:
+    """The nodes that hold the article, in document order; none lies in another."""
     order = _measure(root)
     body = next((x for x in reversed(order) if x.tag == "body"), root)
     best = max(reversed(order), key=lambda x: sum(k.density for k in x.kids) or (x.density if not x.kids else 0.0))
-    # The way up to the body: a parent belongs to the article as long as what it adds is as dense as the path's threshold.
-    path, x = [], best
-    while x is not None and x is not body:
-        path.append(x)
+    path, x = [best], best
+    while x is not body and x.up is not None:
         x = x.up
-    least = min((x.density for x in path), default=0.0)
-    for up in path[1:]:
-        if up.tag in ("article", "main"):
-            return up
-    if path and best.up is not None and all(k is best or k.density >= least for k in best.up.kids if k.chars) and best.tag in ("p", "div", "section", "blockquote", "b", "span"):
-        return best.up
-    return best
+        path.append(x)
+    # The whole of the nearest article or main belongs to it.
+    main = next((k for k, up in enumerate(path) if k and up.tag in ("article", "main")), 0)
+    least = min(x.density for x in path)
+    kept, todo = [], [path[-1]]
+    above = {id(x) for x in path[main + 1 :]}
+    while todo:
+        x = todo.pop()
+        if x is path[main] or (id(x) not in above and x.tag in BLOCK and x.chars and x.density >= least):
+            kept.append(x)
+        else:
+            todo += reversed(x.kids)
+    # A heading goes with the kept block that comes next.
+    own = {id(x) for x in kept}
+    out, todo = [], [path[-1]]
+    while todo:
+        x = todo.pop()
+        if id(x) in own:
+            out.append(x)
+            continue
+        todo += reversed(x.kids)
+        if id(x) in above or x is path[-1]:
+            follows = False
+            for k in reversed(x.kids):
+                if k.chars and id(k) not in own:
+                    follows = follows and _heading(k)
+                    if follows:
+                        own.add(id(k))
+                follows = follows or id(k) in own
+    return out
+
+
+def _heading(x: Node) -> bool:
+    """Whether all text of x is in headings."""
+    todo = [x]
+    while todo:
+        x = todo.pop()
+        if x.tag not in HEADINGS:
+            if x.chars > sum(k.chars for k in x.kids):
+                return False
+            todo += [k for k in x.kids if k.chars]
+    return True
 
 
 def extract(page: str) -> str:
     root, events = parse(page)
-    node = main_node(root)
     blocks, now = [], []
-    for e in [*events[node.first : node.last], None]:
+    for e in (e for node in main_nodes(root) for e in [*events[node.first : node.last], None]):
         if e is None:
             if now:
                 blocks.append(_WHITE.sub(" ", html.unescape("".join(now))).strip())

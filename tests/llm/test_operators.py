@@ -341,6 +341,19 @@ def test_extraction_leaves_out_what_is_no_article():
     assert extract("plain  text") == "plain text"
 
 
+def test_extraction_keeps_all_sections():
+    para = ("Some plain sentence that goes on for a while and says a thing. " * 4)[:200].strip()
+    half = "".join(f"<p>{para}</p>" for _ in range(5))
+    links = '<div class="more">' + "<a href=x>another page of this site</a> " * 9 + "</div>"
+    whole = "\n".join(["Heading", *[para] * 10])
+    assert extract(f"<html><body><div id=content><h1>Heading</h1><div>{half}</div><div>{half}</div></div>{links}</body></html>") == whole
+    assert extract(f"<html><body><div class='content with-sidebar'><h1>Heading</h1><div>{half}</div><div>{half}</div></div>{links}</body></html>") == whole
+    assert extract(f"<html><body><div class='search-result-page'><h1>Heading</h1>{half}{half}</div><div class='cookie-notice'>We use cookies</div>{links}</body></html>") == whole
+    three = f"<div>{half}</div><h2>Next</h2><div><p>{para}</p><p>{para}</p></div><div class=title><h2>Last</h2></div><div>{half}</div>"
+    assert extract(f"<html><body><div id=content>{three}</div>{links}</body></html>") == "\n".join([*[para] * 5, "Next", para, para, "Last", *[para] * 5])
+    assert extract(f"<html><body><div>{half}</div><div>{half}<p>{para}</p></div>{links}</body></html>") == "\n".join([para] * 11)
+
+
 def test_pages_hostile(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>hi</p>", "x"), (2, "u", "<div>" * 3000 + "deep", "x"), (2, "u", "", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in extract_pages(df).collect()) == [(0, "hi", 2), (1, "", 0), (2, "", 0), (2, "deep", 4)]
