@@ -2,12 +2,13 @@
 
 Every rolling GRAM-word hash of a document that some template holds is joined with the template's positions; a hit at
 document word p and template word q votes for the diagonal p - q. Votes are summed by diagonal, neighbouring diagonals
-(at most SLACK apart, for words put in or left out) are merged, and a merged span is verified by the share of its
-template words that hits cover. Templates are a fixed, small table, so their positions may be broadcast.
+(at most SLACK apart, for words put in or left out) are merged, and a merged span is verified by the weight of its votes and
+the share of its template words that hits cover. Templates are a fixed, small table, so their positions may be broadcast.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,17 +33,19 @@ TEMPLATES = {
     "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
 }
 GRAM, SLACK = 4, 3
-#: A span counts with so many votes, and so large a share of the template words between its first and last hit.
-VOTES, SHARE = 10, 0.6
+#: A span counts with so many votes, and so large a share of the template words between its first and last hit. A gram that
+#: several templates hold is divided among them, as it tells little about which of them stands there.
+VOTES, SHARE = 5, 0.6
 
 
-def template_positions() -> list[tuple[str, int, int]]:
-    """(label, position, hash) of every rolling gram of the templates."""
+def template_positions() -> list[tuple[str, int, int, float]]:
+    """(label, position, hash, weight) of every rolling gram of the templates; weight: one over the number of templates that hold it."""
     out = []
     for label, text in TEMPLATES.items():
         g = tk.grams(tk.words([text], "alnum").hash, GRAM)
         out += [(label, k, int(h)) for k, h in enumerate(g.view(np.int64))]
-    return out
+    held = Counter(h for _, h in {(label, h) for label, _, h in out})
+    return [(label, k, h, 1 / held[h]) for label, k, h in out]
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -57,7 +60,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     tuned(spark)
     docs = id_text(docs).withColumn("tag", F.xxhash64("text"))
     positions = template_positions()
-    known = np.unique(np.array([h for _, _, h in positions], np.int64).view(np.uint64))
+    known = np.unique(np.array([h for _, _, h, _ in positions], np.int64).view(np.uint64))
     phrases = [(tk.grams(tk.words([p], "alnum").hash, len(p.split()))[0], len(p.split()), label) for p, label in PHRASES.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,19 +90,20 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
             )
 
     facts = cut(docs.mapInArrow(run, "doc_id long, tag long, n_words long, n_base long, first_word long, last_word long, base array<string>, hits array<struct<p:bigint,h:bigint>>"))
-    table = spark.createDataFrame(positions, "label string, q long, h long")
+    table = spark.createDataFrame(positions, "label string, q long, h long, weight double")
     hits = facts.where("size(hits) > 0").dropDuplicates(["doc_id", "tag"]).select("doc_id", "tag", F.explode("hits").alias("hit")).select("doc_id", "tag", "hit.p", "hit.h")
     votes = hits.join(F.broadcast(table), "h").withColumn("diagonal", F.col("p") - F.col("q"))
     key = ["doc_id", "tag", "label"]
-    by_diagonal = votes.groupBy(*key, "diagonal").agg(F.collect_set("q").alias("qs"))
+    by_diagonal = votes.groupBy(*key, "diagonal").agg(F.collect_set(F.struct("q", "weight")).alias("hits"))
     along = Window.partitionBy(*key).orderBy("diagonal")
     fresh = (F.col("diagonal") - F.lag("diagonal", 1, -(10**15)).over(along) > SLACK).cast("int")
-    spans = by_diagonal.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(along)).groupBy(*key, "span").agg(F.array_distinct(F.flatten(F.collect_list("qs"))).alias("qs"))
+    spans = by_diagonal.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(along)).groupBy(*key, "span").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))
+    spans = spans.select(*key, F.col("hits.q").alias("qs"), F.aggregate("hits.weight", F.lit(0.0), lambda a, x: a + x).alias("votes"))
     # Each gram covers GRAM template words.
     covered = F.size(F.array_distinct(F.flatten(F.transform("qs", lambda q: F.sequence(q, q + GRAM - 1)))))
     length = F.array_max("qs") - F.array_min("qs") + GRAM
     sizes = F.create_map(*(F.lit(x) for label, text in TEMPLATES.items() for x in (label, len(text.split()))))
-    spans = spans.withColumn("covered", covered).where((F.size("qs") >= VOTES) & (F.col("covered") >= SHARE * length))
+    spans = spans.withColumn("covered", covered).where((F.col("votes") >= VOTES - 1e-9) & (F.col("covered") >= SHARE * length))
     labels = spans.groupBy("doc_id", "tag").agg(F.collect_set("label").alias("own"), F.max(F.least(F.lit(1.0), F.col("covered") / sizes[F.col("label")])).alias("share"))
     out = facts.drop("hits").join(labels, ["doc_id", "tag"], "left")
     both = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("own", F.array().cast("array<string>")))))

@@ -405,3 +405,17 @@ def test_licenses_match_brute_force(spark, sf):
     by = {r.doc_id: r for r in got}
     assert by[9051].labels == "bsd" and by[9051].score == 1.0 and by[9052].labels == "mit" and by[9052].score > 0.9 and by[9052].base_labels == ""
     assert licenses.scan_licenses(table(spark, [])).count() == 0
+
+
+def test_licenses_in_short_notices(spark):
+    rows = [
+        ("cc-by", "Photos: This work is licensed under a Creative Commons Attribution 4.0 International License."),
+        ("unlicense", "This is free and unencumbered software released into the public domain."),
+        ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
+        ("isc", "Permission to use, copy, modify, and/or distribute this software is given."),
+        ("", "The above copyright notice and this permission notice are part of many texts."),
+        ("", "This work is licensed under other terms; a copy of the paper is in the public domain."),
+        *licenses.TEMPLATES.items(),
+    ]
+    by = {r.doc_id: r.labels for r in licenses.scan_licenses(table(spark, list(enumerate(t for _, t in rows)))).collect()}
+    assert [by[k] for k in range(len(rows))] == [label for label, _ in rows]
