@@ -1,6 +1,7 @@
 """Convolutional text classifier in numpy: hashed word embeddings, filters of several widths, max pooling, one output.
 
-It is fitted on the driver from a bounded sample of labelled rows and sent to the tasks as a few arrays of fixed size. A
+It is fitted on the driver from a bounded sample of labelled rows and sent to the tasks as a few arrays of fixed size. The
+thresholds by language come from all labelled rows that it isn't fitted on, counted in Spark. A
 filter's response to a window is a sum of one number per word and place, so a task looks up projections of the hashed
 embeddings instead of multiplying.
 """
@@ -23,8 +24,8 @@ SAMPLE_ROWS, SAMPLE_WORDS = 4_000, 20_000
 BUCKETS, DIM, FILTERS, WIDTHS, EPOCHS, BATCH = 1 << 15, 12, 8, (1, 2, 3), 6, 64
 #: Words of fewer documents of the sample start without a leaning.
 LEAST_DOCS = 3
-#: A language gets a threshold of its own from so many labelled rows of either class on.
-LEAST_BY_LANG = 25
+#: Raw scores are counted in steps of 1 / STEPS. All languages together weigh as much as PRIOR rows in a language's threshold.
+STEPS, PRIOR = 100, 30
 
 
 def word_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +52,7 @@ class Cnn:
     out_bias: float = 0.0
     scale: float = 1.0
     shift: float = 0.0
-    by_lang: dict[str, float] = field(default_factory=dict)
+    by_lang: dict[str | None, float] = field(default_factory=dict)
 
     @staticmethod
     def fresh(seed: int = 7) -> Cnn:
@@ -129,15 +130,21 @@ def _step(m: Cnn, docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray, dro
     return g
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, langs: list[str], seed: int = 7) -> Cnn:
-    """Adam on four fifths of the rows; the rest sets the scale, the point where the score is 0.5, and thresholds by language."""
+def fitting(n: int, rng: np.random.Generator | None = None) -> np.ndarray:
+    """Which of n rows the weights are fitted on."""
+    return np.flatnonzero((rng or np.random.default_rng(7)).random(n) >= 0.2)
+
+
+def fit(docs: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Cnn:
+    """Adam on four fifths of the rows (see fitting); the rest picks the epoch and the point where the score is 0.5."""
     m, rng = Cnn.fresh(seed), np.random.default_rng(seed)
     if not len(y) or y.min() == y.max():
         m.out[:] = 0
         m.out_bias = 3.0 if len(y) and y[0] else -3.0
         return m
-    held = rng.random(len(y)) < 0.2
-    train = np.flatnonzero(~held)
+    train = fitting(len(y), rng)
+    held = np.ones(len(y), bool)
+    held[train] = False
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3))
     # The first dimension starts from the words' leanings in the training part, and half of the filters look at it.
     m.embed[:, 0] = leanings([docs[k] for k in train], y[train])
@@ -178,11 +185,6 @@ def fit(docs: list[np.ndarray], y: np.ndarray, langs: list[str], seed: int = 7)
     m.embed, m.filters, m.bias, m.out, m.out_bias = best[1]
     raw, yc = m.raw(m.tables(), flat, first), y[check]
     m.shift = _threshold(raw, yc)
-    inside = [langs[k] for k in np.flatnonzero(check)]
-    for lang in sorted({x for x in inside if x is not None}):
-        own = np.array([x == lang for x in inside])
-        if yc[own].sum() >= LEAST_BY_LANG and (1 - yc[own]).sum() >= LEAST_BY_LANG:
-            m.by_lang[lang] = float(m.score(np.array([_threshold(raw[own], yc[own])]))[0])
     return m
 
 
@@ -197,11 +199,39 @@ def _threshold(raw: np.ndarray, y: np.ndarray) -> float:
     return float((r[k] + r[k + 1]) / 2)
 
 
+def calibrate(m: Cnn, counts: list[tuple[str | None, int, int, int]]) -> Cnn:
+    """Sets the thresholds by language from counts of rows by language, class and step of the raw score.
+
+    A threshold has the fewest errors among the rows of its language and PRIOR rows spread like those of all languages;
+    that of None, for other languages, has the fewest among all rows.
+    """
+    if len({t for _, t, _, _ in counts}) < 2:
+        return m
+    low, high = min(k for _, _, k, _ in counts), max(k for _, _, k, _ in counts)
+    by: dict[str | None, np.ndarray] = {}
+    for lang, t, k, n in counts:
+        by.setdefault(lang, np.zeros((2, high - low + 1)))[t, k - low] += n
+    whole = sum(by.values())
+
+    def cutoff(rows: np.ndarray) -> float:
+        # Cut before step k: toxic rows below it and others from it on are wrong. Of equals the middle of the longest run.
+        wrong = np.concatenate(([0], np.cumsum(rows[1]))) + np.concatenate((np.cumsum(rows[0][::-1])[::-1], [0]))
+        best = np.flatnonzero(wrong <= wrong.min() + 1e-9)
+        run = max(np.split(best, np.flatnonzero(np.diff(best) > 1) + 1), key=len)
+        return (low + (run[0] + run[-1]) / 2) / STEPS
+
+    mixed = {lang: rows + PRIOR / whole.sum() * whole for lang, rows in by.items()} | {None: whole}
+    m.by_lang = {lang: float(m.score(np.array([cutoff(rows)]))[0]) for lang, rows in mixed.items()}
+    return m
+
+
 def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> Cnn:
-    """Fits on SAMPLE_ROWS labelled rows at most, chosen by a hash of their ids; usable is a condition on doc_id."""
+    """Fits on SAMPLE_ROWS labelled rows at most, chosen by a hash of their ids, and calibrates on all others; usable is a condition on doc_id."""
+    tuned(docs.sparkSession)
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     rows = rows.where(usable) if usable is not None else rows
-    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    labelled = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches):
@@ -215,7 +245,21 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> C
     # The sample is bounded, so it may be broadcast.
     got = texts.join(F.broadcast(rows), "doc_id").select("doc_id", "toxic", "lang", "text").mapInArrow(hashed, "doc_id long, toxic int, lang string, ids binary").toPandas()
     got = got.sort_values(["doc_id", "ids"]).drop_duplicates("doc_id")
-    return fit([np.frombuffer(x, np.int32) for x in got["ids"]], got["toxic"].to_numpy(np.float32), got["lang"].tolist())
+    model = fit([np.frombuffer(x, np.int32) for x in got["ids"]], got["toxic"].to_numpy(np.float32))
+    fitted_on = got["doc_id"].to_numpy(np.int64)[fitting(len(got))]
+    tables = model.tables()
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in chunks(batches, 2_000_000):
+            t = t.filter(pa.array(~np.isin(t["doc_id"].to_numpy(), fitted_on)))
+            raw = model.raw(tables, *word_ids(t["text"].to_pylist()))
+            step = np.floor(np.clip(raw.astype(np.float64), -30, 30) * STEPS).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), t["lang"].combine_chunks(), pa.array(step)], ["doc_id", "lang", "step"])
+
+    # Scored before the join, so that no text is shuffled.
+    others = (texts.where(usable) if usable is not None else texts).where("doc_id is not null").mapInArrow(binned, "doc_id long, lang string, step long").join(labelled, "doc_id")
+    # At most languages x 2 x 6,001 counts.
+    return calibrate(model, [tuple(r) for r in others.groupBy("lang", "toxic", "step").count().collect()])
 
 
 def score_texts(df: DataFrame, model: Cnn, keep: str) -> DataFrame:
@@ -238,7 +282,7 @@ def toxicity_scores(docs: DataFrame, model: Cnn) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, model: Cnn) -> DataFrame:
-    """The rows of docs, with their columns, whose score lies below the threshold of their lang (0.5 where the model has none).
+    """The rows of docs, with their columns, whose score lies below the threshold of their lang (of all languages where it has none).
 
     Text and language alone decide; rows with a null in any column are judged like others.
     """
@@ -253,7 +297,7 @@ def reject_toxic(docs: DataFrame, model: Cnn) -> DataFrame:
             ids, first = word_ids([x.as_py() or "" for x in batch.column(text_at)])
             score = model.score(model.raw(tables, ids, first))
             langs = batch.column(lang_at).to_pylist() if lang_at is not None else [None] * len(score)
-            limit = np.array([by_lang.get(x, 0.5) for x in langs])
+            limit = np.array([by_lang.get(x, by_lang.get(None, 0.5)) for x in langs])
             yield batch.filter(pa.array(score < limit))
 
     return docs.mapInArrow(run, docs.schema)

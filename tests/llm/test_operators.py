@@ -374,6 +374,24 @@ def test_toxicity_on_held_out_rows(spark):
     assert auc > 0.8 and ((own.score >= 0.5) == (own.predicted == 1)).all()
 
 
+def test_toxicity_calibrates_every_language(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 200)
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choices(["vile", "crook"] if rng.random() < (0.8 if k % 2 else 0.2) else ["kind", "words"], k=9)), ("en", "de", "fr", "es")[k % 40 // 2 if k % 40 < 8 else 0]) for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = toxicity.train(docs, spark.createDataFrame([(k, k % 2) for k, _, _ in rows], "doc_id long, toxic int"))
+    assert set(model.by_lang) == {"en", "de", "fr", "es", None}
+    assert all(0 < x < 1 for x in model.by_lang.values())
+
+
+def test_toxicity_thresholds_shrink():
+    rows = [(lang, t, 100 * t + at, n) for lang, at, n in (("big", 0, 900), ("shifted", 150, 300), ("tiny", 150, 1)) for t in (0, 1)]
+    m = toxicity.calibrate(toxicity.Cnn.fresh(), rows)
+    raw = {k: np.log(v / (1 - v)) + m.shift for k, v in m.by_lang.items()}
+    assert 0 < raw["big"] <= 1 and 1.5 < raw["shifted"] <= 2.5 and abs(raw["tiny"] - raw["big"]) < 0.1
+    assert abs(raw[None] - raw["big"]) < 0.1
+
+
 def test_toxicity_hostile(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(None, 1), (4, None)], "doc_id long, toxic int")
     docs = table(spark, [(k, "you vile crook " if k % 2 else "kind words " * 3) for k in range(40)] + hostile())
