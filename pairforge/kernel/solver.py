@@ -267,6 +267,11 @@ def _trace(h: np.ndarray, x: np.ndarray, p: np.ndarray, z: np.ndarray, w: np.nda
     return float(np.trace(np.linalg.pinv(h, rcond=1e-8) @ jj))
 
 
+def at_box(t: np.ndarray, bound: float) -> bool:
+    """Whether a parameter lies at its bound."""
+    return bool((np.abs(t) >= bound - 1e-6).any())
+
+
 def gacv_joint(fit: dict, c: Counts, i, j, n, y) -> tuple[float, bool]:  # noqa: ANN001
     chart, t, n_h = fit["chart"], fit["t"], float(n.sum())
     terms = [lambda t: (*chart.rows(t, c), c.n, c.y, fit["lam"] / c.total), lambda t: (*chart.human_rows(t, i, j), n, y, 1.0 / n_h)]
@@ -274,7 +279,9 @@ def gacv_joint(fit: dict, c: Counts, i, j, n, y) -> tuple[float, bool]:  # noqa:
     bi, bj, z, w = bernoulli(i, j, n, y)
     eta, x = chart.human_rows(t, bi, bj)
     flat = int((np.linalg.eigvalsh(h) <= 1e-8 * np.abs(np.linalg.eigvalsh(h)).max()).sum())
-    regular = fit["converged"] and flat <= chart.r * (chart.r + 1) and np.abs(fit["s"]).max() < 10
+    faults = {"not_converged": not fit["converged"], "box_active": at_box(t, BOX), "singular_hessian": flat > chart.r * (chart.r + 1), "score_bound": np.abs(fit["s"]).max() >= 10}
+    fit["reasons"] = sorted(k for k, v in faults.items() if v)
+    regular = not fit["reasons"]
     return fit["nll_H"] / n_h + _trace(h, x, sigmoid(eta), z, w) / (n_h - 1), bool(regular)
 
 
@@ -290,24 +297,33 @@ def gacv_endpoint(w: np.ndarray, s: np.ndarray, i, j, n, y) -> tuple[float, bool
 
 
 def select(c: Counts, i, j, n, y, rank: int, align: str = "W", multiples=(0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0)) -> list[dict]:  # noqa: ANN001
-    """The path of candidates: the endpoint of infinite weight, the grid downwards with warm starts, and weight 0."""
+    """The path of candidates: the endpoint of infinite weight, the grid downwards with warm starts, and weight 0.
+
+    Each has the sorted reasons that speak against it; it is regular if there are none. Parameters of the judges' fit at
+    their bounds don't drop the endpoint, those of its calibration do.
+    """
     base = structured(c, rank)
     gamma, u, b, mu, v, _ = base["chart"].parts(base["t"])
     w = np.concatenate([mu[:, None], v], 1)[:, : 1 + (rank if align == "W" else 0)]
     cal = calibrate(w, i, j, n, y)
     g, ok = gacv_endpoint(w, cal["s"], i, j, n, y)
-    path = [{"lam": math.inf, "gacv": g, "regular": ok and base["converged"] and cal["converged"], "s": cal["s"]}]
+    faults = {"singular_or_score": not ok, "not_converged": not (base["converged"] and cal["converged"]), "box_active": at_box(cal["coef"], 25.0)}
+    reasons = sorted(k for k, v in faults.items() if v)
+    path = [{"lam": math.inf, "gacv": g, "regular": not reasons, "reasons": reasons, "s": cal["s"]}]
     init = np.concatenate([base["t"], cal["coef"]])
     for m in sorted(multiples, reverse=True):
         lam = m * c.total / float(n.sum())
         fit = joint(c, i, j, n, y, lam, rank, align, init)
         g, ok = gacv_joint(fit, c, i, j, n, y)
-        path.append({"lam": lam, "gacv": g, "regular": ok, "s": fit["s"]})
+        path.append({"lam": lam, "gacv": g, "regular": ok, "reasons": fit["reasons"], "s": fit["s"]})
         init = fit["t"] if fit["converged"] else init
     if mle_exists(i, j, n, y, c.N):
         s, _, done = btl(i, j, n, y, c.N)
         g, ok = gacv_endpoint(basis(c.N), s, i, j, n, y)
-        path.append({"lam": 0.0, "gacv": g, "regular": ok and done, "s": s})
+        reasons = sorted(k for k, v in {"singular_or_score": not ok, "not_converged": not done}.items() if v)
+        path.append({"lam": 0.0, "gacv": g, "regular": not reasons, "reasons": reasons, "s": s})
+    else:
+        path.append({"lam": 0.0, "gacv": math.nan, "regular": False, "reasons": ["mle_not_exists"], "s": np.full(c.N, math.nan)})
     return path
 
 

@@ -270,8 +270,8 @@ def _joint(c, i, j, n, y):
     return scores(f["s"]) | {"criterion": [f["criterion"]] * c.N, "converged": [f["converged"]] * c.N}
 
 
-_PATH_ROWS = "lam double, is_anchor boolean, gacv double, regular boolean"
-path_rows = lambda p: {"lam": [None if np.isinf(x["lam"]) else x["lam"] for x in p], "is_anchor": [bool(np.isinf(x["lam"])) for x in p], "gacv": [x["gacv"] for x in p], "regular": [x["regular"] for x in p]}
+_PATH_ROWS = "lam double, is_anchor boolean, gacv double, regular boolean, reasons array<string>"
+path_rows = lambda p: {"lam": [None if np.isinf(x["lam"]) else x["lam"] for x in p], "is_anchor": [bool(np.isinf(x["lam"])) for x in p], "gacv": [x["gacv"] for x in p], "regular": [x["regular"] for x in p], "reasons": [x["reasons"] for x in p]}
 
 
 @_rows_only("gacv_path", _PATH_ROWS)
@@ -284,10 +284,27 @@ def _selected(c, i, j, n, y):
     return path_rows([K.chosen(K.select(c, i, j, n, y, 1))])
 
 
-@_rows_only("rank_lambda", "rank int, lam double, gacv double")
+@_rows_only("selection_reasons", "reason string, n int")
+def _selection_reasons(c, i, j, n, y):
+    """Why candidates of the selection path were dropped, and how many for it."""
+    found = [r for p in K.select(c, i, j, n, y, 1) for r in p["reasons"]]
+    return {"reason": sorted(set(found)), "n": [found.count(r) for r in sorted(set(found))]}
+
+
+@_rows_only("rank_lambda", "rank int, lam double, gacv double, error string, best boolean")
 def _rank_lambda(c, i, j, n, y):
-    best = [K.chosen(K.select(c, i, j, n, y, r)) for r in (0, 1)]
-    return {"rank": [0, 1], "lam": [None if np.isinf(b["lam"]) else b["lam"] for b in best], "gacv": [b["gacv"] for b in best]}
+    """The selected weight of every rank; best marks the rank of least criterion, error why a rank has none."""
+    out = []
+    for r in range(min(c.K - 1, c.N - 2, 2) + 1):
+        try:
+            path = K.select(c, i, j, n, y, r)
+            b = K.chosen(path)
+            out.append((r, None if np.isinf(b["lam"]) else b["lam"], b["gacv"], None if b["regular"] else "all_dropped"))
+        except Exception as e:  # noqa: BLE001  a row, not a failed task
+            out.append((r, None, None, f"{type(e).__name__}: {e}"[:4000]))
+    least = min((g for _, _, g, e in out if e is None), default=None)
+    rank, lam, gacv, error = zip(*out, strict=True)
+    return {"rank": rank, "lam": lam, "gacv": gacv, "error": error, "best": [e is None and g == least for g, e in zip(gacv, error, strict=True)]}
 
 
 _B = "judge int, b double, se double, lower double, upper double"

@@ -91,3 +91,24 @@ def test_a_failing_method_is_a_row(cell, monkeypatch):
     monkeypatch.setattr(K, "select", fail)
     rows = {r[0]: r for r in studies.run_methods(c, i, j, n, y, np.zeros(c.N))}
     assert rows["joint"][-1] == "RuntimeError: no" and rows["human_only"][-1] is None
+
+
+def test_selection_gives_its_reasons(monkeypatch):
+    from pairforge.plans import estimation as E
+    from pairforge.plans.studies import draw_counts, draw_human, draw_params
+
+    p = draw_params(3)
+    c, (i, j, n, y) = draw_counts(p, 3, 20), draw_human(p, 3, 300)
+    path = K.select(c, i, j, n, y, 1)
+    assert all(x["regular"] == (not x["reasons"]) for x in path)
+    won = K.select(c, i, j, n, n.copy(), 1)  # the first of each pair always wins
+    assert [x["reasons"] for x in won if x["lam"] == 0] == [["mle_not_exists"]]
+    fit = K.joint(c, i, j, n, y, 1.0, 1)
+    fit["t"] = fit["t"].copy()
+    fit["t"][0] = K.BOX
+    assert not K.gacv_joint(fit, c, i, j, n, y)[1] and "box_active" in fit["reasons"]
+    got = E._rank_lambda(c, i, j, n, y)
+    assert got["rank"] == (0, 1, 2) and sum(got["best"]) == 1 and got["gacv"][got["best"].index(True)] == min(g for g, e in zip(got["gacv"], got["error"], strict=True) if e is None)
+    select = K.select
+    monkeypatch.setattr(K, "select", lambda *a: 1 / 0 if a[-1] == 1 else select(*a))
+    assert E._rank_lambda(c, i, j, n, y)["error"][1].startswith("ZeroDivisionError")
