@@ -87,6 +87,17 @@ def judge_btl(spark, sf):
     return _btl_scores(llm(spark, sf).where("k = 1"))
 
 
+@query(name="judge_btl_all")
+def judge_btl_all(spark, sf):
+    """The fit of judge_btl for every judge, one task each."""
+
+    def work(p: pd.DataFrame) -> pd.DataFrame:
+        s, _, _ = K.btl(p.i.to_numpy(int), p.j.to_numpy(int), p.n.to_numpy(float), p.y2.to_numpy(float) / 2, N_ITEMS)
+        return pd.DataFrame({"k": int(p.k.iloc[0]), "item": ITEMS, "score": np.round(s, 5) + 0.0})
+
+    return P.counts(llm(spark, sf), "k", "i", "j").groupBy("k").applyInPandas(work, "k int, item string, score double")
+
+
 @query("SELECT (SELECT count(*) FROM reach WHERE a <> b) = 20 AS mle_exists", PANEL + ", edges AS (SELECT DISTINCT CASE WHEN y2 = 2 THEN i ELSE j END AS a, CASE WHEN y2 = 2 THEN j ELSE i END AS b FROM human), reach AS (SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a)")
 def mle_exists(spark, sf):
     return fitted(P.counts(human(spark, sf), "i", "j"), lambda p: {"mle_exists": [K.mle_exists(p.i.to_numpy(int), p.j.to_numpy(int), p.n.to_numpy(float), p.y2.to_numpy(float) / 2, N_ITEMS)]}, "mle_exists boolean")
