@@ -250,7 +250,7 @@ def run_methods(c: K.Counts, i, j, n, y, truth: np.ndarray) -> list[tuple]:  # n
         return K.calibrate(np.concatenate([base["mu"][:, None], base["V"]], 1), i, j, n, y)["s"], None
 
     def selected():  # noqa: ANN202
-        best = K.chosen(K.select(c, i, j, n, y, 1, multiples=(0.1, 1.0, 10.0)))
+        best = K.chosen(K.select(c, i, j, n, y, 1))
         return best["s"], None if np.isinf(best["lam"]) else best["lam"]
 
     up, out = np.triu_indices(c.N, 1), []
@@ -281,8 +281,7 @@ def sweep(spark, sf, level_rows: DataFrame) -> DataFrame:
 
     low = P.counts(level_rows, "level", "k", "i", "j", "a")
     low = low.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("seed")).withColumn("side", F.lit("L"))
-    h = human(spark, sf).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("seed"))
-    h = h.where(S.uniform("seed", F.col("record_id").cast("string")) < 0.1)
+    h = _union([X.draw(human(spark, sf), 300, f"h{s}", "record_id").withColumn("seed", F.lit(s)) for s in (0, 1)])
     pairs = P.counts(h, "seed", "i", "j").crossJoin(F.broadcast(level_rows.select("level").distinct())).withColumns({"side": F.lit("H"), "k": F.lit(0), "a": F.lit(0)})
     both = low.unionByName(pairs.select(*low.columns))
 
@@ -305,7 +304,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 @query(name="sweep_order")
 def sweep_order(spark, sf):
     rows = llm(spark, sf)
-    return sweep(spark, sf, _union([X.thin_order(rows, rho, "w1").withColumn("level", F.lit(rho)) for rho in (0.05, 1.0)]))
+    return sweep(spark, sf, _union([X.thin_order(rows, rho, "w1").withColumn("level", F.lit(rho)) for rho in (0.0, 0.05, 0.2, 1.0)]))
 
 
 @query(name="sweep_noise")

@@ -112,3 +112,11 @@ def test_selection_gives_its_reasons(monkeypatch):
     select = K.select
     monkeypatch.setattr(K, "select", lambda *a: 1 / 0 if a[-1] == 1 else select(*a))
     assert E._rank_lambda(c, i, j, n, y)["error"][1].startswith("ZeroDivisionError")
+
+
+def test_studies_select_over_all_weights(cell, monkeypatch):
+    _, c, (i, j, n, y) = cell
+    seen, select = [], K.select
+    monkeypatch.setattr(K, "select", lambda *a, **k: seen.append(select(*a, **k)) or seen[-1])
+    studies.run_methods(c, i, j, n, y, np.zeros(c.N))
+    assert len([x for x in seen[0] if 0 < x["lam"] < math.inf]) == 7
