@@ -275,14 +275,21 @@ def sim_study(spark, sf):
     return seeds(spark, 4).groupBy("seed").applyInPandas(lambda q: pd.DataFrame(work(int(q.seed.iloc[0])), columns=["seed", "method", "excess", "accuracy", "lam", "error"]), "seed int, " + _CELL)
 
 
-def sweep(spark, sf, level_rows: DataFrame) -> DataFrame:
-    """Fits every (level, seed) cell: judge rows of the level, a human draw of 300 by seed; counts only reach the tasks."""
+def sweep(spark, sf, level_rows: DataFrame, budgets: tuple[int, ...] = ()) -> DataFrame:
+    """Fits every (level, seed) cell: judge rows of the level, a human draw of 300 by seed; counts only reach the tasks.
+
+    With budgets they are the levels, each with all judge rows and a human draw of that size (-1: all).
+    """
     from ..operators import panel as P
 
-    low = P.counts(level_rows, "level", "k", "i", "j", "a")
+    if budgets:
+        low = P.counts(level_rows, "k", "i", "j", "a").withColumn("level", F.explode(F.array(*(F.lit(float(b)) for b in budgets))))
+    else:
+        low = P.counts(level_rows, "level", "k", "i", "j", "a")
     low = low.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("seed")).withColumn("side", F.lit("L"))
-    h = _union([X.draw(human(spark, sf), 300, f"h{s}", "record_id").withColumn("seed", F.lit(s)) for s in (0, 1)])
-    pairs = P.counts(h, "seed", "i", "j").crossJoin(F.broadcast(level_rows.select("level").distinct())).withColumns({"side": F.lit("H"), "k": F.lit(0), "a": F.lit(0)})
+    h = _union([X.draw(human(spark, sf), n, f"h{s}", "record_id").withColumns({"seed": F.lit(s), "level": F.lit(float(n))}) for s in (0, 1) for n in budgets or (300,)])
+    pairs = P.counts(h, "level", "seed", "i", "j")
+    pairs = (pairs if budgets else pairs.drop("level").crossJoin(F.broadcast(level_rows.select("level").distinct()))).withColumns({"side": F.lit("H"), "k": F.lit(0), "a": F.lit(0)})
     both = low.unionByName(pairs.select(*low.columns))
 
     def work(p: pd.DataFrame) -> pd.DataFrame:
@@ -310,7 +317,7 @@ def sweep_order(spark, sf):
 @query(name="sweep_noise")
 def sweep_noise(spark, sf):
     rows = llm(spark, sf)
-    return sweep(spark, sf, _union([(X.inject(rows, "anti", m, "w2", 4) if m else rows).withColumn("level", F.lit(float(m))) for m in (0, 2)]))
+    return sweep(spark, sf, _union([(X.inject(rows, "anti", m, "w2", 4) if m else rows).withColumn("level", F.lit(float(m))) for m in (0, 1, 2, 4, 8)]))
 
 
 @query(name="sweep_noise_scarce")
@@ -321,7 +328,7 @@ def sweep_noise_scarce(spark, sf):
 
 @query(name="sweep_budget")
 def sweep_budget(spark, sf):
-    return sweep(spark, sf, llm(spark, sf).withColumn("level", F.lit(-1.0)))
+    return sweep(spark, sf, llm(spark, sf), (50, 100, 200, 400, 800, 1600, -1))
 
 
 @query(name="sweep_llm_budget")

@@ -89,3 +89,12 @@ def test_every_judge_is_read_and_fitted(spark, sf):
     fits = {(r.k, r.item): r.score for r in q["judge_btl_all"](spark, sf).collect()}
     assert {k for k, _ in fits} == {0, 1, 2, 3}
     assert {i: s for (k, i), s in fits.items() if k == 1} == {r.item: r.score for r in q["judge_btl"](spark, sf).collect()}
+
+
+def test_sweeps_have_their_levels(spark, sf):
+    from pairforge.plans import catalog
+
+    q = catalog.queries()
+    for name, levels in (("sweep_budget", {50, 100, 200, 400, 800, 1600, -1}), ("sweep_noise", {0, 1, 2, 4, 8})):
+        rows = q[name](spark, sf).collect()
+        assert {r.level for r in rows} == levels and len(rows) == len(levels) * 2 * 4 and not any(r.error for r in rows)
