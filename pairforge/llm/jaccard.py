@@ -2,24 +2,30 @@
 
 Two sets with Jaccard similarity of p % or more and sizes up to s differ in at most H = (100 - p) * 2s / (200 - (100 - p)) tokens.
 The hash space of tokens (the universe) is cut into m segments. Sizes fall into bands; each band has its own H and m, and a
-pair uses the band of its larger set, so that a set near the top of its band is also indexed in the next.
-
-* m = H + 1 + e: at least 1 + e segments of a linked pair are equal. Each set keeps the H + 1 segments with most tokens
-  (ties: the later segment) of its m. The largest equal segment of a pair is kept by both: a set that dropped it would have
-  to drop the other e equal ones too. This is the allocation: cost falls with the tokens that a segment holds, so the
-  e segments of least content (empty ones first) get no share.
-* For small sets that leaves few tokens to a segment. There each segment may differ by one token: H + 1 is handed out as
-  two for a segment with its one-deletion neighbourhood, one for an exact segment, so ceil((H + 1) / 2) segments do.
-
-Keys shared by two documents make a candidate link. Candidates aren't listed: within a key every member is tied to the
-least one (first in each task, then over the tasks' least members, of which there are as many as tasks), and connected
-components of these ties hold every true link. Each component's distinct sets are then compared exactly, in blocks, by
-inverted lists over numpy; only links that join different parts are kept. Documents with equal sets are one class.
+pair uses the band of its larger set, so that a set near the top of its band is also indexed in the next. H + 1 shares are
+dealt to the segments; each way to deal them loses no pair:
+
+* PAIRED: m = ceil((H + 1) / 2), two shares a segment, which may then differ by one token and is indexed with its
+  one-deletion neighbourhood (one exact segment, if H + 1 is odd).
+* SPARE, AMPLE: m = H + 1 + e, with e about H / 8 or H / 2: at least 1 + e segments of a linked pair are equal. Each set
+  indexes the H + 1 segments with most tokens (ties: the later segment). The largest equal segment of a pair is indexed by
+  both: a set that dropped it would have to drop the other e equal ones too.
+
+Which way a band takes is decided by cost: a first pass over all documents counts, for each band and way, the keys and (by a
+sketch of signs) the pairs of entries that would meet in them.
+
+Keys shared by documents make candidates. Within a key all members are tied to the least one, so each candidate pair meets
+in the cell of some least member. A key that many documents of one task hold is hot: there only the task's least member is
+sent on, and the cell is a connected component of such ties. In each cell parity bitmaps of the sets, which bound the number
+of tokens that differ from below, part what can't be linked, and what stays together is compared exactly by inverted
+lists. A cell over BLOCK sets is cut in blocks that all hold its least member; only sets that then are not linked with the
+cell's largest component meet the other blocks. Documents with equal sets are one class.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .base import EXCHANGED, buckets_for, chunks, cut, exchange, id_text, pack, packed_batch, release, tuned
+from .base import EXCHANGED, chunks, cut, exchange, id_text, pack, packed_batch, release, tuned, unpack
 from .components import connected_components
 
-#: Ratio of the largest to the smallest size of a band; sets that one task compares at once.
-BAND, BLOCK = 1.25, 2000
+#: Ratio of the largest to the smallest size of a band; sets that one task compares at once; members of a key in one task from which it is hot.
+BAND, BLOCK, HOT = 1.25, 2000, 16
+#: Ways to deal the shares of a band; sign counters of a sketch; what a meeting pair costs in keys; keys of a bucket.
+PAIRED, SPARE, AMPLE = 0, 1, 2
+SIGNS, PAIR_COST, BUCKET_KEYS = 32, 4.0, 400_000
+#: Bits of a parity bitmap: two a token, in powers of two between these bounds.
+LEAST_BITS, MOST_BITS = 64, 8192
 U = np.uint64
+_TIE = ["<i8", "<i8", "<u1"]
 
 
 def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
@@ -67,33 +79,50 @@ def differ_most(top: int, percent: int) -> int:
     return (100 - percent) * 2 * top // (200 - (100 - percent))
 
 
-def keys_of(u: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of a sorted set, for its band and, if a partner may lie there, the next ones."""
-    size, out = len(u), []
-    if not size:
+def bands_of(size: int, percent: int) -> range:
+    """The bands that a set of this size is indexed in."""
+    return range(band_of(size), band_of(max(size, size * 100 // percent)) + 1)
+
+
+def band_keys(u: np.ndarray, x: np.ndarray, total: np.ndarray, b: int, percent: int, way: int) -> np.ndarray:
+    """Keys of a sorted set in band b; x: its mixed tokens, total: their running sum from 0."""
+    h = differ_most(band_top(b), percent)
+    if way == PAIRED:
+        m = (h + 2) // 2
+        edges = _edges(u, m)
+        seg = total[edges[1:]] - total[edges[:-1]]
+        salt = tk.mix(np.arange(m, dtype=np.uint64) + U(b * 1_000_003 + 7))
+        full = m if (h + 1) % 2 == 0 else m - 1  # segments that may differ by one token; the last may not, if h + 1 is odd
+        part = np.repeat(np.arange(m), np.diff(edges))
+        part, gone = part[part < full], x[: len(part)][part < full]
+        return np.concatenate((tk.mix(seg) ^ salt, tk.mix(seg[part] - gone) ^ salt[part]))
+    m = h + 2 + (h // 8 if way == SPARE else h // 2)
+    edges = _edges(u, m)
+    seg, count = total[edges[1:]] - total[edges[:-1]], np.diff(edges)
+    keep = np.argsort(count, kind="stable")[m - (h + 1) :]
+    return tk.mix(seg[keep] + tk.mix(keep.astype(np.uint64) + U(b * 1_000_003 + 500_009)))
+
+
+def ways_for(b: int, percent: int) -> tuple[int, ...]:
+    """The ways worth counting: a neighbourhood has a key a token, so PAIRED loses wherever that is far above the H + 1 keys of the others."""
+    return (PAIRED, SPARE, AMPLE) if band_top(b) <= 8 * (differ_most(band_top(b), percent) + 1) and band_top(b) <= 128 else (SPARE, AMPLE)
+
+
+def keys_of(u: np.ndarray, percent: int, ways: dict[int, int]) -> np.ndarray:
+    """Keys of a sorted set, for its band and, if a partner may lie there, the next ones; ways: of each band, else SPARE."""
+    if not len(u):
         return u
     x = tk.mix(u)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)))
-    first, last = band_of(size), band_of(max(size, size * 100 // percent))
-    for b in range(first, last + 1):
-        h = differ_most(band_top(b), percent)
-        if h + 1 <= 6:
-            m = (h + 2) // 2
-            edges = _edges(u, m)
-            seg = total[edges[1:]] - total[edges[:-1]]
-            salt = tk.mix(np.arange(m, dtype=np.uint64) + U(b * 1_000_003 + 7))
-            out.append(tk.mix(seg) ^ salt)
-            full = m if (h + 1) % 2 == 0 else m - 1  # segments that may differ by one token; the last may not, if h + 1 is odd
-            part = np.repeat(np.arange(m), np.diff(edges))
-            part, gone = part[part < full], x[: len(part)][part < full]
-            out.append(tk.mix(seg[part] - gone) ^ salt[part])
-        else:
-            m = h + 1 + 1 + h // 8
-            edges = _edges(u, m)
-            seg, count = total[edges[1:]] - total[edges[:-1]], np.diff(edges)
-            keep = np.argsort(count, kind="stable")[m - (h + 1) :]
-            out.append(tk.mix(seg[keep] + tk.mix(keep.astype(np.uint64) + U(b * 1_000_003 + 500_009))))
-    return np.concatenate(out)
+    return np.concatenate([band_keys(u, x, total, b, percent, ways.get(b, SPARE)) for b in bands_of(len(u), percent)])
+
+
+def parity(u: np.ndarray) -> bytes:
+    """A bit for each residue of the tokens' hashes: whether an odd number of tokens has it."""
+    bits = LEAST_BITS
+    while bits < min(2 * len(u), MOST_BITS):
+        bits *= 2
+    return np.packbits(np.bincount((tk.mix(u + U(777)) & U(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
 def _edges(u: np.ndarray, m: int) -> np.ndarray:
@@ -101,34 +130,48 @@ def _edges(u: np.ndarray, m: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(u, bounds), [len(u)]))
 
 
-def _tie(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The least node of each key, and distinct ties of the others to it: key, least, other, its least."""
+def _groups(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Entries in order of key and node: key, node, the number of their group, and where groups start; repeated entries go."""
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
+    once = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1]))) if len(key) else np.empty(0, bool)
+    key, node = key[once], node[once]
     new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.empty(0, bool)
-    least = node[new][np.cumsum(new) - 1] if len(key) else node
-    other = node != least
-    ties = np.unique(np.stack([node[other], least[other]], 1), axis=0)
-    return key[new], node[new], ties[:, 0], ties[:, 1]
+    return key, node, np.cumsum(new) - 1, np.flatnonzero(new)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    both = np.unique(np.stack([a, b], 1), axis=0)
+    return both[:, 0], both[:, 1]
 
 
-def candidate_ties(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b): ties whose connected components hold every pair of documents that share a key."""
-    k = buckets_for(docs)
+def candidate_ties(docs: DataFrame, n: int, percent: int, ways: dict[int, int], n_keys: int) -> DataFrame:
+    """(a, b, hot): of each pair that shares a key, both are tied to a common b; through several ties, where they are hot."""
+    k = max(1, math.ceil(n_keys / BUCKET_KEYS))
+    few = max(1, k // 8)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes, held = [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            key, least, a, b = _tie(np.concatenate(keys), np.concatenate(nodes))
-            if len(key):
-                yield packed_batch([(r, b"K" + v) for r, v in pack((key % U(k)).astype(np.int64), k, [key, least])])
-            if len(a):
-                yield packed_batch([(r, b"T" + v) for r, v in pack(a % k, k, [a, b])])
+            key, node, group, first = _groups(np.concatenate(keys), np.concatenate(nodes))
+            hot = np.diff(np.append(first, len(key)))[group] >= HOT if len(key) else np.empty(0, bool)
+            least = node[first][group] if len(key) else node
+            rest = hot & (node != least)
+            if rest.any():
+                a, b = _pairs(node[rest], least[rest])
+                yield packed_batch([(r, b"T" + v) for r, v in pack(b % few, few, [a, b, np.ones(len(a), np.uint8)])])
+            one = ~rest
+            if one.any():
+                yield packed_batch([(r, b"K" + v) for r, v in pack((key[one] % U(k)).astype(np.int64), k, [key[one], node[one], hot[one].astype(np.uint8)])])
 
         for t in chunks(batches):
+            seen: dict[bytes, int] = {}
             for doc, u in zip(t["doc_id"].to_pylist(), shingle_sets(t["text"].to_pylist(), n), strict=True):
-                key = keys_of(u, percent)
+                same = seen.setdefault(u.tobytes(), doc)  # copies are one class anyway
+                if same != doc or not len(u):
+                    continue
+                key = keys_of(u, percent, ways)
                 keys.append(key)
                 nodes.append(np.full(len(key), doc, np.int64))
                 held += len(key)
@@ -139,15 +182,28 @@ def candidate_ties(docs: DataFrame, n: int, percent: int) -> DataFrame:
             yield from flush()
 
     def meet(values: list[bytes]) -> Iterator[pa.RecordBatch]:
-        from .base import unpack
-
-        key, node = unpack([v[1:] for v in values if v[:1] == b"K"], ["<u8", "<i8"])
-        a, b = unpack([v[1:] for v in values if v[:1] == b"T"], ["<i8", "<i8"])
-        _, _, c, d = _tie(key, node)
-        both = np.unique(np.stack([np.concatenate((a, c)), np.concatenate((b, d))], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-    return exchange(docs.mapInArrow(send, EXCHANGED), k, meet, "a long, b long")
+        ties = [v for v in values if v[:1] == b"T"]
+        out = [(r, v[1:]) for r, v in zip((int(unpack([v[1:]], _TIE)[1][0] % few) for v in ties), ties, strict=True)]
+        key, node, hot = unpack([v[1:] for v in values if v[:1] == b"K"], ["<u8", "<i8", "<u1"])
+        if len(key):
+            flagged = np.unique(key[hot == 1])
+            key, node, group, first = _groups(key, node)
+            least = node[first][group]
+            rest = node != least
+            if rest.any():
+                is_hot = np.isin(key[rest], flagged)
+                for flag in (0, 1):
+                    a, b = _pairs(node[rest][is_hot == flag], least[rest][is_hot == flag])
+                    out += pack(b % few, few, [a, b, np.full(len(a), flag, np.uint8)])
+        if out:
+            yield packed_batch(out)
+
+    def gather(values: list[bytes]) -> Iterator[pa.RecordBatch]:
+        a, b, hot = unpack(values, _TIE)
+        both = np.unique(np.stack([a, b, hot.astype(np.int64)], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(both[:, 2] == 1)], ["a", "b", "hot"])
+
+    return exchange(exchange(docs.mapInArrow(send, EXCHANGED), k, meet, EXCHANGED), few, gather, "a long, b long, hot boolean")
 
 
 class _Parts:
@@ -192,6 +248,71 @@ def linked(sets: list[np.ndarray], ids: list[int], percent: int, fresh: int = 0)
     return out
 
 
+def may_link(sizes: np.ndarray, bitmaps: list[bytes], percent: int) -> np.ndarray:
+    """A label for each set; sets with different labels can't be linked, not even by way of others of these sets.
+
+    Bits in which the parity bitmaps differ are at most the tokens that differ; a longer bitmap is folded to the shorter.
+    """
+    order = np.argsort(sizes, kind="stable")
+    n, label = sizes[order].astype(np.int64), np.arange(len(sizes))
+    maps = [np.frombuffer(bitmaps[k], "<u8") for k in order]
+    width = np.array([len(x) for x in maps])
+    folded: dict[int, np.ndarray] = {}  # the bitmaps that are no shorter than so many words, in order
+    begin: dict[int, int] = {}
+    for w in np.unique(width).tolist():
+        begin[w] = int(np.searchsorted(width, w))
+        folded[w] = np.stack([np.bitwise_xor.reduce(x.reshape(-1, w), 0) for x in maps[begin[w] :]])
+    last = np.searchsorted(n, n * 100 // percent, "right")
+    for k in range(len(n)):
+        w, stop = int(width[k]), int(last[k])
+        if stop <= k + 1 or not n[k]:
+            continue
+        other = np.flatnonzero(label[k + 1 : stop] != label[k]) + k + 1
+        if not len(other):
+            continue
+        rows = folded[w]
+        differ = np.bitwise_count(rows[other - begin[w]] ^ rows[k - begin[w]]).sum(1)
+        near = other[differ * (100 + percent) <= (100 - percent) * (n[k] + n[other])]
+        for x in np.unique(label[near]).tolist():
+            label[label == x] = label[k]
+    out = np.empty(len(n), np.int64)
+    out[order] = label
+    return out
+
+
+def _part(percent: int):  # noqa: ANN202
+    """Over rows (cell, side, doc_id, n_shingles, bitmap), sorted by cell: the rows that may have a link there, with the part they lie in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done() -> tuple[list[int], list[int], list[int]]:
+            label = may_link(np.array([r[2] for r in held]), [r[3] for r in held], percent).tolist()
+            size = Counter(label)
+            fresh = {x for x, r in zip(label, held, strict=True) if r[0] == 1}
+            both = fresh or size
+            stay = [k for k, x in enumerate(label) if size[x] > 1 and x in both]
+            return [int(tk.mix(np.array([now], np.int64).view(np.uint64) + U(label[k]))[0] >> U(1)) for k in stay], [held[k][0] for k in stay], [held[k][1] for k in stay]
+
+        def batch(parts: list[tuple[list[int], list[int], list[int]]]) -> pa.RecordBatch:
+            cols = [[x for p in parts for x in p[k]] for k in range(3)]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], ["cell", "side", "doc_id"])
+
+        parts: list[tuple[list[int], list[int], list[int]]] = []
+        for b in batches:
+            for cell, *row in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                if cell != now:
+                    if len(held) > 1:
+                        parts.append(done())
+                    now, held = cell, []
+                held.append(row)
+            yield batch(parts)
+            parts = []
+        yield batch([done()] if len(held) > 1 else [])
+
+    return run
+
+
 def _compare(percent: int, n: int):  # noqa: ANN202
     """Over rows (cell, side, doc_id, text), sorted by cell: exact links within each cell, of side 0, or of side 1 with 0."""
 
@@ -216,6 +337,74 @@ def _compare(percent: int, n: int):  # noqa: ANN202
     return run
 
 
+def _describe(percent: int, n: int):  # noqa: ANN202
+    """A row for each document: size, two hashes and the parity bitmap of its set. Per task also a row for each band and way, without doc_id:
+    n_shingles is the band, s1 the way, s2 the number of keys, signs their sums under SIGNS random signs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[int, int], list] = {}
+
+        def batch(doc: pa.Array, size: list[int], s1: list[int], s2: list[int], bitmap: list[bytes | None], signs: list) -> pa.RecordBatch:
+            arrays = [doc, pa.array(size, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bitmap, pa.binary()), pa.array(signs, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "s1", "s2", "bitmap", "signs"])
+
+        for t in chunks(batches):
+            sets = shingle_sets(t["text"].to_pylist(), n)
+            mixed = [tk.mix(u) for u in sets]
+            s1 = [int(x.sum(dtype=np.uint64).view(np.int64)) if len(x) else 0 for x in mixed]
+            s2 = [int(np.bitwise_xor.reduce(tk.mix(u + U(12345))).view(np.int64)) if len(u) else 0 for u in sets]
+            yield batch(t["doc_id"].combine_chunks(), list(map(len, sets)), s1, s2, list(map(parity, sets)), [None] * len(sets))
+            found: dict[tuple[int, int], list[np.ndarray]] = {}
+            for u, x in zip(sets, mixed, strict=True):
+                if len(u):
+                    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)))
+                    for b in bands_of(len(u), percent):
+                        for way in ways_for(b, percent):
+                            found.setdefault((b, way), []).append(band_keys(u, x, total, b, percent, way))
+            for at, keys in found.items():
+                low = np.ascontiguousarray((np.concatenate(keys) >> U(16)).astype("<u4"))
+                have = counts.setdefault(at, [0, np.zeros(SIGNS, np.int64)])
+                have[0] += len(low)
+                have[1] += 2 * np.unpackbits(low.view(np.uint8).reshape(-1, 4), axis=1).sum(0, dtype=np.int64) - len(low)
+        rows = sorted(counts.items())
+        yield batch(pa.nulls(len(rows), pa.int64()), [b for (b, _), _ in rows], [w for (_, w), _ in rows], [c[0] for _, c in rows], [None] * len(rows), [c[1].tolist() for _, c in rows])
+
+    return run
+
+
+def cheapest_ways(facts: DataFrame) -> tuple[dict[int, int], int]:
+    """The way of each band with the least cost, and the number of keys in all; a few dozen bands come to the driver."""
+    sums = [F.sum(F.get("signs", F.lit(k))).alias(f"z{k}") for k in range(SIGNS)]
+    rows = facts.where("doc_id is null").groupBy(F.col("n_shingles").alias("band"), F.col("s1").alias("way")).agg(F.sum("s2").alias("keys"), *sums).collect()
+    cost: dict[int, list[tuple[float, int, int]]] = {}
+    for r in rows:
+        meet = max(0.0, sum(float(r[f"z{k}"]) ** 2 for k in range(SIGNS)) / SIGNS - r.keys) / 2
+        cost.setdefault(r.band, []).append((r.keys + PAIR_COST * meet, r.way, r.keys))
+    best = {b: min(c) for b, c in cost.items()}
+    return {b: way for b, (_, way, _) in best.items()}, sum(keys for _, _, keys in best.values())
+
+
+def _exact_links(docs: DataFrame, cells: DataFrame, reps: DataFrame, percent: int, n: int) -> DataFrame:
+    """cells (cell, side, doc_id) -> (a, b): a spanning forest of the links in each cell."""
+    rows = cells.join(reps, "doc_id").select("cell", "side", "doc_id", "n_shingles", "bitmap")
+    parts = cut(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_part(percent), "cell long, side int, doc_id long"))
+    release(docs.sparkSession)
+    placed = docs.join(parts, "doc_id").select("cell", "side", "doc_id", "text")
+    return cut(placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(percent, n), "a long, b long"))
+
+
+def _unsettled(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Cells for what is left of the cells that were cut in blocks: all their sets (side 0) against those that their largest component doesn't hold (side 1)."""
+    m = members.where("blocks > 1").join(comps, F.col("doc_id") == F.col("node"), "left").select("cell", "block", "blocks", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
+    main = m.groupBy("cell", "comp").agg(F.count("*").alias("g")).groupBy("cell").agg(F.sum("g").alias("all"), F.max(F.struct("g", "comp")).alias("m"))
+    left = main.where("all > m.g").select("cell", F.col("m.comp").alias("main"), F.ceil((F.col("all") - F.col("m.g")) / BLOCK).cast("int").alias("rest"))
+    m = m.join(left, "cell")
+    cell = F.xxhash64(F.col("cell"), F.lit("rest"), "i", "j").alias("cell")
+    old = m.select("cell", "doc_id", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("i")).select(cell, F.lit(0).alias("side"), "doc_id")
+    new = m.where("comp <> main").select("cell", "doc_id", F.pmod(F.xxhash64("doc_id", F.lit("rest")), F.col("rest")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    return old.union(new.select(cell, F.lit(1).alias("side"), "doc_id"))
+
+
 def ngram_jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs with a doc_id.
 
@@ -225,38 +414,34 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) ->
     doc_id count as one node with the links of each and keep their own n_shingles; other columns are ignored; an empty
     table gives an empty result.
     """
-    tuned(docs.sparkSession)
+    spark = docs.sparkSession
+    tuned(spark)
     docs = id_text(docs)
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in chunks(batches):
-            sets = shingle_sets(t["text"].to_pylist(), n)
-            s1 = [int(tk.mix(u).sum(dtype=np.uint64).view(np.int64)) if len(u) else 0 for u in sets]
-            s2 = [int(np.bitwise_xor.reduce(tk.mix(u + U(12345))).view(np.int64)) if len(u) else 0 for u in sets]
-            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), pa.array(list(map(len, sets)), pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())], ["doc_id", "n_shingles", "s1", "s2"])
-
-    facts = cut(docs.mapInArrow(describe, "doc_id long, n_shingles long, s1 long, s2 long"))
-    least = facts.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    classed = cut(facts.join(least, ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", "rep"))
-    ties = connected_components(candidate_ties(docs, n, percent))
-    release(docs.sparkSession)
-
-    members = classed.where("doc_id = rep").distinct().join(ties, F.col("rep") == F.col("node")).select("comp", "doc_id", "n_shingles")
-    large = members.groupBy("comp").agg(F.count("*").alias("g")).where("g > 1")
-    members = members.join(large, "comp")
-    # A large component is cut by size: bucket k and k + 1 hold all partners of a set in k, as linked sizes differ by less than a bucket.
-    bucket = F.floor(F.log(F.col("n_shingles")) / math.log(100.1 / percent)).cast("int")
-    lows = F.when(F.col("g") <= BLOCK, F.array(F.lit(-1))).otherwise(F.array(bucket - 1, bucket))
-    cut_up = members.select("comp", "doc_id", F.explode(lows).alias("low"))
-    sizes = cut_up.groupBy("comp", "low").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    # Of what is still too large each pair of blocks is a cell; side 1 is compared with side 0 and itself.
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    cells = cut_up.join(sizes, ["comp", "low"]).withColumn("own", own).select("comp", "low", "doc_id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = cells.select(F.xxhash64("comp", "low", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "doc_id")
-    placed = docs.join(cells, "doc_id").select("cell", "side", "doc_id", "text")
-    links = placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(percent, n), "a long, b long")
-    # Equal sets of one doc_id's rows apart, a class is one node; rows that repeat a doc_id tie their classes.
-    own_ties = classed.where("rep is not null and rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    comps = connected_components(links.union(own_ties))
-    release(docs.sparkSession)
+    facts = cut(docs.mapInArrow(_describe(percent, n), "doc_id long, n_shingles long, s1 long, s2 long, bitmap binary, signs array<long>"))
+    ways, n_keys = cheapest_ways(facts)
+    found = facts.where("doc_id is not null").drop("signs")
+    least = found.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+    classed = cut(found.join(least, ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", "rep", "bitmap"))
+    # Of two sets of one doc_id both rows stay: either may have the links.
+    reps = classed.where("doc_id = rep").select("doc_id", "n_shingles", "bitmap").distinct()
+    rep_of = lambda x: classed.where("rep is not null").select(F.col("doc_id").alias(x), F.col("rep").alias(f"rep_{x}")).distinct()
+
+    ties = cut(candidate_ties(docs, n, percent, ways, n_keys))
+    release(spark)
+    ties = cut(ties.join(rep_of("a"), "a").join(rep_of("b"), "b").where("rep_a <> rep_b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "hot").distinct())
+    stars = ties.where("not hot").select(F.col("b").alias("at"), F.explode(F.array("a", "b")).alias("doc_id"))
+    hot = connected_components(ties.where("hot")).select(F.col("comp").alias("at"), F.col("node").alias("doc_id"))
+    cells = stars.select(F.xxhash64(F.lit("star"), "at").alias("cell"), "at", "doc_id").union(hot.select(F.xxhash64(F.lit("hot"), "at").alias("cell"), "at", "doc_id")).distinct()
+    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = cut(cells.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
+    # The least member, which most others are tied to, is in every block.
+    block = F.explode(F.when(F.col("doc_id") == F.col("at"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))).alias("block")
+    links = _exact_links(docs, members.select("cell", "doc_id", block).select(F.xxhash64("cell", "block").alias("cell"), F.lit(0).alias("side"), "doc_id"), reps, percent, n)
+    # Rows that repeat a doc_id tie their classes.
+    links = links.union(classed.where("rep is not null and rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    comps = connected_components(links)
+    if members.where("blocks > 1").take(1):
+        links = links.union(_exact_links(docs, _unsettled(members, comps), reps, percent, n))
+        comps = connected_components(links)
+    release(spark)
     return classed.join(comps, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
