@@ -268,11 +268,8 @@ def _staged(c, i, j, n, y):
 
 @_rows_only("atc", _SCORES)
 def _atc(c, i, j, n, y):
-    """Pooled order from the judges, human scores made monotone along it."""
-    order = np.argsort(K.btl(c.i, c.j, c.n, c.y, c.N)[0], kind="stable")
-    s = np.empty(c.N)
-    s[order] = K.isotonic(K.btl(i, j, n, y, c.N, firth=True)[0][order])
-    return scores(s - s.mean())
+    """The judges' pooled scores, made monotone along the order of the humans' scores."""
+    return scores(K.monotone_along(K.btl(i, j, n, y, c.N)[0], K.btl(c.i, c.j, c.n, c.y, c.N)[0]))
 
 
 @_rows_only("joint_fit", "item string, score double, criterion double, converged boolean")
@@ -385,7 +382,7 @@ def _widened(c, i, j, n, y):
     a = f["cov_s"] * n.sum() @ lap
     m = (np.eye(c.N) - a) @ np.linalg.pinv(lap) @ (np.eye(c.N) - a).T
     stat, df, _ = K.lr_test(w, i, j, n, y)
-    shift = np.sqrt(2 * K.ncx2_interval(stat, df)[1] / (2 * n.sum()))
+    shift = np.sqrt(2 * K.ncx2_interval(stat, df, 0.95)[1] / (2 * n.sum()))
     out = []
     for x in range(c.N):
         for z in range(x + 1, c.N):
