@@ -113,7 +113,7 @@ def exchange(df: DataFrame, n_buckets: int, reduce: Callable[[list[bytes]], Iter
         if held:
             yield from reduce(held)
 
-    return df.repartition(max(1, n_buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return df.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
 def release(spark: SparkSession) -> None:
