@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,8 +34,10 @@ NOISE = re.compile(
     r"(?<![a-z])(?:ads?|advert|adverts|advertisement|adsense|sponsor|sponsored|promo|cookie|cookies|consent|gdpr|notice|banner|sidebar|side|menu|nav|navbar|navigation|breadcrumb|breadcrumbs"
     r"|footer|header|masthead|contentinfo|complementary|search|comment|comments|commentlist|disqus|respond|replies|reply|share|sharing|social|related|recommended|widget|newsletter|subscribe|signup|popup|modal|login|toolbar|pagination|pager)(?![a-z])"
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.DOTALL)
-_HINT = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+#: What a tag starts with; its attributes with quotes in pairs; without regard to quotes; what else markup can be.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_QUOTED = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
+_HINT = re.compile(r"(?:^|\s)(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none", re.IGNORECASE)
 _WHITE = re.compile(r"\s+")
 #: Class words that say what a page has around its text ("with-sidebar") mark nothing.
@@ -54,19 +57,48 @@ class Node:
 
 
 def noise(attrs: str) -> int:
-    """2 if a class, id or role is a word of NOISE, 1 if only a part of a longer one is ("cookie-notice"), else 0."""
-    found = [m for x in _HINT.findall(attrs) for w in (x[0] or x[1] or x[2]).lower().split() if not _STATE.match(w) for m in [(NOISE.search(w), w)] if m[0]]
-    return max((2 if m[0] == w else 1 for m, w in found), default=0)
+    """2 if a class, id or role is a word of NOISE, 1 if only a part of a longer one is ("cookie-notice") or a label's word is, else 0."""
+    found = [(m, w, x[0].lower()) for x in _HINT.findall(attrs) for w in (x[1] or x[2] or x[3]).lower().split() if not _STATE.match(w) for m in [NOISE.search(w)] if m]
+    return max((2 if m[0] == w and kind != "aria-label" else 1 for m, w, kind in found), default=0)
 
 
-def parse(page: str) -> tuple[Node, list[str | None]]:
+class _Open:
+    """The open elements, with the places of each name, so that a look-up doesn't walk the stack."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack, self.at, self.scopes = [root], defaultdict(list), []
+
+    def push(self, node: Node) -> None:
+        self.at[node.tag].append(len(self.stack))
+        if node.tag in SCOPE:
+            self.scopes.append(len(self.stack))
+        self.stack.append(node)
+
+    def pop(self) -> Node:
+        node = self.stack.pop()
+        self.at[node.tag].pop()
+        if node.tag in SCOPE:
+            self.scopes.pop()
+        return node
+
+    def find(self, tags: tuple[str, ...], through: bool) -> int:
+        """The place of the last open element of these names, 0 if there is none or, unless through, if an element of SCOPE lies above it."""
+        k = max((self.at[t][-1] for t in tags if self.at[t]), default=0)
+        return k if through or not self.scopes or self.scopes[-1] <= k else 0
+
+
+def parse(page: str, by_class: bool = True) -> tuple[Node, list[str | None]]:
     """The DOM without what is left out, and its texts in order; None is a block's edge.
 
-    An element that only a part of a longer class word speaks against stays if it holds most of the text.
+    An element that only a part of a longer class word speaks against stays if it holds most of the text; without by_class no
+    class word says anything. The time is linear in the page's length: a tag with a quote that is open up to the page's end
+    ends at its first ">", and so do all tags after it, whatever their quotes.
     """
     root = Node("#", None, 0)
-    stack, events, out, at, links = [root], [], [], 0, 0  # out: open elements that are left out
-    n = len(page)
+    open_, events, at, links = _Open(root), [], 0, 0
+    out, out_names = [], Counter()  # open elements that are left out
+    n, last, quotes = len(page), page.rfind(">"), True
+    stack = open_.stack
 
     def text(s: str) -> None:
         if s and not out:
@@ -79,40 +111,50 @@ def parse(page: str) -> tuple[Node, list[str | None]]:
     def close(depth: int) -> None:
         nonlocal links
         while len(stack) > depth:
-            node = stack.pop()
+            node = open_.pop()
             node.last = len(events)
             links -= node.tag == "a"
 
     while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
-            text(page[at:])
+        begin = page.find("<", at)
+        if begin < 0 or begin > last:
+            text(page[at:].partition("<!--")[0])
             break
-        text(page[at : m.start()])
-        at = m.end()
-        shut, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
+        text(page[at:begin])
+        if page.startswith("<!--", begin):
+            at = page.find("-->", begin + 4)
+            at = n if at < 0 else at + 3
+            continue
+        m = _TAG.match(page, begin)
+        if not m:
+            at = begin + 1
+            if page[at : at + 1] in ("!", "?", "/"):
+                at = page.index(">", at) + 1
+            else:
+                text("<")
             continue
-        tag = tag.lower()
+        end = _QUOTED.match(page, m.end()) if quotes else None
+        quotes = end is not None
+        at = end.end() if end else page.index(">", m.end()) + 1 if m.end() <= last else n
+        shut, tag, attrs = m[1], m[2].lower(), page[m.end() : at - 1]
         if shut:
             if out:
-                if tag in out:
-                    while out.pop() != tag:
-                        pass
+                if out_names[tag]:
+                    while True:
+                        out_names[gone := out.pop()] -= 1
+                        if gone == tag:
+                            break
                     if not out:
                         events.append(None)
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
-                if stack[k].tag in SCOPE and tag not in BLOCK:
-                    break
+            if k := open_.find((tag,), tag in BLOCK):
+                close(k)
             if tag in BLOCK:
                 events.append(None)
             continue
         if tag in RAW:
-            end = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.IGNORECASE).search(page, at)
+            # Up to the last ">", so that the first closing tag that is found also ends.
+            end = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.IGNORECASE).search(page, at, last + 1)
             at = end.end() if end else n
             continue
         if tag in VOID:
@@ -121,31 +163,26 @@ def parse(page: str) -> tuple[Node, list[str | None]]:
             if not out:
                 stack[-1].tags += 1
             continue
-        if out:
+        doubt = 0
+        if not out:
+            doubt = 0 if tag in KEPT else 2 if tag in LEFT_OUT or _HIDDEN.search(attrs) else noise(attrs) if by_class else 0
+        if out or doubt == 2:
             out.append(tag)
+            out_names[tag] += 1
             continue
-        doubt = 0 if tag in KEPT else 2 if tag in LEFT_OUT or _HIDDEN.search(attrs) else noise(attrs)
-        if doubt == 2:
-            out.append(tag)
-            continue
-        if tag in ("html", "body") and any(x.tag == tag for x in stack):
+        if tag in ("html", "body") and open_.at[tag]:
             continue
-        over = ("p",) if tag in CLOSES_P else SAME.get(tag, ())
-        if over:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in over:
-                    close(k)
-                    break
-                if stack[k].tag in SCOPE:
-                    break
+        if k := open_.find(("p",) if tag in CLOSES_P else SAME.get(tag, ()), False):
+            close(k)
         if tag in BLOCK:
             events.append(None)
         node = Node(tag, stack[-1], len(events))
         node.doubtful = doubt == 1
         stack[-1].kids.append(node)
-        stack.append(node)
+        open_.push(node)
         links += tag == "a"
-    close(0)
+    close(1)
+    root.last = len(events)
     return _without_doubtful(root, events), events
 
 
@@ -206,8 +243,8 @@ def main_nodes(root: Node) -> list[Node]:
     while x is not body and x.up is not None:
         x = x.up
         path.append(x)
-    # The whole of the nearest article or main belongs to it.
-    main = next((k for k, up in enumerate(path) if k and up.tag in ("article", "main")), 0)
+    # The whole of the nearest article or main belongs to it, if that is denser than the page.
+    main = next((k for k, up in enumerate(path) if k and up.tag in ("article", "main") and up.density >= body.density), 0)
     least = min(x.density for x in path)
     kept, todo = [], [path[-1]]
     above = {id(x) for x in path[main + 1 :]}
@@ -249,13 +286,25 @@ def _heading(x: Node) -> bool:
     return True
 
 
+#: Decimal references: zeros in front, and numbers over every code point, which html.unescape can't convert if very long.
+_ZEROS, _HUGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
+
+
+def decoded(text: str) -> str:
+    return html.unescape(_HUGE.sub("\ufffd", _ZEROS.sub("&#", text)) if "&#" in text else text)
+
+
 def extract(page: str) -> str:
-    root, events = parse(page)
+    """The main text; if class words leave none, the main text without regard to them."""
+    return _extract(*parse(page)) or _extract(*parse(page, by_class=False))
+
+
+def _extract(root: Node, events: list[str | None]) -> str:
     blocks, now = [], []
     for e in (e for node in main_nodes(root) for e in [*events[node.first : node.last], None]):
         if e is None:
             if now:
-                blocks.append(_WHITE.sub(" ", html.unescape("".join(now))).strip())
+                blocks.append(_WHITE.sub(" ", decoded("".join(now))).strip())
                 now = []
         else:
             now.append(e)
