@@ -99,8 +99,8 @@ class _Rows:
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Places where that split always cuts: before the one space in front of a word, and around other white space.
 _UNITS = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-#: Units whose ids a task remembers at once.
-CACHED = 600_000
+#: Units whose ids a task remembers at once; characters of a unit from which tiktoken, whose split recurses, isn't asked.
+CACHED, LONG_UNIT = 600_000, 10_000
 
 
 class _Ids(dict):
@@ -110,9 +110,11 @@ class _Ids(dict):
         self.encode = encode
 
     def __missing__(self, unit: str) -> bytes:
-        if len(self) >= CACHED:
-            self.clear()
-        out = self[unit] = np.array(self.encode(unit), "<u4").tobytes()
+        out = np.array(self.encode(unit), "<u4").tobytes()
+        if len(unit) < LONG_UNIT:
+            if len(self) >= CACHED:
+                self.clear()
+            self[unit] = out
         return out
 
 
@@ -120,8 +122,8 @@ def tokenizer(path: str) -> Callable[[str], np.ndarray]:
     """encode(text) -> the ids that the tokenizers library gives for the file at path, without special tokens added.
 
     If the file is a byte-level BPE with the usual split, units between its certain cuts are encoded once and remembered;
-    tiktoken encodes them, with the file's own vocabulary. Texts that hold a special token, and all texts for other
-    files, go to the tokenizers library.
+    tiktoken encodes them, with the file's own vocabulary. Very long units, texts that hold a special token, and all texts for
+    other files go to the tokenizers library.
     """
     from tokenizers import Tokenizer
 
@@ -136,7 +138,8 @@ def tokenizer(path: str) -> Callable[[str], np.ndarray]:
 
     byte_of = _byte_alphabet()
     ranks = {bytes(byte_of[c] for c in token): n for token, n in spec["model"]["vocab"].items() if token not in special}
-    ids = _Ids(tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary)
+    fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    ids = _Ids(lambda unit: fast(unit) if len(unit) < LONG_UNIT else slow.encode(unit, add_special_tokens=False).ids)
     return lambda text: whole(text) if any(x in text for x in special) else np.frombuffer(b"".join(map(ids.__getitem__, _UNITS.findall(text))), "<u4")
 
 
