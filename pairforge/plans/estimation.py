@@ -25,7 +25,7 @@ def cells(spark, sf, with_human: bool = True) -> DataFrame:
     """Counts of both sources in one small table: side, k, i, j, a, n, y2."""
     out = P.counts(llm(spark, sf), "k", "i", "j", "a").withColumn("side", F.lit("L")).select("side", "k", "i", "j", "a", "n", "y2")
     if with_human:
-        h = fx.human_sim(spark, sf).join(F.broadcast(P.item_index(fx.records(spark, sf)).withColumnsRenamed({"item": "item_i", "idx": "i"})), "item_i").join(F.broadcast(P.item_index(fx.records(spark, sf)).withColumnsRenamed({"item": "item_j", "idx": "j"})), "item_j")
+        h = fx.human_sim(spark, sf).join(P.item_index(fx.records(spark, sf)).withColumnsRenamed({"item": "item_i", "idx": "i"}), "item_i").join(P.item_index(fx.records(spark, sf)).withColumnsRenamed({"item": "item_j", "idx": "j"}), "item_j")
         out = out.unionByName(pairs(h.select("i", "j", (2 * F.col("y")).alias("y2"))).select("side", "k", "i", "j", "a", "n", "y2"))
     return out
 
@@ -131,10 +131,18 @@ def cal_uq(spark, sf):
     return fitted(human_cells(spark, sf), work, "alpha double, se double")
 
 
-@query(name="calibrate_w")
+_W2 = "(VALUES ('click',1.0::DOUBLE),('error',0.5),('purchase',1.0),('signup',-0.1),('view',-2.4)) w{0}(item, v)"
+_NEWTON_W = _HS + f""", cell AS (SELECT d AS x, w1.v - w2.v AS z, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS y FROM hs JOIN {_W2.format(1)} ON w1.item = item_i JOIN {_W2.format(2)} ON w2.item = item_j GROUP BY item_i, item_j, d, w1.v, w2.v),
+it AS (SELECT 0 AS step, 0.0::DOUBLE AS p, 0.0::DOUBLE AS q UNION ALL
+  SELECT step + 1, p + (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), q + (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) FROM (
+    SELECT any_value(it.step) AS step, it.p, it.q, sum(x * (y - n / (1 + exp(-p * x - q * z)))) AS g1, sum(z * (y - n / (1 + exp(-p * x - q * z)))) AS g2, sum(x * x * n / (1 + exp(-p * x - q * z)) / (1 + exp(p * x + q * z))) AS h11,
+      sum(x * z * n / (1 + exp(-p * x - q * z)) / (1 + exp(p * x + q * z))) AS h12, sum(z * z * n / (1 + exp(-p * x - q * z)) / (1 + exp(p * x + q * z))) AS h22 FROM it, cell WHERE it.step < 25 GROUP BY it.step, it.p, it.q))"""
+
+
+@query("SELECT term, round(CASE term WHEN 'alpha' THEN p ELSE q END, 6) AS value FROM it, (VALUES ('alpha'), ('a1')) t(term) WHERE step = 25", _NEWTON_W)
 def calibrate_w(spark, sf):
     w = np.stack([TRUTH, np.array([1, 0.5, 1, -0.1, -2.4])], 1)
-    return fitted(human_cells(spark, sf), lambda p: {"term": ["alpha", "a1"], "value": _cal(p, w)["coef"]}, "term string, value double")
+    return fitted(human_cells(spark, sf), lambda p: {"term": ["alpha", "a1"], "value": np.round(_cal(p, w)["coef"], 6)}, "term string, value double")
 
 
 @query("SELECT round(nll / n + trace / (n - 1), 6) AS gacv FROM (SELECT sum(n) AS n, sum(y * ln(1 + exp(-alpha * d)) + (n - y) * ln(1 + exp(alpha * d))) AS nll, (sum((y * (p - 1) * (p - 1) + (n - y) * p * p) * d * d) / sum(n) - pow(sum(d * (n * p - y)) / sum(n), 2)) / (sum(d * d * n * p * (1 - p)) / sum(n)) AS trace FROM (SELECT cell.*, alpha, 1 / (1 + exp(-alpha * d)) AS p FROM cell, it WHERE step = 25))", _NEWTON)
@@ -200,11 +208,11 @@ def isotonic(spark, sf):
     return fitted(spark.createDataFrame(list(enumerate(TRUTH.tolist())), "idx int, s double"), lambda p: {"idx": p.sort_values("idx").idx, "fit": np.round(K.isotonic(p.sort_values("idx").s.to_numpy()), 6)}, "idx int, fit double")
 
 
-def _rows_only(name: str, schema: str):  # noqa: ANN202
-    """Registers a kernel function of (counts, i, j, n, y) as a query without SQL."""
+def _rows_only(name: str, schema: str, sql: str | None = None, base: str = ""):  # noqa: ANN202
+    """Registers a kernel function of (counts, i, j, n, y) as a query, mostly without SQL."""
 
     def put(work):  # noqa: ANN001, ANN202
-        query(name=name)(lambda spark, sf: fitted(cells(spark, sf), lambda p: work(*split(p)), schema))
+        query(sql, base, name)(lambda spark, sf: fitted(cells(spark, sf), lambda p: work(*split(p)), schema))
         return work
 
     return put
@@ -243,14 +251,36 @@ def _firth(c, i, j, n, y):
     return scores(K.btl(i, j, n, y, c.N, firth=True)[0])
 
 
-@_rows_only("init_b", "judge int, b double")
+# Bradley-Terry scores of both sources by the MM iteration, and human pairs of the simulation with their labels.
+_TWO = _HS + """,
+hp AS (SELECT a.idx AS i, b.idx AS j, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS y FROM hs JOIN items a ON a.item = hs.item_i JOIN items b ON b.item = hs.item_j GROUP BY ALL),
+lp AS (SELECT i, j, count(*)::DOUBLE AS n, sum(y2) / 2.0::DOUBLE AS y FROM llm GROUP BY ALL),
+sides AS (SELECT 'H' AS src, i AS s, j AS o, n, y AS w FROM hp UNION ALL SELECT 'H', j, i, n, n - y FROM hp UNION ALL SELECT 'L', i, j, n, y FROM lp UNION ALL SELECT 'L', j, i, n, n - y FROM lp),
+wins AS (SELECT src, s, sum(w) AS w FROM sides GROUP BY ALL),
+mm AS (SELECT 0 AS step, src, s, 1.0::DOUBLE AS p FROM wins UNION ALL
+  SELECT mm.step + 1, mm.src, mm.s, any_value(wins.w) / sum(sides.n / (mm.p + other.p)) FROM mm JOIN sides ON sides.s = mm.s AND sides.src = mm.src JOIN mm other ON other.s = sides.o AND other.src = mm.src JOIN wins ON wins.s = mm.s AND wins.src = mm.src WHERE mm.step < 400 GROUP BY mm.step, mm.src, mm.s),
+bt AS (SELECT src, s AS idx, ln(p) - avg(ln(p)) OVER (PARTITION BY src) AS score FROM mm WHERE step = 400)"""
+_POOLED = _TWO + """,
+hd AS (SELECT hp.n, hp.y, a.score - b.score AS d FROM hp JOIN bt a ON a.idx = hp.i AND a.src = 'L' JOIN bt b ON b.idx = hp.j AND b.src = 'L'),
+al AS (SELECT 0 AS step, 1.0::DOUBLE AS alpha UNION ALL SELECT step + 1, alpha + (SELECT sum(d * (y - n / (1 + exp(-al.alpha * d)))) / sum(d * d * n / (1 + exp(-al.alpha * d)) / (1 + exp(al.alpha * d))) FROM hd) FROM al WHERE step < 25)"""
+_ISO = _TWO + """,
+o AS (SELECT row_number() OVER (ORDER BY h.score, h.idx) AS r, l.idx, l.score AS s FROM bt h JOIN bt l ON l.idx = h.idx AND l.src = 'L' WHERE h.src = 'H'),
+iso AS (SELECT r, idx, max(lo) AS fit FROM (SELECT x.r, x.idx, l.r AS b, min((SELECT avg(s) FROM o m WHERE m.r BETWEEN l.r AND u.r)) AS lo FROM o x JOIN o l ON l.r <= x.r JOIN o u ON u.r >= x.r GROUP BY ALL) GROUP BY ALL)"""
+_INIT_B = _TWO + """,
+jd AS (SELECT k, a, count(*)::DOUBLE AS n, sum(y2) / 2.0::DOUBLE AS y, x.score - z.score AS d FROM llm JOIN bt x ON x.idx = llm.i AND x.src = 'L' JOIN bt z ON z.idx = llm.j AND z.src = 'L' GROUP BY k, a, i, j, x.score, z.score),
+bs AS (SELECT 0 AS step, k, 0.0::DOUBLE AS b FROM (SELECT DISTINCT k FROM jd) UNION ALL
+  SELECT any_value(bs.step) + 1, bs.k, any_value(bs.b) + sum(a * (y - n / (1 + exp(-d - a * bs.b)))) / sum(n / (1 + exp(-d - a * bs.b)) / (1 + exp(d + a * bs.b))) FROM bs JOIN jd USING (k) WHERE bs.step < 25 GROUP BY bs.step, bs.k)"""
+_LR = _NEWTON + _TWO[len(_HS) :]
+
+
+@_rows_only("init_b", "judge int, b double", "SELECT k AS judge, round(b, 6) AS b FROM bs WHERE step = 25", _INIT_B)
 def _init_b(c, i, j, n, y):
     mu = K.btl(c.i, c.j, c.n, c.y, c.N)[0]
     b = [K.logistic(c.a[c.k == k][:, None], c.n[c.k == k], c.y[c.k == k], (mu[c.i] - mu[c.j])[c.k == k], bound=10.0)[0][0] for k in range(c.K)]
-    return {"judge": range(c.K), "b": b}
+    return {"judge": range(c.K), "b": np.round(b, 6)}
 
 
-@_rows_only("pooled_cal", _SCORES)
+@_rows_only("pooled_cal", _SCORES, "SELECT item, round(alpha * score, 6) AS score FROM al, bt JOIN items ON items.idx = bt.idx WHERE al.step = 25 AND src = 'L'", _POOLED)
 def _pooled(c, i, j, n, y):
     return scores(K.calibrate(K.btl(c.i, c.j, c.n, c.y, c.N)[0][:, None], i, j, n, y)["s"])
 
@@ -266,7 +296,7 @@ def _staged(c, i, j, n, y):
     return scores(K.calibrate(np.concatenate([f["mu"][:, None], f["V"]], 1), i, j, n, y)["s"])
 
 
-@_rows_only("atc", _SCORES)
+@_rows_only("atc", _SCORES, "SELECT item, round(fit - avg(fit) OVER (), 6) AS score FROM iso JOIN items USING (idx)", _ISO)
 def _atc(c, i, j, n, y):
     """The judges' pooled scores, made monotone along the order of the humans' scores."""
     return scores(K.monotone_along(K.btl(i, j, n, y, c.N)[0], K.btl(c.i, c.j, c.n, c.y, c.N)[0]))
@@ -365,6 +395,12 @@ def _lr(c, i, j, n, y):
     return {"stat": [stat], "df": [df], "p_value": [p]}
 
 
+@_rows_only("lr_stat", "stat double, df int", "SELECT round(2 * ((SELECT sum(y * ln(1 + exp(-alpha * d)) + (n - y) * ln(1 + exp(alpha * d))) FROM cell, it WHERE step = 25) - (SELECT sum(y * ln(1 + exp(b.score - a.score)) + (n - y) * ln(1 + exp(a.score - b.score))) FROM hp JOIN bt a ON a.idx = hp.i AND a.src = 'H' JOIN bt b ON b.idx = hp.j AND b.src = 'H')), 4) AS stat, 3 AS df", _LR)
+def _lr_stat(c, i, j, n, y):
+    stat, df, _ = K.lr_test(TRUTH[:, None], i, j, n, y)
+    return {"stat": [round(stat, 4)], "df": [df]}
+
+
 @_rows_only("ncx2_ci", "stat double, lower double, upper double")
 def _ncx2(c, i, j, n, y):
     stat, df, _ = K.lr_test(TRUTH[:, None], i, j, n, y)

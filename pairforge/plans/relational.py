@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import verdicts
 from ..operators import collect
+from ..operators import metrics
 from ..operators import panel as P
 from ..operators import sampling as X
 from ..sources import fixture as fx
@@ -495,6 +496,33 @@ def pop_excess(spark, sf):
     return item_pairs(mu(spark).select("idx", "s")).agg(R6(F.sum(risk(d)) - F.sum(risk(1.2 * d))).alias("excess"))
 
 
+_EVALUATE = """SELECT round(mse, 6) AS mse, round(spearman, 6) AS spearman, round(ndcg, 6) AS ndcg, round(sign_accuracy, 6) AS sign_accuracy, round(kendall, 6) AS kendall, round(coverage, 6) AS coverage FROM
+  (SELECT avg((s - beta * e) * (s - beta * e)) AS mse FROM (SELECT s - avg(s) OVER () AS s, e - avg(e) OVER () AS e FROM est), (SELECT covar_pop(s, e) / var_pop(e) AS beta FROM est)),
+  (SELECT corr(rs, re) AS spearman FROM (SELECT rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rs, rank() OVER (ORDER BY e) + (count(*) OVER (PARTITION BY e) - 1) / 2.0 AS re FROM est)),
+  (SELECT sum(CASE WHEN re < 3 THEN g / log2(re + 2) ELSE 0 END) / sum(CASE WHEN rs < 3 THEN g / log2(rs + 2) ELSE 0 END) AS ndcg FROM (SELECT re, rs, pow(2, 4 - rs) - 1 AS g FROM (SELECT row_number() OVER (ORDER BY e DESC, idx) - 1 AS re, row_number() OVER (ORDER BY s DESC, idx) - 1 AS rs FROM est))),
+  (SELECT avg((sign(a.s - b.s) = sign(a.e - b.e))::INT) AS sign_accuracy, sum(sign(a.s - b.s) * sign(a.e - b.e)) / sqrt(sum((a.s <> b.s)::INT) * sum((a.e <> b.e)::INT)) AS kendall FROM est a JOIN est b ON a.idx < b.idx),
+  (SELECT avg((abs(s - e / 1000) <= 0.5)::INT) AS coverage FROM est)"""
+
+
+@query(_EVALUATE, _SCORED)
+def evaluate_scores(spark, sf):
+    """All measures of an estimate against the true scores."""
+    e = estimate(spark, sf)
+    true, est = e.select(F.col("idx").alias("item"), F.col("s").alias("score")), e.select(F.col("idx").alias("item"), F.col("e").alias("score"))
+    ends = est.select("item", (F.col("score") / 1000 - 0.5).alias("lower"), (F.col("score") / 1000 + 0.5).alias("upper"))
+    d = metrics.evaluate_scores(true, est, ends, k=3)
+    return d.select(*(R6(c).alias(c) for c in ("mse", "spearman", "ndcg", "sign_accuracy", "kendall", "coverage")))
+
+
+@query("SELECT round(avg((sign(a.s - b.s) = sign(a.e - b.e))::INT), 6) AS against_truth, (SELECT round(avg(((d > 0)::INT = y2 / 2)::INT), 6) FROM sc) AS against_records FROM est a JOIN est b ON a.idx < b.idx", _SCORED)
+def human_sign_accuracy(spark, sf):
+    """Of an estimate against true scores, and of the true scores against the records."""
+    e = estimate(spark, sf)
+    true, est = e.select(F.col("idx").alias("item"), F.col("s").alias("score")), e.select(F.col("idx").alias("item"), F.col("e").alias("score"))
+    rows = human(spark, sf).select(F.col("i").alias("item_i"), F.col("j").alias("item_j"), (F.col("y2") / 2).alias("y"))
+    return metrics.human_sign_accuracy(est, true).select(R6("sign_accuracy").alias("against_truth")).crossJoin(metrics.human_sign_accuracy(true, rows=rows).select(R6("sign_accuracy").alias("against_records")))
+
+
 @query("SELECT r, c, round(sum(v), 6) AS value FROM (SELECT i, j, n * p * (1 - p) AS w FROM (SELECT i, j, count(*) AS n, 1 / (1 + exp(-any_value(d))) AS p FROM sc GROUP BY i, j)) q, LATERAL (VALUES (i, i, w), (j, j, w), (i, j, -w), (j, i, -w)) t(r, c, v) GROUP BY ALL", _SCORED)
 def laplacian(spark, sf):
     p = S.sigmoid(F.col("s_i") - F.col("s_j"))

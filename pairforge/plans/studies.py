@@ -299,7 +299,7 @@ def sweep(spark, sf, level_rows: DataFrame, budgets: tuple[int, ...] = ()) -> Da
         out = pd.DataFrame(run_methods(c, i, j, n, y, TRUTH), columns=["method", "excess", "accuracy", "lam", "error"])
         return out.assign(level=p.level.iloc[0], seed=p.seed.iloc[0])
 
-    return both.groupBy("level", "seed").applyInPandas(work, _CELL + ", level double, seed int")
+    return both.repartition(64, "level", "seed").groupBy("level", "seed").applyInPandas(work, _CELL + ", level double, seed int")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
