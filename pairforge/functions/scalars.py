@@ -49,12 +49,23 @@ def strip_code_span(text: Column) -> Column:
     return F.when(inner != "", F.trim(inner)).otherwise(F.trim(text))
 
 
+#: The replies that are a verdict as a whole; the choice, then the confidence.
+STRICT = (
+    r"^\s*([abcd])\s+([+-]?\d+)\s*$",
+    r"^\s*<choice>\s*([abcd])\s*</choice>\s*<confidence>\s*([+-]?\d+)\s*</confidence>\s*$",
+    r"^\s*<choice>\s*([abcd])\s*<confidence>\s*([+-]?\d+)\s*</choice>\s*$",
+)
+
+
 def strict_verdict(text: Column) -> tuple[Column, Column]:
-    """(choice, confidence 1..5) of a reply that is exactly `x n` or a pair of tags; else nulls."""
-    body = F.lower(strip_code_span(text))
-    plain, tags = r"^([abcd])\s+([+-]?\d{1,9})$", r"^<choice>\s*([abcd])\s*</choice>\s*<confidence>\s*([+-]?\d{1,9})\s*</confidence>$"
-    take = lambda k: F.when(body.rlike(plain), F.regexp_extract(body, plain, k)).when(body.rlike(tags), F.regexp_extract(body, tags, k))
-    return take(1), F.when(take(2).isNotNull(), F.least(F.greatest(take(2).cast("int"), F.lit(1)), F.lit(5)))
+    """(choice, confidence 1..5) of a reply that is exactly `x n` or tags around both; else nulls. Numbers of any length are clamped."""
+    body, out = F.lower(strip_code_span(text)), [F, F]
+    for pattern in STRICT:
+        out = [o.when(body.rlike(pattern), F.regexp_extract(body, pattern, k + 1)) for k, o in enumerate(out)]
+    number = F.regexp_replace(out[1], r"^([+-]?)0+(?=\d)", "$1")
+    clamped = F.least(F.greatest(number.try_cast("int"), F.lit(1)), F.lit(5))
+    # least and greatest skip nulls, so a reply without a number is left out first.
+    return out[0], F.when(number.isNull(), None).when(F.length(number) > 9, F.when(number.startswith("-"), 1).otherwise(5)).otherwise(clamped)
 
 
 def deswap(choice: Column, side_a: Column, side_b: Column) -> Column:
@@ -76,20 +87,43 @@ def reasoning_state(inference: Column) -> Column:
     return F.when(mode.isNull(), None).when(mode == "disabled", "direct").otherwise("thinking")
 
 
-#: Words in a message that tell the category of a failure, before the HTTP status is looked at.
-MARKERS = (("quota", ("insufficient_quota", "quota exceeded", "billing")), ("rate_limit", ("rate limit", "too many requests")), ("context_length", ("context length", "maximum context")))
+#: What a message says when a period's quota is used up, which goes before its HTTP status; what may be tried again; what ends an account.
+QUOTA = (
+    "out of call volume quota", "quota will be replenished", "daily quota", "daily request limit", "requests per day", "per-day quota",
+    "batch enqueued tokens", "batchenqueuedtokens", "enqueued tokens per model",
+)
+FAULTS = ("network", "timeout", "invalid_response")
+RETRYABLE = ("rate_limit", "timeout", "network", "server", "invalid_response")
 
 
-def error_category(status: Column, message: Column) -> Column:
-    low, out = F.lower(message), F
-    for name, words in MARKERS:
-        out = out.when(low.rlike("|".join(words)), name)
-    out = out.when(status == 429, "rate_limit").when(status.isin(401, 403), "auth").when(status == 408, "timeout").when(status.between(500, 599), "server").when(status.between(400, 499), "request")
+def error_category(status: Column, message: Column, fault: Column | None = None) -> Column:
+    """Of a failed request: fault, if the transport or the reading named one, else by message and HTTP status."""
+    low = F.regexp_replace(F.lower(F.coalesce(message, F.lit(""))), r"\s+", " ")
+    out = F.when(fault.isin(*FAULTS), fault) if fault is not None else F
+    out = out.when(low.rlike("|".join(QUOTA)), "quota_exhausted").when(status.isin(401, 403), "authentication").when(status == 429, "rate_limit")
+    out = out.when(status.isin(408, 409, 425), "timeout").when(status >= 500, "server").when(status >= 400, "invalid_request")
     return out.otherwise("unknown")
 
 
 def retryable(category: Column) -> Column:
-    return category.isin("rate_limit", "timeout", "server", "unknown")
+    return category.isin(*RETRYABLE)
+
+
+def disables_account(category: Column) -> Column:
+    return category == "authentication"
+
+
+def retry_after(header: Column, message: Column, category: Column) -> Column:
+    """Seconds to wait: the header's number, a delay in the message's retry details or words, the countdown of a used-up quota, a minute for a rate limit; else null."""
+    number = lambda c: F.when(c.try_cast("double").isNotNull(), F.greatest(c.try_cast("double"), F.lit(0.0)))
+    take = lambda p, k=1: F.nullif(F.regexp_extract(F.coalesce(message, F.lit("")), p, k), F.lit(""))
+    detail = r'RetryInfo"[^{}]*"retryDelay"\s*:\s*"(\d+(?:\.\d+)?)s"'
+    parts = r'RetryInfo"[^{}]*"retryDelay"\s*:\s*\{\s*"seconds"\s*:\s*"?(\d+)"?(?:\s*,\s*"nanos"\s*:\s*(\d+))?'
+    whole = number(take(parts)) + F.coalesce(number(take(parts, 2)), F.lit(0.0)) / 1e9
+    clock = r"(?i)quota\s+will\s+be\s+replenished\s+in\s+(?:(\d+)\s+days?,?\s+|(\d+)\.)?(\d+):(\d+):(\d+)"
+    at = lambda k: F.coalesce(number(take(clock, k)), F.lit(0.0))
+    left = F.when(F.coalesce(message, F.lit("")).rlike(clock), (at(1) + at(2)) * 86400 + at(3) * 3600 + at(4) * 60 + at(5))
+    return F.coalesce(number(header), number(take(detail)), whole, number(take(r"(?i)please\s+retry\s+in\s+(\d+(?:\.\d+)?)s")), F.when(category == "quota_exhausted", left), F.when(category == "rate_limit", F.lit(60.0)))
 
 
 def retry_seconds(text: Column) -> Column:

@@ -9,42 +9,85 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_PAIR = re.compile(r"\s*([abcd])[\s,:;-]+([+-]?\d{1,9})\s*", re.IGNORECASE)
-_TAGS = re.compile(r"<choice>\s*([abcd])\s*(?:</choice>)?\s*<confidence>\s*([+-]?\d{1,9})\s*(?:</(?:confidence|choice)>)?", re.IGNORECASE)
-_MARK = re.compile(r"^\W*final\s+(?:answer|verdict|judge?ment)\W*(.*)$", re.IGNORECASE)
-_CHOICE = re.compile(r"\b(?:choice|verdict|winner)\s*[:=]\s*\W*([abcd])\b", re.IGNORECASE)
-_SURE = re.compile(r"\bconfidence\s*[:=]\s*\W*([+-]?\d{1,9})\b", re.IGNORECASE)
-_ANSWER = re.compile(r"\banswer\s*[:=]\s*([abcd])\s+([+-]?\d{1,9})\b", re.IGNORECASE)
-_BARE = re.compile(r"\s*([abcd])[.:)]?\s*", re.IGNORECASE)
+# The grammar of a verdict. X is the choice, N the confidence; gaps inside a line are blanks and tabs.
+_X, _N, _GAP = r"([abcd])", r"([+-]?\d+)", r"[ \t]*"
+_BOLD, _BULLET, _EQ = r"(?:\*\*)?", rf"(?:[-*]{_GAP})?", rf"{_GAP}[:=]"
+_NEXT = rf"\r?\n{_GAP}"
+
+
+def _line(pattern: str) -> re.Pattern[str]:
+    """A pattern for whole lines, the gap in front of them included."""
+    return re.compile(rf"^{_GAP}{pattern}{_GAP}$", re.IGNORECASE | re.MULTILINE)
+
+
+def _head(pattern: str) -> re.Pattern[str]:
+    """A pattern for the head of a line, up to a word's end."""
+    return re.compile(rf"^{_GAP}{pattern}\b", re.IGNORECASE | re.MULTILINE)
+
+
+def _field(name: str, value: str) -> str:
+    """`name: value`, either in bold."""
+    return rf"{_BULLET}{_BOLD}{name}{_EQ}{_BOLD}{_GAP}{_BOLD}{value}{_BOLD}"
+
+
+_PLAIN = re.compile(rf"\s*{_X}\s+{_N}\s*", re.IGNORECASE)
+_WHOLE = (
+    _PLAIN,
+    re.compile(rf"\s*<choice>\s*{_X}\s*</choice>\s*<confidence>\s*{_N}\s*</confidence>\s*", re.IGNORECASE),
+    re.compile(rf"\s*<choice>\s*{_X}\s*<confidence>\s*{_N}\s*</choice>\s*", re.IGNORECASE),
+)
+_MARK = re.compile(rf"^\s*{_BOLD}final\s+(?:answer|verdict|judge?ment){_BOLD}\s*:?\s*$", re.IGNORECASE | re.MULTILINE)
+_COMPACT = _line(rf"{_X}{_GAP}([1-5])")
+_PAIRS = (
+    _line(rf"<choice>{_GAP}{_X}{_GAP}(?:</choice>)?{_GAP}(?:{_NEXT}|{_GAP})<confidence>{_GAP}{_N}{_GAP}(?:</confidence>)?{_GAP}(?:</choice>)?"),
+    _line(rf"{_field('choice', _X)}{_GAP}(?:{_NEXT}|[ \t]+){_field('confidence', _N)}"),
+    _line(rf"(?:final[ \t]+)?answer{_EQ}{_GAP}{_X}[ \t]+{_N}"),
+)
+_CHOICES = (_head(rf"{_BULLET}<cho(?:ice|ise)>\s*{_X}"), _head(rf"{_BULLET}{_BOLD}choice{_EQ}{_BOLD}{_GAP}[\"'`*]*{_X}"))
+_SURE = (_head(rf"{_BULLET}<confidence>\s*{_N}"), _head(rf"{_BULLET}{_BOLD}\(?confidence\)?{_GAP}[:=]?{_BOLD}{_GAP}{_BOLD}{_N}"))
+_BARE = re.compile(rf"\s*{_X}[.:)]?\s*", re.IGNORECASE)
+_LABEL = re.compile(rf"^\s*confidence\s*[:=]\s*{_N}\b", re.IGNORECASE | re.MULTILINE)
+_SPAN = re.compile(r"\s*(`{1,3})(.*?)\1\s*", re.DOTALL)
+
+Verdict = tuple[str, int]
 
 
 def _strip(text: str) -> str:
-    m = re.fullmatch(r"(`{1,3})([^`].*?)\1", text.strip(), re.DOTALL)
-    return (m[2] if m else text).strip()
+    """Without a code span around the whole text."""
+    m = _SPAN.fullmatch(text)
+    return m[2].strip() if m else text
+
+
+def _sure(digits: str) -> int:
+    """Confidence within 1 to 5; a number of any length."""
+    digits = digits if len(digits) < 1000 else ("-" if digits[0] == "-" else "") + (digits.lstrip("+-").lstrip("0") or "0")[:20]
+    return min(5, max(1, int(digits)))
+
+
+def _made(m: re.Match[str]) -> Verdict:
+    return m[1].lower(), _sure(m[2])
 
 
-def read_verdict(text: str | None) -> tuple[str, int] | None:
+def read_verdict(text: str | None) -> Verdict | None:
     """(choice, confidence 1..5), or None unless exactly one reading is left."""
     body = _strip(text or "")
-    made = lambda c, n: (c.lower(), min(max(int(n), 1), 5))
-    for whole in (_PAIR, _TAGS):
+    for whole in _WHOLE:
         if m := whole.fullmatch(body):
-            return made(m[1], m[2])
+            return _made(m)
+    # What follows the last line that announces the final answer decides, if it holds one compact verdict.
+    marks = [m.end() for m in _MARK.finditer(body)]
+    if marks and len(last := set(map(_made, _COMPACT.finditer(body[marks[-1] :])))) == 1:
+        return last.pop()
     lines = body.splitlines()
-    marks = [(k, m[1]) for k, line in enumerate(lines) if (m := _MARK.match(line))]
-    if marks:
-        after = [marks[-1][1], *lines[marks[-1][0] + 1 :]]
-        found = {made(m[1], m[2]) for line in after if (m := _PAIR.fullmatch(_strip(line))) and 1 <= int(m[2]) <= 5}
-        if len(found) == 1:
-            return found.pop()
-    found = {made(m[1], m[2]) for line in lines if (m := _PAIR.fullmatch(_strip(line)))}
-    found |= {made(c, n) for p in (_TAGS, _ANSWER) for c, n in p.findall(body)}
-    choices, sure = {c.lower() for c in _CHOICE.findall(body)}, {int(n) for n in _SURE.findall(body)}
-    if len(choices) == 1 and len(sure) == 1:
-        found.add(made(next(iter(choices)), next(iter(sure))))
-    first = next((line for line in lines if line.strip()), "")
-    if (m := _BARE.fullmatch(first)) and len(sure) == 1:
-        found.add(made(m[1], next(iter(sure))))
+    found = {_made(m) for line in lines if (m := _PLAIN.fullmatch(_strip(line)))}
+    found |= {_made(m) for pair in _PAIRS for m in pair.finditer(body)}
+    choices = {m[1].lower() for p in _CHOICES for m in p.finditer(body)}
+    sure = {_sure(m[1]) for p in _SURE for m in p.finditer(body)}
+    if len(choices) == len(sure) == 1:
+        found.add((choices.pop(), sure.pop()))
+    first = _BARE.fullmatch(_strip(next((line for line in lines if line.strip()), "")))
+    if first and (label := _LABEL.search(body)):
+        found.add((first[1].lower(), _sure(label[1])))
     return found.pop() if len(found) == 1 else None
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -52,14 +52,27 @@ def llm_rows(canon: DataFrame, ties: str = "drop") -> DataFrame:
 
 
 def human_rows(canon: DataFrame, ties: str = "drop") -> DataFrame:
-    """(record_id, i, j, y2): one row per record."""
-    one = canon.groupBy("record_id").agg(*(F.min(c).alias(c) for c in ("item_i", "item_j", "human_outcome", "human_decisive")))
+    """(record_id, i, j, y2): one row per record, the first by judge and display order."""
+    one = first_rows(canon.select("record_id", "judge", "display_order", "item_i", "item_j", "human_outcome", "human_decisive"), ("record_id",), F.struct("judge", -F.col("display_order")))
     one = one.where("human_decisive") if ties == "drop" else one
     items = item_index(canon)
     y2 = F.when(~F.col("human_decisive"), 1).when(F.col("human_outcome") == F.col("item_i"), 2).otherwise(0)
     return one.join(items.select(F.col("item").alias("item_i"), F.col("idx").alias("i")), "item_i").join(items.select(F.col("item").alias("item_j"), F.col("idx").alias("j")), "item_j").select("record_id", "i", "j", y2.alias("y2"))
 
 
+def first_rows(df: DataFrame, key: tuple[str, ...], order: Column) -> DataFrame:
+    """Of each key the whole row that comes first in an order; aggregated before it is shuffled."""
+    return df.groupBy(*key).agg(F.min_by(F.struct(*(c for c in df.columns if c not in key)), order).alias("__row")).select(*key, "__row.*")
+
+
+def labelled_rows(rows: DataFrame, items: DataFrame, ties: tuple[str, ...]) -> DataFrame:
+    """(record_id, i, j, y, a) of rows whose label is the preferred model's name or a tie; others are dropped."""
+    known = rows.where(F.col("label").isin(*ties) | (F.col("label") == F.col("model_a")) | (F.col("label") == F.col("model_b")))
+    y = F.when(F.col("label").isin(*ties), 0.5).when(F.col("label") == F.least("model_a", "model_b"), 1.0).otherwise(0.0)
+    coded = known.select("record_id", F.least("model_a", "model_b").alias("item_i"), F.greatest("model_a", "model_b").alias("item_j"), y.alias("y"), F.when(F.col("model_a") > F.col("model_b"), -1).otherwise(1).alias("a"))
+    return coded.join(items.withColumnsRenamed({"item": "item_i", "idx": "i"}), "item_i").join(items.withColumnsRenamed({"item": "item_j", "idx": "j"}), "item_j").select("record_id", "i", "j", "y", "a")
+
+
 def counts(rows: DataFrame, *key: str) -> DataFrame:
     """Sufficient statistics: comparisons and half-wins by key."""
     return rows.groupBy(*key).agg(F.count("*").alias("n"), F.sum("y2").cast("long").alias("y2"))
@@ -72,7 +85,7 @@ def contract_check(rows: DataFrame) -> DataFrame:
 def drop_empty(rows: DataFrame) -> DataFrame:
     """Judges without rows go, the others are renumbered."""
     new = rows.select("k").distinct().select("k", (F.dense_rank().over(Window.orderBy("k")) - 1).alias("new_k"))
-    return rows.join(F.broadcast(new), "k").drop("k").withColumnRenamed("new_k", "k")
+    return rows.join(new, "k").drop("k").withColumnRenamed("new_k", "k")
 
 
 def expand_pairs(pairs: DataFrame) -> DataFrame:

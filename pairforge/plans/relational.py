@@ -111,20 +111,49 @@ def reasoning_state(spark, sf):
     return fx.table(spark, sf, "part").select("p_partkey", S.reasoning_state(mode).alias("state"), F.get_json_object(mode, "$.reasoning.effort").alias("effort"))
 
 
-@query("SELECT record_id, k, i, j, y2, a FROM llm", PANEL, "row_to_comparison")
 @query("SELECT record_id, k, i, j, y2, a FROM llm", PANEL, "llm_rows")
 @query("SELECT record_id, k, i, j, y2, a FROM llm", PANEL, "panel_llm")
 def llm_rows(spark, sf):
     return llm(spark, sf)
 
 
+@query("SELECT c.record_id, j.k, a.idx AS i, b.idx AS j, CASE WHEN c.judge_tie THEN 1 WHEN c.outcome = c.item_i THEN 2 ELSE 0 END AS y2, c.display_order AS a FROM canon c JOIN judges j USING (judge) JOIN items a ON a.item = c.item_i JOIN items b ON b.item = c.item_j", PANEL)
+def llm_rows_half_ties(spark, sf):
+    """Ties kept as half a win."""
+    return P.llm_rows(canon(spark, sf), "half")
+
+
 @query("SELECT record_id, i, j, y2 FROM human", PANEL, "human_rows")
 @query("SELECT record_id, i, j, y2 FROM human", PANEL, "panel_human")
-@query("SELECT record_id, i, j, y2 FROM human", PANEL, "first_per_record")
 def human_rows(spark, sf):
     return human(spark, sf)
 
 
+@query("SELECT r.record_id, a.idx AS i, b.idx AS j, CASE WHEN r.winner = 'tie' THEN 1 WHEN (r.winner = 'model_a') = (r.model_a = r.item_i) THEN 2 ELSE 0 END AS y2 FROM records r JOIN items a ON a.item = r.item_i JOIN items b ON b.item = r.item_j", PANEL)
+def human_rows_half_ties(spark, sf):
+    return P.human_rows(canon(spark, sf), "half")
+
+
+@query("SELECT record_id, judge, display_order, verdict FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY judge DESC, display_order DESC) AS r FROM judgments) WHERE r = 1", JUDGMENTS)
+def first_per_record(spark, sf):
+    """Of each record the row that comes first, whole; here in descending order of judge and display."""
+    d = fx.judgments(spark, sf).select("record_id", "judge", "display_order", "verdict")
+    return P.first_rows(d, ("record_id",), F.struct(-F.col("judge"), -F.col("display_order")))
+
+
+#: Labels of a tie in the legacy tables.
+TIES = ("tie", "tie (bothbad)")
+
+
+@query("SELECT record_id, a.idx AS i, b.idx AS j, CASE WHEN label IN ('tie', 'tie (bothbad)') THEN 0.5 WHEN label = item_i THEN 1.0 ELSE 0.0 END::DOUBLE AS y, CASE WHEN swapped THEN -1 ELSE 1 END AS a FROM (SELECT *, CASE record_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'none of them' WHEN 2 THEN 'tie' WHEN 3 THEN 'tie (bothbad)' WHEN 4 THEN model_b ELSE model_a END AS label FROM records) r JOIN items a ON a.item = r.item_i JOIN items b ON b.item = r.item_j WHERE label IN ('tie', 'tie (bothbad)', model_a, model_b)", PANEL)
+def row_to_comparison(spark, sf):
+    """The legacy rule: the label names the preferred item or a tie; rows with no or an unknown label are dropped."""
+    r = fx.records(spark, sf)
+    at = F.col("record_id") % 7
+    label = F.when(at == 0, None).when(at == 1, "none of them").when(at == 2, "tie").when(at == 3, "tie (bothbad)").when(at == 4, F.col("model_b")).otherwise(F.col("model_a"))
+    return P.labelled_rows(r.withColumn("label", label), P.item_index(r), TIES)
+
+
 @query("SELECT record_id, judge, CASE WHEN verdict = 'tie' THEN 'tie' WHEN (verdict = 'i') = (display_order = 1) THEN CASE WHEN a_first THEN 'model_a' ELSE 'model_b' END ELSE CASE WHEN a_first THEN 'model_b' ELSE 'model_a' END END AS canonical_verdict, a_first FROM judgments", JUDGMENTS)
 def deswap(spark, sf):
     d = fx.judgments(spark, sf)
@@ -135,7 +164,7 @@ def deswap(spark, sf):
 
 
 #: Replies and what the strict patterns read from them.
-REPLIES = [("a 5", "a", 5), ("`b 3`", "b", 3), ("```c 9```", "c", 5), ("<choice>a</choice><confidence>4</confidence>", "a", 4), ("D  -2", "d", 1), ("The answer is a 5", None, None), ("", None, None), ("e 3", None, None), ("b 3 4", None, None)]
+REPLIES = [("a 5", "a", 5), ("`b 3`", "b", 3), ("```c 9```", "c", 5), ("<choice>a</choice><confidence>4</confidence>", "a", 4), ("D  -2", "d", 1), ("The answer is a 5", None, None), ("", None, None), ("e 3", None, None), ("b 3 4", None, None), ("<choice> b <confidence> 2 </choice>", "b", 2), ("a 99999999999999999999", "a", 5), ("a -99999999999999999999", "a", 1), ("c +0000000000003", "c", 3), ("a-3", None, None), ("<choice>a</choice> 4", None, None)]
 _VERDICTS = ", ".join(f"({k}, {'NULL' if c is None else repr(c)}, {'NULL' if n is None else n})" for k, (_, c, n) in enumerate(REPLIES))
 
 
@@ -189,18 +218,50 @@ def token_estimate(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", S.token_estimate(F.col("text")).alias("tokens"))
 
 
-#: status, message, expected category, may be tried again
-FAILURES = [(429, "slow down", "rate_limit", True), (400, "insufficient_quota", "quota", False), (401, "no", "auth", False), (503, "down", "server", True), (418, "tea", "request", False), (0, "eh", "unknown", True), (408, "late", "timeout", True), (400, "Maximum context length", "context_length", False)]
-_FAILED = ", ".join(f"({k}, '{c}', {str(r).lower()})" for k, (_, _, c, r) in enumerate(FAILURES))
+#: status, message, fault, category, may be tried again, ends the account
+FAILURES = [
+    (429, "slow down", None, "rate_limit", True, False), (429, "Daily  quota reached", None, "quota_exhausted", False, False), (401, "no", None, "authentication", False, True), (403, "no", None, "authentication", False, True),
+    (503, "down", None, "server", True, False), (418, "tea", None, "invalid_request", False, False), (0, "eh", None, "unknown", False, False), (408, "late", None, "timeout", True, False), (409, "conflict", None, "timeout", True, False),
+    (425, "early", None, "timeout", True, False), (400, "insufficient_quota", None, "invalid_request", False, False), (None, "reset", "network", "network", True, False), (200, "no verdict", "invalid_response", "invalid_response", True, False),
+    (None, None, "timeout", "timeout", True, False), (400, "Enqueued tokens per model: 9", None, "quota_exhausted", False, False),
+]
+_FAILED = ", ".join(f"({k}, '{f[3]}', {str(f[4]).lower()}, {str(f[5]).lower()})" for k, f in enumerate(FAILURES))
+_FAILED = f"part JOIN (VALUES {_FAILED}) v(id, category, retryable, disables) ON p_partkey % {len(FAILURES)} = v.id"
 
 
-@query(f"SELECT p_partkey, v.category, v.retryable FROM part JOIN (VALUES {_FAILED}) v(id, category, retryable) ON p_partkey % {len(FAILURES)} = v.id", name="error_category")
-@query(f"SELECT p_partkey, v.category, v.retryable FROM part JOIN (VALUES {_FAILED}) v(id, category, retryable) ON p_partkey % {len(FAILURES)} = v.id", name="retryable")
-def error_category(spark, sf):
+def failed(spark, sf):
     at = (F.col("p_partkey") % len(FAILURES) + 1).cast("int")
-    pick = lambda n: F.element_at(F.array(*(F.lit(f[n]) for f in FAILURES)), at)
-    category = S.error_category(pick(0), pick(1))
-    return fx.table(spark, sf, "part").select("p_partkey", category.alias("category"), S.retryable(category).alias("retryable"))
+    pick = lambda n, kind: F.element_at(F.array(*(F.lit(f[n]).cast(kind) for f in FAILURES)), at)
+    return fx.table(spark, sf, "part").select("p_partkey", S.error_category(pick(0, "int"), pick(1, "string"), pick(2, "string")).alias("category"))
+
+
+@query(f"SELECT p_partkey, v.category FROM {_FAILED}")
+def error_category(spark, sf):
+    return failed(spark, sf)
+
+
+@query(f"SELECT p_partkey, v.retryable, v.disables AS disables_account FROM {_FAILED}")
+def retryable(spark, sf):
+    """Whether a failed request may be tried again, and whether its account is of no use any more."""
+    return failed(spark, sf).select("p_partkey", S.retryable(F.col("category")).alias("retryable"), S.disables_account(F.col("category")).alias("disables_account"))
+
+
+#: header, message, category, seconds
+WAITS = [
+    ("7.5", "x", "rate_limit", 7.5), ("-3", "x", "rate_limit", 0.0), ("soon", "x", "rate_limit", 60.0), (None, "x", "server", None), (None, "quota will be replenished in 01:02:03", "quota_exhausted", 3723.0),
+    (None, "Quota will be  replenished in 2.00:01:01", "quota_exhausted", 172861.0), (None, "quota will be replenished in 2 days, 00:01:01", "quota_exhausted", 172861.0), (None, "quota will be replenished in 01:02:03", "server", None),
+    (None, "Please retry in 3.25s.", "rate_limit", 3.25), (None, '{"@type": "type.googleapis.com/google.rpc.RetryInfo", "retryDelay": "12.5s"}', "rate_limit", 12.5),
+    (None, '{"@type": "google.rpc.RetryInfo", "retryDelay": {"seconds": 4, "nanos": 500000000}}', "rate_limit", 4.5), (None, None, "rate_limit", 60.0),
+]
+_WAITED = ", ".join(f"({k}, {'NULL' if w[3] is None else w[3]}::DOUBLE)" for k, w in enumerate(WAITS))
+
+
+@query(f"SELECT p_partkey, v.seconds FROM part JOIN (VALUES {_WAITED}) v(id, seconds) ON p_partkey % {len(WAITS)} = v.id")
+def retry_wait(spark, sf):
+    """How long to wait after a failed request, by its header, message and category."""
+    at = (F.col("p_partkey") % len(WAITS) + 1).cast("int")
+    pick = lambda n: F.element_at(F.array(*(F.lit(w[n]).cast("string") for w in WAITS)), at)
+    return fx.table(spark, sf, "part").select("p_partkey", S.retry_after(pick(0), pick(1), pick(2)).alias("seconds"))
 
 
 @query("SELECT p_partkey, CAST(CASE p_partkey % 4 WHEN 0 THEN p_partkey WHEN 1 THEN 3723 WHEN 2 THEN 2 * 86400 + 61 END AS DOUBLE) AS seconds FROM part")

@@ -11,11 +11,19 @@ from pairforge.sources import readers
 from pairforge.streaming.counts import start_counts
 
 
-@pytest.mark.parametrize(
-    ("text", "want"),
-    [("a 5", ("a", 5)), ("`b 3`", ("b", 3)), ("<choice>a</choice><confidence>4</confidence>", ("a", 4)), ("A.\nConfidence: 9", ("a", 5)), ("The answer is a 5", None), ("a 3\nb 4", None),
-     ("a 7\na 5", ("a", 5)), ("Thinking.\nFinal answer:\nb 2", ("b", 2)), ("Choice: c\nConfidence: 2", ("c", 2)), (None, None), ("", None), ("answer: d 1", ("d", 1))],
-)
+VERDICTS = [
+    ("a 5", ("a", 5)), ("  D\t-2 ", ("d", 1)), ("c 99999999999999999999999", ("c", 5)), ("a  +0", ("a", 1)), ("`b 3`", ("b", 3)), ("```c 9```", ("c", 5)), ("``a 5`", None), ("<choice>a</choice><confidence>4</confidence>", ("a", 4)),
+    ("<choice> b\n<confidence>2 </choice>", ("b", 2)), ("A.\nConfidence: 9", ("a", 5)), ("`a)`\nwhy\n confidence = 2 of 5", ("a", 2)), ("a\nI am sure: confidence: 4", None), ("The answer is a 5", None), ("a 3\nb 4", None), ("a 7\na 5", ("a", 5)),
+    ("Thinking.\nFinal answer:\nb 2", ("b", 2)), ("Final answer\nb2", ("b", 2)), ("**Final Verdict**:\n\n c 4\n", ("c", 4)), ("final judgment\na 1\nfinal judgement:\nd5", ("d", 5)), ("Final answer:\nb 9", ("b", 5)), ("Final answer:\na 1\nb 2", None),
+    ("final answer: b 2", ("b", 2)), ("Choice: c\nConfidence: 2", ("c", 2)), ("- **Choice:** **a**  - **Confidence:** **3**", ("a", 3)), ("choice = d  confidence = 1", ("d", 1)), ("choice: a\nsome words\nconfidence: 2", ("a", 2)),
+    ("I think choice: b is my pick, confidence: 4 overall", None), ("choice: b is my pick\nconfidence 4 overall", ("b", 4)), ("choice: b\nchoice: a\nconfidence: 4", ("a", 4)), ("choice: b\nor\nchoice: a\nso\nconfidence: 4", None), ("choice: b\nso\nconfidence: 4\nconfidence: 9", None), ("choice: b\nconfidence: 5\nconfidence: 9", ("b", 5)),
+    ("<choise>c\n<confidence>3", ("c", 3)), ("* <choice>c</choice>\nwords\n- <confidence>3</confidence>", ("c", 3)), ("so\n<choice>a</choice> <confidence>2</confidence>\nbye", ("a", 2)), ("so <choice>a</choice> <confidence>2</confidence>", None),
+    ("a-3", None), ("a:5", None), ("a, 3", None), ("e 3", None), ("answer: d 1", ("d", 1)), ("Answer = D 7", ("d", 5)), ("my answer: d 1", None), ("choice: 'a'\nconfidence: 2", ("a", 2)), ("winner: a\nconfidence: 2", None), ("line one\n`a 4`\nend", ("a", 4)),
+    (None, None), ("", None), (" \n ", None), ("(confidence): 3\nchoice: a", ("a", 3)), ("A 5\r\nbecause", ("a", 5)), ("b 3 4", None), ("<choice>a</choice> 4", None),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), VERDICTS)
 def test_verdicts(text, want):
     assert read_verdict(text) == want
 
