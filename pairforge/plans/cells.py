@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..kernel import methods as M
@@ -56,11 +57,12 @@ def with_noise(rows: DataFrame, kinds: tuple[str, ...], most: int, n_judges: int
     return out
 
 
-def fit_cells(sweep: str, low: DataFrame, cal: DataFrame, test: DataFrame, train: DataFrame, only: tuple[str, ...] = M.METHODS) -> DataFrame:
-    """A row for each cell and method. low: (CELL, k, i, j, a, n, y2, n_real, rho_swap); cal: human counts (panel, level, n_h_level, seed, i, j, n, y2); test, train: by seed.
+def fit_cells(sweep: str, low: DataFrame, cal: DataFrame, test: DataFrame, train: DataFrame, only: tuple[str, ...] = M.METHODS, done: DataFrame | None = None) -> DataFrame:
+    """A row for each cell and method but those of done, see done_cells. low: (CELL, k, i, j, a, n, y2, n_real, rho_swap); cal: human counts (panel, level, n_h_level, seed, i, j, n, y2); test, train: by seed.
 
     Judges that have no row in a cell are dropped there and the others renumbered; a judge without rows has nothing to estimate.
     """
+    low = low if done is None else low.join(done, CELL, "left_anti")
     low, cal = cut(low), cut(cal)  # counts: the cells, and all parts of them, start from these
     none = lambda df, side: df.withColumns({"side": F.lit(side), "k": F.lit(0), "a": F.lit(0), "n_real": F.lit(0), "rho_swap": F.lit(0.0)})
     cells = low.select(*CELL, "n_real", "rho_swap").distinct()
@@ -95,6 +97,27 @@ def fit_cells(sweep: str, low: DataFrame, cal: DataFrame, test: DataFrame, train
     return both.repartition(max(1, keys.count()), *CELL).groupBy(*CELL).applyInPandas(work, SCHEMA)
 
 
+def done_cells(rows: DataFrame, only: tuple[str, ...] = M.METHODS) -> DataFrame:
+    """Cells of stored rows that have every asked method, with a result or an error."""
+    have = rows.groupBy(*CELL).agg(F.collect_set("method").alias("have"))
+    return have.where(F.size(F.array_except(F.array(*map(F.lit, only)), "have")) == 0).select(*CELL)
+
+
+def run_cells(make, path: str, only: tuple[str, ...] = M.METHODS) -> int:  # noqa: ANN001
+    """Appends to path the rows of the cells that aren't stored there yet; make(done) gives them. Returns how many rows were added; run again it adds none.
+
+    A cell whose run broke off is stored in part at most and runs again; its rows then differ in nothing but their time.
+    """
+    spark = SparkSession.getActiveSession()
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException:  # nothing is stored yet
+        stored = None
+    rows = cut(make(done_cells(stored, only) if stored is not None else None))
+    rows.write.mode("append").parquet(path)
+    return rows.count()
+
+
 class Study:
     """The rows that all sweeps start from: judges' rows of training records by panel and seed, and human rows split by seed."""
 
@@ -121,7 +144,7 @@ class Study:
         r = r.select("*", F.explode(F.array(*map(F.lit, sizes))).alias("n_h_level")).where((F.col("n_h_level") < 0) | (F.col("r") <= F.col("n_h_level")))
         return P.counts(r, "seed", "n_h_level", "i", "j")
 
-    def run(self, sweep: str, rows: DataFrame, sizes: tuple[int, ...] = (N_HUMAN,), rho: float = 1.0, only: tuple[str, ...] = M.METHODS) -> DataFrame:
+    def run(self, sweep: str, rows: DataFrame, sizes: tuple[int, ...] = (N_HUMAN,), rho: float = 1.0, only: tuple[str, ...] = M.METHODS, done: DataFrame | None = None) -> DataFrame:
         """rows: with level, kind and, if swaps are thinned by level, rho_swap."""
         rows = rows if "rho_swap" in rows.columns else rows.withColumn("rho_swap", F.lit(rho))
         kept = rows.where((F.col("a") == 1) | (X.unit("thin", "seed", "record_id", "k") < F.col("rho_swap")))
@@ -131,21 +154,21 @@ class Study:
             low = low.drop("level").select("*", F.explode(F.array(*map(F.lit, sizes))).alias("n_h_level")).withColumn("level", F.col("n_h_level").cast("double"))
         else:
             low = low.select("*", F.explode(F.array(*map(F.lit, sizes))).alias("n_h_level"))
-        return fit_cells(sweep, low, cal, self.test, self.train, only)
+        return fit_cells(sweep, low, cal, self.test, self.train, only, done)
 
 
 def _levels(df: DataFrame, *levels: float) -> DataFrame:
     return df.select("*", F.explode(F.array(*(F.lit(float(x)) for x in levels))).alias("level"))
 
 
-_NONE = F.lit("none")
+_NONE = "none"
 
 
 @query(name="study_order")
 def study_order(spark, sf):
     """Shares of swapped displays that are kept."""
     s = Study(spark, sf, ("biased", "all"))
-    return s.run("order", _levels(s.rows, 0.0, 0.05, 0.2, 1.0).withColumns({"kind": _NONE, "rho_swap": F.col("level")}))
+    return s.run("order", _levels(s.rows, 0.0, 0.05, 0.2, 1.0).withColumns({"kind": F.lit(_NONE), "rho_swap": F.col("level")}))
 
 
 def _noise(s: Study, rows: DataFrame, name: str, rho: float) -> DataFrame:
@@ -184,7 +207,7 @@ def study_noise_scarce(spark, sf):
 def study_budget(spark, sf):
     """Human samples of growing size."""
     s = Study(spark, sf, ("all", "biased"))
-    return s.run("budget", _levels(s.rows, 0.0).withColumn("kind", _NONE), (50, 100, 200, 400, 800, 1600, -1))
+    return s.run("budget", _levels(s.rows, 0.0).withColumn("kind", F.lit(_NONE)), (50, 100, 200, 400, 800, 1600, -1))
 
 
 @query(name="study_llm_budget")
@@ -192,7 +215,7 @@ def study_llm_budget(spark, sf):
     """Judges' rows of growing number, at two human budgets."""
     s = Study(spark, sf, ("all", "biased"))
     r = X.ranked(s.rows, F.concat(F.lit("few"), F.col("seed").cast("string")), ("record_id", "k", "a"), "panel", "seed")
-    rows = _levels(r, 500, 1000, 2000, 5000, 20000).where(F.col("r") <= F.col("level")).drop("r").withColumn("kind", _NONE)
+    rows = _levels(r, 500, 1000, 2000, 5000, 20000).where(F.col("r") <= F.col("level")).drop("r").withColumn("kind", F.lit(_NONE))
     return s.run("llm_budget", rows, (N_HUMAN, 1000))
 
 
