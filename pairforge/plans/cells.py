@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..kernel import methods as M
+from ..kernel import simulate as Z
 from ..kernel import solver as K
 from ..operators import panel as P
 from ..operators import sampling as X
@@ -224,3 +225,29 @@ def study_splits(spark, sf):
     """How many records each seed holds out."""
     d = splits(llm(spark, sf).select("record_id").union(human(spark, sf).select("record_id")), SEEDS)
     return d.groupBy("seed").agg(F.count("*").alias("n"), F.count_if("test").alias("n_test"))
+
+
+# -- simulated cells -------------------------------------------------------------------------------------------------
+
+_SIM = {"config": "string", "row": "string", "n_l": "int", "n_h": "int", "sigma_pos": "double", "seed": "int"}
+
+
+def simulated_cells(spark, config: str, seeds: int = 1) -> DataFrame:  # noqa: ANN001
+    """All methods on every cell of a configuration, one task each; nothing but the cells' names is sent."""
+    jobs = [(config, *cell, seed) for cell in Z.cells(config) for seed in range(seeds)]
+    d = _table(spark, jobs, ", ".join(f"{k} {v}" for k, v in _SIM.items()))
+
+    def work(p: pd.DataFrame) -> pd.DataFrame:
+        job = dict(zip(_SIM, p[[*_SIM]].iloc[0], strict=True))
+        try:
+            rows = Z.SimulatedCell(*job.values()).table()
+        except Exception as e:  # noqa: BLE001  a row, not a failed task
+            rows = [{"method": "cell", "error": f"{type(e).__name__}: {e}"[:4000]}]
+        return pd.DataFrame([job | r for r in rows], columns=[*_SIM, *Z.FIELDS, "seconds_cell"])
+
+    schema = ", ".join(f"`{k}` {v}" for k, v in (_SIM | Z.FIELDS | {"seconds_cell": "double"}).items())
+    return d.repartition(len(jobs), *_SIM).groupBy(*_SIM).applyInPandas(work, schema)
+
+
+for _config in Z.CONFIGS:
+    query(name=f"sim_{_config}")(lambda spark, sf, c=_config: simulated_cells(spark, c))

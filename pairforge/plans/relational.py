@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions import verdicts
+from ..functions import tokens, verdicts
 from ..operators import collect
 from ..operators import metrics
 from ..operators import panel as P
@@ -218,6 +218,15 @@ def token_estimate(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", S.token_estimate(F.col("text")).alias("tokens"))
 
 
+@query(name="token_estimate_bpe")
+def token_estimate_bpe(spark, sf):
+    """Tokens of every text by a public byte-level vocabulary, beside the estimate without one."""
+    import public_tokenizers
+
+    text = F.col("text")
+    return fx.table(spark, sf, "documents").select("doc_id", tokens.bpe_tokens(text, public_tokenizers.path("byte_bpe_50k.json")).alias("tokens"), S.token_estimate(text).alias("estimate"))
+
+
 #: status, message, fault, category, may be tried again, ends the account
 FAILURES = [
     (429, "slow down", None, "rate_limit", True, False), (429, "Daily  quota reached", None, "quota_exhausted", False, False), (401, "no", None, "authentication", False, True), (403, "no", None, "authentication", False, True),

@@ -106,3 +106,17 @@ def test_sweeps_have_their_levels(spark, sf):
     for name, levels in (("sweep_budget", {50, 100, 200, 400, 800, 1600, -1}), ("sweep_noise", {0, 1, 2, 4, 8})):
         rows = q[name](spark, sf).collect()
         assert {r.level for r in rows} == levels and len(rows) == len(levels) * 2 * 4 and not any(r.error for r in rows)
+
+
+def test_bpe_counts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from pairforge.functions.tokens import bpe_tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["a b c", None, "", "wörter und 12 words", "word " * 30_000, " " * 1_000_000]
+    got = [r.n for r in spark.createDataFrame([(t,) for t in texts], "text string").select(bpe_tokens(F.col("text"), path).alias("n")).collect()]
+    whole = Tokenizer.from_file(path)
+    want = [len(whole.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert got[:4] == want[:4] and all(w <= g <= 1.1 * w + 1 for g, w in zip(got[4:5], want[4:5], strict=True)) and got[5] >= want[5]
