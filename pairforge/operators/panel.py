@@ -31,8 +31,11 @@ def coverage(canon: DataFrame) -> DataFrame:
 
 
 def panel_judges(canon: DataFrame, drop: tuple[int, ...] = (), most_ties: float = 0.5, least_coverage: float = 0.5) -> DataFrame:
-    """(judge, k): kept judges with their index; both limits are strict."""
-    kept = tie_rate(canon).join(coverage(canon), "judge").where((F.col("tie_rate") <= most_ties) & (F.col("coverage") >= least_coverage))
+    """(judge, k): kept judges with their index; both limits are strict. Tie rate and coverage come from one grouping."""
+    seen = canon.groupBy("judge", "record_id").agg((F.min("display_order") != F.max("display_order")).cast("int").alias("both"), F.count("*").alias("n"), F.sum(F.col("judge_tie").cast("int")).alias("ties"))
+    by = seen.groupBy("judge").agg(F.sum("both").alias("both"), (F.sum("ties") / F.sum("n")).alias("tie_rate"))
+    kept = by.crossJoin(F.broadcast(canon.agg(F.count_distinct("record_id").alias("n_records"))))  # one row
+    kept = kept.where((F.col("tie_rate") <= most_ties) & (F.col("both") / F.col("n_records") >= least_coverage))
     kept = kept.where(~F.col("judge").isin(*drop)) if drop else kept
     return kept.select("judge", (F.dense_rank().over(Window.orderBy("judge")) - 1).alias("k"))
 
@@ -88,8 +91,14 @@ def drop_empty(rows: DataFrame) -> DataFrame:
     return rows.join(new, "k").drop("k").withColumnRenamed("new_k", "k")
 
 
+#: Rows of a pair that are made at once.
+CHUNK = 1000
+
+
 def expand_pairs(pairs: DataFrame) -> DataFrame:
-    """One Bernoulli row per comparison: wins first, then losses; pairs with half-wins give one row with their share."""
-    wins, whole = (F.col("y2") / 2).cast("int"), F.col("y2") % 2 == 0
-    z = F.when(whole, F.concat(F.array_repeat(F.lit(1.0), wins), F.array_repeat(F.lit(0.0), (F.col("n") - wins).cast("int")))).otherwise(F.array(F.col("y2") / (2.0 * F.col("n"))))
-    return pairs.select("i", "j", F.posexplode(z).alias("pos", "z"))
+    """One Bernoulli row per comparison: wins first, then losses; pairs with half-wins give one row with their share. Rows are made in chunks: no array grows with a pair."""
+    wins, whole = F.col("y2") / 2, F.col("y2") % 2 == 0
+    d = pairs.select("*", F.when(whole, F.col("n")).otherwise(F.lit(1)).alias("rows")).where("rows > 0")
+    d = d.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / CHUNK))).alias("at"))
+    d = d.select("*", F.explode(F.sequence(F.col("at") * CHUNK, F.least((F.col("at") + 1) * CHUNK, "rows") - 1)).alias("pos"))
+    return d.select("i", "j", F.col("pos").cast("int").alias("pos"), F.when(whole, (F.col("pos") < wins).cast("double")).otherwise(F.col("y2") / (2.0 * F.col("n"))).alias("z"))

@@ -30,6 +30,12 @@ _MORE = {"floor": "double", "r": "int", "human_only_exists": "boolean", "seconds
 SCHEMA = ", ".join(f"{k} {v}" for k, v in (_BASE | M.FIELDS | _MORE).items())
 
 
+def _frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
+    """Rows as plain objects: a column that no row has is null, of whatever type it is to be."""
+    out = pd.DataFrame(rows, columns=columns).astype(object)
+    return out.where(out.notna(), None)
+
+
 def _table(spark, rows: list[tuple], schema: str) -> DataFrame:  # noqa: ANN001
     return spark.createDataFrame(rows, schema)
 
@@ -92,7 +98,7 @@ def fit_cells(sweep: str, low: DataFrame, cal: DataFrame, test: DataFrame, train
             rows = M.Cell(c, cal, test, real).table(only)
         except Exception as e:  # noqa: BLE001  a row, not a failed task
             rows = [{"method": "cell", "error": f"{type(e).__name__}: {e}"[:4000]}]
-        return pd.DataFrame([head | r for r in rows], columns=[*_BASE, *M.FIELDS, *_MORE])
+        return _frame([head | r for r in rows], [*_BASE, *M.FIELDS, *_MORE])
 
     # Cells are few rows and much work: without a number of its own the exchange would be merged into one task.
     return both.repartition(max(1, keys.count()), *CELL).groupBy(*CELL).applyInPandas(work, SCHEMA)
@@ -211,6 +217,14 @@ def study_budget(spark, sf):
     return s.run("budget", _levels(s.rows, 0.0).withColumn("kind", F.lit(_NONE)), (50, 100, 200, 400, 800, 1600, -1))
 
 
+@query(name="study_intermediate")
+def study_intermediate(spark, sf):
+    """Budgets between those of study_budget, for the methods that its curves show; run_cells adds such passes to stored cells."""
+    s = Study(spark, sf, ("all", "biased"))
+    only = ("human_only", "consensus_cal", "isotonic", "joint_mu")
+    return s.run("budget", _levels(s.rows, 0.0).withColumn("kind", F.lit(_NONE)), (75, 150, 300, 600, 1200), only=only)
+
+
 @query(name="study_llm_budget")
 def study_llm_budget(spark, sf):
     """Judges' rows of growing number, at two human budgets."""
@@ -243,7 +257,7 @@ def simulated_cells(spark, config: str, seeds: int = 1) -> DataFrame:  # noqa: A
             rows = Z.SimulatedCell(*job.values()).table()
         except Exception as e:  # noqa: BLE001  a row, not a failed task
             rows = [{"method": "cell", "error": f"{type(e).__name__}: {e}"[:4000]}]
-        return pd.DataFrame([job | r for r in rows], columns=[*_SIM, *Z.FIELDS, "seconds_cell"])
+        return _frame([job | r for r in rows], [*_SIM, *Z.FIELDS, "seconds_cell"])
 
     schema = ", ".join(f"`{k}` {v}" for k, v in (_SIM | Z.FIELDS | {"seconds_cell": "double"}).items())
     return d.repartition(len(jobs), *_SIM).groupBy(*_SIM).applyInPandas(work, schema)
@@ -251,3 +265,58 @@ def simulated_cells(spark, config: str, seeds: int = 1) -> DataFrame:  # noqa: A
 
 for _config in Z.CONFIGS:
     query(name=f"sim_{_config}")(lambda spark, sf, c=_config: simulated_cells(spark, c))
+
+
+# -- specification test ----------------------------------------------------------------------------------------------
+
+#: Whose labels are tested, and whether the judges' consensus comes from all records or from those alone.
+SETTINGS = {"english_global": (True, False), "nonenglish_global": (False, False), "nonenglish_subset": (False, True)}
+_SPEC = "setting string, level int, seed int, n_l long, n_h long, n_test long, stat double, df int, p_value double, reject05 boolean, human_only_exists boolean, excess_restricted double, excess_full double, tau_mu_vs_test double, error string"
+
+
+@query(name="study_spectest")
+def study_spectest(spark, sf):
+    """Whether human scores of a subset lie along the judges' consensus, fitted to judgments of all or of the subset's records without those held out; a third of the records stands for one language."""
+    rows, people = cut(llm(spark, sf)), cut(human(spark, sf))
+    english = F.col("record_id") % 3 == 0
+    sets = _table(spark, [(k, e, own) for k, (e, own) in SETTINGS.items()], "setting string, english boolean, own boolean")
+    seeds = F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1))).alias("seed")
+    mine = people.withColumn("english", english).select("*", seeds)
+    placed = X.ranked(mine, F.concat(F.lit("spec"), F.col("seed").cast("string")), ("record_id",), "english", "seed")
+    size = mine.groupBy("english", "seed").agg(F.count("*").alias("size"))
+    split = cut(placed.join(size, ["english", "seed"]).withColumn("test", F.col("r") <= F.bround(F.col("size") * F_TEST)).drop("r", "size"))
+    held = split.where("test").select("record_id", "seed", F.col("english").alias("group"))
+    # Judgments of held-out records of the setting's own subset take no part.
+    low = rows.withColumn("own_english", english).select("*", seeds).join(sets, ~F.col("own") | (F.col("own_english") == F.col("english")))
+    low = low.join(held.withColumnRenamed("group", "english"), ["record_id", "seed", "english"], "left_anti")
+    low = cut(P.counts(low, "setting", "seed", "k", "i", "j", "a"))
+    named = split.join(sets.select("setting", "english"), "english")
+    cal = X.ranked(named.where("not test"), F.concat(F.lit("speccal"), F.col("seed").cast("string")), ("record_id",), "setting", "seed")
+    levels = F.explode(F.array(*map(F.lit, (100, 200, 400, 800, 1600)))).alias("level")
+    cal = P.counts(cal.select("*", levels).where(F.col("r") <= F.col("level")), "setting", "seed", "level", "i", "j")
+    test = P.counts(named.where("test"), "setting", "seed", "i", "j")
+    some = lambda df, side: df.withColumns({"side": F.lit(side), "k": F.lit(0), "a": F.lit(0)})
+    columns = ["setting", "level", "seed", "side", "k", "i", "j", "a", "n", "y2"]
+    both = low.select("*", levels).withColumn("side", F.lit("L")).select(*columns).unionByName(some(cal, "H").select(*columns)).unionByName(some(test.select("*", levels), "T").select(*columns))
+
+    def work(p: pd.DataFrame) -> pd.DataFrame:
+        head = dict(zip(("setting", "level", "seed"), p[["setting", "level", "seed"]].iloc[0], strict=True))
+        part = lambda s: p[p.side == s].sort_values(["k", "i", "j", "a"])
+        pairs = lambda g: (g.i.to_numpy(int), g.j.to_numpy(int), g.n.to_numpy(float), g.y2.to_numpy(float) / 2)
+        g, h, t = part("L"), pairs(part("H")), pairs(part("T"))
+        out = {"n_l": int(g.n.sum()), "n_h": int(h[2].sum()), "n_test": int(t[2].sum())}
+        try:
+            used = np.unique(g.k)
+            c = K.Counts(np.searchsorted(used, g.k), g.i, g.j, g.a, g.n, g.y2 / 2, len(used), N_REAL_ITEMS)
+            mu = K.structured(c, M.highest_rank(c))["mu"]
+            stat, df, p_value = K.lr_test(mu[:, None], *h)
+            exists = K.mle_exists(*h, c.N)
+            reference = K.btl(*t, c.N)[0]
+            floor, loss = M.heldout(reference, *t)[0], lambda s: M.heldout(s, *t)[0]
+            out |= {"stat": stat, "df": df, "p_value": p_value, "reject05": p_value < 0.05, "human_only_exists": exists, "excess_restricted": loss(K.calibrate(mu[:, None], *h)["s"]) - floor}
+            out |= {"excess_full": loss(K.btl(*h, c.N, firth=not exists)[0]) - floor, "tau_mu_vs_test": M.kendall(mu, reference)}
+        except Exception as e:  # noqa: BLE001  a row, not a failed task
+            out["error"] = f"{type(e).__name__}: {e}"[:4000]
+        return _frame([head | out], [c.split()[0] for c in _SPEC.split(", ")])
+
+    return both.repartition(len(SETTINGS) * 5 * SEEDS, "setting", "level", "seed").groupBy("setting", "level", "seed").applyInPandas(work, _SPEC)

@@ -79,17 +79,18 @@ def human_only(spark, sf):
     return _btl_scores(human(spark, sf))
 
 
-_JUDGE = _MM.replace("SELECT i, j, count(*)", "SELECT i, j, count(*)").format("(SELECT * FROM llm WHERE k = 1)")
+_JUDGE = PANEL + """,
+pc AS (SELECT k, i, j, count(*)::DOUBLE AS n, sum(y2) / 2.0::DOUBLE AS y FROM llm GROUP BY ALL),
+sides AS (SELECT k, i AS s, j AS o, n, y AS w FROM pc UNION ALL SELECT k, j, i, n, n - y FROM pc),
+wins AS (SELECT k, s, sum(w) AS w FROM sides GROUP BY ALL),
+mm AS (SELECT 0 AS step, k, s, 1.0::DOUBLE AS p FROM wins UNION ALL
+  SELECT mm.step + 1, mm.k, mm.s, any_value(wins.w) / sum(sides.n / (mm.p + other.p)) FROM mm JOIN sides ON sides.s = mm.s AND sides.k = mm.k JOIN mm other ON other.s = sides.o AND other.k = mm.k JOIN wins ON wins.s = mm.s AND wins.k = mm.k WHERE mm.step < 300 GROUP BY mm.step, mm.k, mm.s)"""
 
 
-@query(_RANKED, _JUDGE)
+@query("SELECT mm.k, item, round(ln(p) - avg(ln(p)) OVER (PARTITION BY mm.k), 5) AS score FROM mm JOIN items ON items.idx = mm.s WHERE step = 300", _JUDGE, "judge_btl_all")
+@query("SELECT mm.k, item, round(ln(p) - avg(ln(p)) OVER (PARTITION BY mm.k), 5) AS score FROM mm JOIN items ON items.idx = mm.s WHERE step = 300", _JUDGE)
 def judge_btl(spark, sf):
-    return _btl_scores(llm(spark, sf).where("k = 1"))
-
-
-@query(name="judge_btl_all")
-def judge_btl_all(spark, sf):
-    """The fit of judge_btl for every judge, one task each."""
+    """Every judge's own fit, one task each."""
 
     def work(p: pd.DataFrame) -> pd.DataFrame:
         s, _, _ = K.btl(p.i.to_numpy(int), p.j.to_numpy(int), p.n.to_numpy(float), p.y2.to_numpy(float) / 2, N_ITEMS)

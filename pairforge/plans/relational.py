@@ -11,6 +11,7 @@ from ..operators import collect
 from ..operators import metrics
 from ..operators import panel as P
 from ..operators import sampling as X
+from ..operators.lineage import cut
 from ..sources import fixture as fx
 from ..sources.readers import RESPONSE
 from .base import CANONICAL, JUDGMENTS, MU_SQL, PANEL, RECORDS, query
@@ -24,11 +25,12 @@ def canon(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def llm(spark: SparkSession, sf: str) -> DataFrame:
-    return P.llm_rows(canon(spark, sf))
+    """Coded rows; the canonical table, which judges, items and rows are all taken from, is written once."""
+    return P.llm_rows(cut(canon(spark, sf)))
 
 
 def human(spark: SparkSession, sf: str) -> DataFrame:
-    return P.human_rows(canon(spark, sf))
+    return P.human_rows(cut(canon(spark, sf)))
 
 
 def mu(spark: SparkSession) -> DataFrame:
@@ -59,14 +61,14 @@ def canonical(spark, sf):
     return canon(spark, sf)
 
 
-@query("SELECT DISTINCT record_id, judge, display_order FROM canon WHERE outcome IS NOT NULL AND judge < 2", CANONICAL)
+@query("SELECT DISTINCT record_id, judge, display_order FROM canon WHERE outcome IS NOT NULL", CANONICAL)
 def resume_keys(spark, sf):
-    return canon(spark, sf).where("outcome is not null and judge < 2").select("record_id", "judge", "display_order").distinct()
+    return canon(spark, sf).where("outcome is not null").select("record_id", "judge", "display_order").distinct()
 
 
-@query("SELECT r.record_id, k.judge, o.a_first FROM records r, (VALUES (0),(1)) k(judge), (VALUES (true),(false)) o(a_first) WHERE NOT EXISTS (SELECT 1 FROM canon c WHERE c.record_id = r.record_id AND c.judge = k.judge AND c.outcome IS NOT NULL AND (c.display_order = 1) = (o.a_first <> r.swapped))", CANONICAL)
+@query("SELECT r.record_id, k.judge, o.a_first FROM records r, (VALUES (0),(1),(2),(3),(4),(5)) k(judge), (VALUES (true),(false)) o(a_first) WHERE NOT EXISTS (SELECT 1 FROM canon c WHERE c.record_id = r.record_id AND c.judge = k.judge AND c.outcome IS NOT NULL AND (c.display_order = 1) = (o.a_first <> r.swapped))", CANONICAL)
 def resume_anti(spark, sf):
-    jobs = fx.records(spark, sf).select("record_id", "swapped", F.explode(F.array(F.lit(0), F.lit(1))).alias("judge")).select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("a_first"))
+    jobs = fx.records(spark, sf).select("record_id", "swapped", F.explode(F.array(*map(F.lit, fx.GAMMA))).alias("judge")).select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("a_first"))
     jobs = jobs.withColumn("display_order", F.when(F.col("a_first") != F.col("swapped"), 1).otherwise(-1))
     return jobs.join(resume_keys(spark, sf), ["record_id", "judge", "display_order"], "left_anti").select("record_id", "judge", "a_first")
 
@@ -305,7 +307,9 @@ def cal_score(spark, sf):
 
 @query("SELECT event_id, round(value - avg(value) OVER (PARTITION BY event_type), 6) AS centred FROM events")
 def center(spark, sf):
-    return fx.table(spark, sf, "events").select("event_id", R6(F.col("value") - F.avg("value").over(Window.partitionBy("event_type"))).alias("centred"))
+    """By a mean per type that is aggregated first: no type's rows go through one task."""
+    events = fx.table(spark, sf, "events").select("event_id", "event_type", "value")
+    return events.join(events.groupBy("event_type").agg(F.avg("value").alias("mean")), "event_type").select("event_id", R6(F.col("value") - F.col("mean")).alias("centred"))
 
 
 @query("SELECT judge, round(avg(x), 6) AS inconsistency FROM (SELECT judge, record_id, (count(DISTINCT outcome) > 1)::INT AS x FROM canon WHERE outcome IS NOT NULL GROUP BY 1, 2) GROUP BY 1", CANONICAL)

@@ -11,7 +11,9 @@ from ..functions import scalars as S
 from ..kernel import solver as K
 from ..operators import sampling as X
 from ..sources import fixture as fx
+from ..sources.readers import read_results
 from .base import PANEL, query
+from .collection import scratch
 from .estimation import _PATH_ROWS, ITEMS, N_ITEMS, N_JUDGES, TRUTH, cells, fitted, split  # noqa: F401
 from .relational import R6, human, llm
 
@@ -48,7 +50,18 @@ def jobs(spark, sf):
     return job_table(spark)
 
 
-@query("SELECT sweep, panel, level, method, seed, round(excess, 6) AS excess, failed FROM results", _GRID, "explode_jobs")
+@query("SELECT sweep, panel, level, method, seed, round(excess, 6) AS excess, failed FROM results", _GRID)
+def explode_jobs(spark, sf):
+    """Keyed lines in several files, written and read back; each line's rows are flattened, NaN becomes null."""
+    key = F.array("sweep", "panel", F.col("level").cast("string"), F.col("seed").cast("string")).alias("key")
+    row = F.concat(F.lit('{"method": "'), F.col("method"), F.lit('", "excess": '), F.coalesce(F.col("excess").cast("string"), F.lit("NaN")), F.lit(', "failed": '), F.col("failed").cast("string"), F.lit("}"))
+    lines = results(spark).groupBy(key).agg(F.array_join(F.collect_list(row), ", ").alias("rows"))
+    path = scratch(spark, "jobs")
+    lines.select(F.concat(F.lit('{"key": '), F.to_json("key"), F.lit(', "rows": ['), F.col("rows"), F.lit("]}")).alias("value")).repartition(3).write.text(path)
+    flat = read_results(spark, path, "method:string,excess:double,failed:boolean")
+    return flat.select(F.col("key")[0].alias("sweep"), F.col("key")[1].alias("panel"), F.col("key")[2].cast("int").alias("level"), "method", F.col("key")[3].cast("int").alias("seed"), R6("excess").alias("excess"), "failed")
+
+
 @query("SELECT sweep, panel, level, method, seed, round(excess, 6) AS excess, failed FROM results", _GRID)
 def load_results(spark, sf):
     """Through the stored form: one JSON line per job with its rows nested, exploded again; bare NaN is null."""
