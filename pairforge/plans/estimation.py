@@ -325,9 +325,10 @@ def _selected(c, i, j, n, y):
 
 @_rows_only("selection_reasons", "reason string, n int")
 def _selection_reasons(c, i, j, n, y):
-    """Why candidates of the selection path were dropped, and how many for it."""
+    """How many candidates of the selection path were dropped for each reason."""
     found = [r for p in K.select(c, i, j, n, y, 1) for r in p["reasons"]]
-    return {"reason": sorted(set(found)), "n": [found.count(r) for r in sorted(set(found))]}
+    names = ["box_active", "mle_not_exists", "not_converged", "score_bound", "singular_hessian", "singular_or_score"]
+    return {"reason": names, "n": [found.count(r) for r in names]}
 
 
 @_rows_only("rank_lambda", "rank int, lam double, gacv double, error string, best boolean")
