@@ -1,8 +1,8 @@
 """Convolutional text classifier in numpy: hashed word embeddings, filters of several widths, max pooling, one output.
 
 It is fitted on the driver from a bounded sample of labelled rows and sent to the tasks as a few arrays of fixed size. The
-thresholds by language come from all labelled rows that it isn't fitted on, counted in Spark. A
-filter's response to a window is a sum of one number per word and place, so a task looks up projections of the hashed
+point of score 0.5 and the thresholds by language come from all labelled rows that it isn't fitted on, counted in Spark. Both
+weigh the shares, not the numbers, of toxic and of other rows that are judged wrong, as toxic rows are few. A filter's response to a window is a sum of one number per word and place, so a task looks up projections of the hashed
 embeddings instead of multiplying.
 """
 
@@ -13,19 +13,23 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .base import chunks, id_text, tuned
 
-#: Bound of the training sample: labelled rows, and words of one (longer ones stay out of the sample, not of scoring).
-SAMPLE_ROWS, SAMPLE_WORDS = 4_000, 20_000
-BUCKETS, DIM, FILTERS, WIDTHS, EPOCHS, BATCH = 1 << 15, 12, 8, (1, 2, 3), 6, 64
+#: Bound of the training sample: labelled rows of each class, and characters of all (the shortest texts come first).
+SAMPLE_ROWS, SAMPLE_CHARS = 3_000, 64_000_000
+BUCKETS, DIM, FILTERS, WIDTHS, BATCH = 1 << 15, 12, 8, (1, 2, 3), 64
+#: Batches that a model is fitted on, and after how many its state is judged on the rows held back.
+UPDATES, JUDGED = 480, 40
 #: Words of fewer documents of the sample start without a leaning.
 LEAST_DOCS = 3
 #: Raw scores are counted in steps of 1 / STEPS. All languages together weigh as much as PRIOR rows in a language's threshold.
 STEPS, PRIOR = 100, 30
+#: How much more a share of other rows judged toxic counts than a share of toxic rows missed: clean documents should stay.
+CLEAN = 2.0
 
 
 def word_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -35,11 +39,15 @@ def word_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _padded(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts with empty places (bucket 0) between them, so that no window spans two and none is empty; and their starts."""
-    gap, n = max(WIDTHS), np.diff(first)
-    starts = np.concatenate(([0], np.cumsum(n + gap)))
+    """The texts with empty places (bucket 0) around them, and where their parts start.
+
+    In front lie as many as the widest window reaches beyond its place, so that none that starts in one text's part ends in the words of
+    the next; one behind, so that none is empty.
+    """
+    lead, n = max(WIDTHS) - 1, np.diff(first)
+    starts = np.concatenate(([0], np.cumsum(n + lead + 1)))
     out = np.zeros(starts[-1], np.int32)
-    out[np.repeat(starts[:-1] - first[:-1], n) + np.arange(len(ids))] = ids
+    out[np.repeat(starts[:-1] + lead - first[:-1], n) + np.arange(len(ids))] = ids
     return out, starts
 
 
@@ -155,55 +163,49 @@ def fit(docs: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Cnn:
     m.out_bias = -1.0
     state: dict[str, list[np.ndarray]] = {}
     t, best = 0, (np.inf, None)
-    check = held if held.sum() >= 20 and 0 < y[held].sum() < held.sum() else ~held
+    check = held if 0 < y[held].sum() < held.sum() else ~held
     flat, first = (lambda d: (np.concatenate(d), np.concatenate(([0], np.cumsum([len(x) for x in d])))))([docs[k] for k in np.flatnonzero(check)])
-    for _ in range(EPOCHS if len(train) > 1500 else 3 * EPOCHS):
-        rng.shuffle(train)
-        for k in range(0, len(train), BATCH):
-            rows = train[k : k + BATCH]
-            t += 1
-            for name, g in _step(m, [docs[r] for r in rows], y[rows], weight[rows], rng).items():
-                a, b = state.setdefault(name, [np.zeros_like(g), np.zeros_like(g)])
-                a *= 0.9
-                a += 0.1 * g
-                b *= 0.999
-                b += 0.001 * g * g
-                move = 0.005 * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
-                if name.startswith("filters"):
-                    m.filters[int(name[7:])] -= move
-                elif name == "out_bias":
-                    m.out_bias -= float(move)
-                else:
-                    getattr(m, name)[...] -= move
+    yc, queue = y[check], np.empty(0, np.int64)
+    while t < UPDATES:
+        if not len(queue):
+            queue = rng.permutation(train)
+        rows, queue = queue[:BATCH], queue[BATCH:]
+        t += 1
+        for name, g in _step(m, [docs[r] for r in rows], y[rows], weight[rows], rng).items():
+            a, b = state.setdefault(name, [np.zeros_like(g), np.zeros_like(g)])
+            a *= 0.9
+            a += 0.1 * g
+            b *= 0.999
+            b += 0.001 * g * g
+            move = 0.005 * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
+            if name.startswith("filters"):
+                m.filters[int(name[7:])] -= move
+            elif name == "out_bias":
+                m.out_bias -= float(move)
+            else:
+                getattr(m, name)[...] -= move
+        if t % JUDGED:
+            continue
         raw = m.raw(m.tables(), flat, first)
-        yc = y[check]
         loss = float(np.mean(np.logaddexp(0, raw) - yc * raw))
         rank = np.argsort(np.argsort(raw))
         auc = (rank[yc == 1].sum() - yc.sum() * (yc.sum() - 1) / 2) / (yc.sum() * (len(yc) - yc.sum()))
         if -auc + 0.01 * loss < best[0]:
             best = (-auc + 0.01 * loss, (m.embed.copy(), [f.copy() for f in m.filters], m.bias.copy(), m.out.copy(), m.out_bias))
     m.embed, m.filters, m.bias, m.out, m.out_bias = best[1]
-    raw, yc = m.raw(m.tables(), flat, first), y[check]
-    m.shift = _threshold(raw, yc)
-    return m
+    step = step_of(m.raw(m.tables(), flat, first))
+    return calibrate(m, [(None, int(c), int(k), 1) for c, k in zip(yc, step, strict=True)])
 
 
-def _threshold(raw: np.ndarray, y: np.ndarray) -> float:
-    """Midpoint between two neighbouring values with the fewest errors; of equals the one in the widest gap."""
-    order = np.argsort(raw)
-    r, t = raw[order].astype(np.float64), y[order]
-    wrong = np.concatenate(([0], np.cumsum(t))) + np.concatenate((np.cumsum((1 - t)[::-1])[::-1], [0]))
-    r = np.concatenate(([r[0] - 2], r, [r[-1] + 2]))
-    gap, best = np.diff(r), wrong == wrong.min()
-    k = int(np.flatnonzero(best)[np.argmax(gap[best])])
-    return float((r[k] + r[k + 1]) / 2)
+def step_of(raw: np.ndarray) -> np.ndarray:
+    return np.floor(np.clip(raw.astype(np.float64), -30, 30) * STEPS).astype(np.int64)
 
 
 def calibrate(m: Cnn, counts: list[tuple[str | None, int, int, int]]) -> Cnn:
-    """Sets the thresholds by language from counts of rows by language, class and step of the raw score.
+    """Sets the point of score 0.5 and the thresholds by language from counts of rows by language, class and step of the raw score.
 
-    A threshold has the fewest errors among the rows of its language and PRIOR rows spread like those of all languages;
-    that of None, for other languages, has the fewest among all rows.
+    A cut has the least sum of the share of toxic rows below it and CLEAN times that of other rows above it: for the point of score 0.5
+    and for other languages among all rows, for a language among its rows and PRIOR rows spread like all. Without rows of both classes nothing changes.
     """
     if len({t for _, t, _, _ in counts}) < 2:
         return m
@@ -214,37 +216,48 @@ def calibrate(m: Cnn, counts: list[tuple[str | None, int, int, int]]) -> Cnn:
     whole = sum(by.values())
 
     def cutoff(rows: np.ndarray) -> float:
-        # Cut before step k: toxic rows below it and others from it on are wrong. Of equals the middle of the longest run.
-        wrong = np.concatenate(([0], np.cumsum(rows[1]))) + np.concatenate((np.cumsum(rows[0][::-1])[::-1], [0]))
+        # Cut before step k. Of equals the middle of the longest run.
+        share = rows / rows.sum(1, keepdims=True)
+        wrong = np.concatenate(([0], np.cumsum(share[1]))) + CLEAN * np.concatenate((np.cumsum(share[0][::-1])[::-1], [0]))
         best = np.flatnonzero(wrong <= wrong.min() + 1e-9)
         run = max(np.split(best, np.flatnonzero(np.diff(best) > 1) + 1), key=len)
         return (low + (run[0] + run[-1]) / 2) / STEPS
 
+    m.shift = cutoff(whole)
     mixed = {lang: rows + PRIOR / whole.sum() * whole for lang, rows in by.items()} | {None: whole}
     m.by_lang = {lang: float(m.score(np.array([cutoff(rows)]))[0]) for lang, rows in mixed.items()}
     return m
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> Cnn:
-    """Fits on SAMPLE_ROWS labelled rows at most, chosen by a hash of their ids, and calibrates on all others; usable is a condition on doc_id."""
+    """Fits on SAMPLE_ROWS labelled rows of each class at most, chosen by a hash of their ids, and calibrates on all others.
+
+    labels needs doc_id and toxic, docs doc_id, text and, for thresholds by language, lang; usable is a condition on doc_id. Labels that
+    aren't 0 or 1, or without a document, don't count; of several labels of a doc_id the larger holds, of several texts of a
+    doc_id in the sample one does. Null and empty texts count as texts without words. Without rows of both classes the model has
+    one answer; no labels: not toxic. Other columns are ignored.
+    """
     tuned(docs.sparkSession)
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     rows = rows.where(usable) if usable is not None else rows
     labelled = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    some = [labelled.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS) for c in (0, 1)]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches):
             ids, first = word_ids(t["text"].to_pylist())
-            n = np.diff(first)
-            keep = pa.array(n <= SAMPLE_WORDS)
             packed = pa.array([ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), t["toxic"].combine_chunks(), t["lang"].combine_chunks(), packed], ["doc_id", "toxic", "lang", "ids"]).filter(keep)
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
-    # The sample is bounded, so it may be broadcast.
-    got = texts.join(F.broadcast(rows), "doc_id").select("doc_id", "toxic", "lang", "text").mapInArrow(hashed, "doc_id long, toxic int, lang string, ids binary").toPandas()
-    got = got.sort_values(["doc_id", "ids"]).drop_duplicates("doc_id")
+            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), t["toxic"].combine_chunks(), packed], ["doc_id", "toxic", "ids"])
+
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), lang.alias("lang"))
+    # The sample is bounded, so it may be broadcast, and one text a doc_id, within SAMPLE_CHARS, may come to the driver.
+    sample = texts.join(F.broadcast(some[0].union(some[1])), "doc_id")
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.length("text").alias("size"), "text")).alias("t"))
+    before = F.sum("t.size").over(Window.orderBy("t.size", "doc_id"))  # a window over SAMPLE_ROWS rows of each class
+    sizes = sample.select("doc_id", before.alias("all")).where(F.col("all") <= SAMPLE_CHARS).select("doc_id")
+    got = sample.join(sizes, "doc_id", "left_semi").select("doc_id", "toxic", F.col("t.text").alias("text")).mapInArrow(hashed, "doc_id long, toxic int, ids binary").toPandas()
+    got = got.sort_values("doc_id")
     model = fit([np.frombuffer(x, np.int32) for x in got["ids"]], got["toxic"].to_numpy(np.float32))
     fitted_on = got["doc_id"].to_numpy(np.int64)[fitting(len(got))]
     tables = model.tables()
@@ -252,9 +265,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> C
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches, 2_000_000):
             t = t.filter(pa.array(~np.isin(t["doc_id"].to_numpy(), fitted_on)))
-            raw = model.raw(tables, *word_ids(t["text"].to_pylist()))
-            step = np.floor(np.clip(raw.astype(np.float64), -30, 30) * STEPS).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), t["lang"].combine_chunks(), pa.array(step)], ["doc_id", "lang", "step"])
+            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), t["lang"].combine_chunks(), pa.array(step_of(model.raw(tables, *word_ids(t["text"].to_pylist()))))], ["doc_id", "lang", "step"])
 
     # Scored before the join, so that no text is shuffled.
     others = (texts.where(usable) if usable is not None else texts).where("doc_id is not null").mapInArrow(binned, "doc_id long, lang string, step long").join(labelled, "doc_id")
