@@ -14,8 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut
+
+__all__ = ["CHUNK_CHARS", "EXCHANGED", "chunks", "cut", "exchange", "id_text", "pack", "packed_batch", "release", "table", "trim", "tuned", "unpack"]
+
 #: Characters of text that a Python stage holds at once, unless a single text is longer.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,26 +32,27 @@ def tuned(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """checkpoint() goes to the shared folder that spark.checkpoint.dir names; only without one (tests) to a local one."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def id_text(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so that no other column's name can clash; rows without doc_id take no part; null text is empty."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
 
 
+def trim() -> None:
+    """Gives memory of finished work back to the system, as Python workers live on between tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def chunks(batches: Iterator[pa.RecordBatch], chars: int = CHUNK_CHARS, text: str = "text") -> Iterator[pa.Table]:
     """The batches, gathered into tables of about so many bytes of text."""
+    trim()
     held, size = [], 0
     for batch in batches:
         step = max(1, int(batch.num_rows * chars / max(batch.nbytes, 1)))
@@ -62,12 +67,6 @@ def chunks(batches: Iterator[pa.RecordBatch], chars: int = CHUNK_CHARS, text: st
         yield pa.Table.from_batches(held)
 
 
-def buckets_for(df: DataFrame) -> int:
-    """How many buckets an exchange has: it follows the input's partitions, so that a bucket stays small at any size."""
-    spark = df.sparkSession
-    return 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions(), 8)
-
-
 def pack(bucket: np.ndarray, n_buckets: int, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
     """One packed value for each bucket that has rows; columns lie one after the other."""
     order = np.argsort(bucket, kind="stable")
@@ -112,6 +111,8 @@ def exchange(df: DataFrame, n_buckets: int, reduce: Callable[[list[bytes]], Iter
                 held.append(v)
         if held:
             yield from reduce(held)
+            held = []
+        trim()
 
     return df.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 

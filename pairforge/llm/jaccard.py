@@ -19,7 +19,8 @@ in the cell of some least member. A key that many documents of one task hold is
 sent on, and the cell is a connected component of such ties. In each cell parity bitmaps of the sets, which bound the number
 of tokens that differ from below, part what can't be linked, and what stays together is compared exactly by inverted
 lists. A cell over BLOCK sets is cut in blocks that all hold its least member; only sets that then are not linked with the
-cell's largest component meet the other blocks. Documents with equal sets are one class.
+cell's largest component meet the other blocks. Cells of hot keys come first; of the others only those with sets of several components
+are left, and there only pairs across components are looked for. Documents with equal sets are one class.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .base import EXCHANGED, chunks, cut, exchange, id_text, pack, packed_batch, release, tuned, unpack
+from .base import EXCHANGED, chunks, cut, exchange, id_text, pack, packed_batch, release, trim, tuned, unpack
 from .components import connected_components
 
 #: Ratio of the largest to the smallest size of a band; sets that one task compares at once; members of a key in one task from which it is hot.
@@ -175,11 +176,13 @@ def candidate_ties(docs: DataFrame, n: int, percent: int, ways: dict[int, int],
                 keys.append(key)
                 nodes.append(np.full(len(key), doc, np.int64))
                 held += len(key)
-            if held > 3_000_000:
+            if held > 1_500_000:
                 yield from flush()
                 keys, nodes, held = [], [], 0
         if keys:
             yield from flush()
+            keys, nodes = [], []
+        trim()
 
     def meet(values: list[bytes]) -> Iterator[pa.RecordBatch]:
         ties = [v for v in values if v[:1] == b"T"]
@@ -219,10 +222,17 @@ class _Parts:
         return k
 
 
-def linked(sets: list[np.ndarray], ids: list[int], percent: int, fresh: int = 0) -> list[tuple[int, int]]:
-    """Links that join what is linked: a spanning forest of the exact links of sets. Pairs of two sets before `fresh` are left out."""
+def linked(sets: list[np.ndarray], ids: list[int], percent: int, fresh: int = 0, comps: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that join what is linked: a spanning forest of the exact links of sets, beside what comps says is one component.
+
+    With `fresh`, every pair with a set from there on is looked at, and others need not be. Without, sets that already are in the first one's component are not
+    compared any more: the sets that aren't are compared with all.
+    """
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     parts, out = _Parts(len(sets)), []
+    seen: dict[int, int] = {}
+    for k, c in enumerate(comps or []):
+        parts.up[parts.root(k)] = parts.root(seen.setdefault(c, k))
     if len(sets) == 2:
         both = len(np.intersect1d(*sets, assume_unique=True))
         return [(ids[0], ids[1])] if 100 * both >= percent * (size.sum() - both) else []
@@ -231,7 +241,9 @@ def linked(sets: list[np.ndarray], ids: list[int], percent: int, fresh: int = 0)
     order = np.argsort(token, kind="stable")
     first = np.searchsorted(token[order], np.arange(token.max() + 2))
     owner_by_token, begins = owner[order], np.concatenate(([0], np.cumsum(size)))
-    for k in range(max(1, fresh), len(sets)):
+    for k in range(fresh, len(sets)):
+        if not fresh and k and parts.root(k) == parts.root(0):
+            continue
         own = token[begins[k] : begins[k + 1]]
         lo, n = first[own], first[own + 1] - first[own]
         many = n > 1
@@ -239,8 +251,9 @@ def linked(sets: list[np.ndarray], ids: list[int], percent: int, fresh: int = 0)
         if not len(n):
             continue
         at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        both = np.bincount(owner_by_token[at], minlength=len(sets))[:k]
-        for j in np.flatnonzero((both > 0) & (100 * both >= percent * (size[k] + size[:k] - both))).tolist():
+        both = np.bincount(owner_by_token[at], minlength=len(sets))
+        both[k] = 0
+        for j in np.flatnonzero((both > 0) & (100 * both >= percent * (size[k] + size - both))).tolist():
             a, b = parts.root(k), parts.root(j)
             if a != b:
                 parts.up[a] = b
@@ -248,13 +261,13 @@ def linked(sets: list[np.ndarray], ids: list[int], percent: int, fresh: int = 0)
     return out
 
 
-def may_link(sizes: np.ndarray, bitmaps: list[bytes], percent: int) -> np.ndarray:
-    """A label for each set; sets with different labels can't be linked, not even by way of others of these sets.
+def may_link(sizes: np.ndarray, bitmaps: list[bytes], percent: int, comps: np.ndarray | None = None) -> np.ndarray:
+    """A label for each set; sets with different labels can't be linked, not even by way of others of these sets; those of one of comps have one label.
 
     Bits in which the parity bitmaps differ are at most the tokens that differ; a longer bitmap is folded to the shorter.
     """
     order = np.argsort(sizes, kind="stable")
-    n, label = sizes[order].astype(np.int64), np.arange(len(sizes))
+    n, label = sizes[order].astype(np.int64), np.arange(len(sizes)) if comps is None else np.unique(comps, return_inverse=True)[1][order]
     maps = [np.frombuffer(bitmaps[k], "<u8") for k in order]
     width = np.array([len(x) for x in maps])
     folded: dict[int, np.ndarray] = {}  # the bitmaps that are no shorter than so many words, in order
@@ -281,26 +294,26 @@ def may_link(sizes: np.ndarray, bitmaps: list[bytes], percent: int) -> np.ndarra
 
 
 def _part(percent: int):  # noqa: ANN202
-    """Over rows (cell, side, doc_id, n_shingles, bitmap), sorted by cell: the rows that may have a link there, with the part they lie in."""
+    """Over rows (cell, side, doc_id, comp, n_shingles, bitmap), sorted by cell: the rows that may have a link there to another comp, with the part they lie in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
-        def done() -> tuple[list[int], list[int], list[int]]:
-            label = may_link(np.array([r[2] for r in held]), [r[3] for r in held], percent).tolist()
-            size = Counter(label)
-            fresh = {x for x, r in zip(label, held, strict=True) if r[0] == 1}
-            both = fresh or size
-            stay = [k for k, x in enumerate(label) if size[x] > 1 and x in both]
-            return [int(tk.mix(np.array([now], np.int64).view(np.uint64) + U(label[k]))[0] >> U(1)) for k in stay], [held[k][0] for k in stay], [held[k][1] for k in stay]
+        def done() -> list[list[int]]:
+            label = may_link(np.array([r[3] for r in held]), [r[4] for r in held], percent, np.array([r[2] for r in held])).tolist()
+            several = {x for x, n in Counter(x for x, _ in {(x, r[2]) for x, r in zip(label, held, strict=True)}).items() if n > 1}
+            if any(r[0] for r in held):
+                several &= {x for x, r in zip(label, held, strict=True) if r[0] == 1}
+            stay = [k for k, x in enumerate(label) if x in several]
+            return [[int(tk.mix(np.array([now], np.int64).view(np.uint64) + U(label[k]))[0] >> U(1)) for k in stay], *([held[k][c] for k in stay] for c in range(3))]
 
-        def batch(parts: list[tuple[list[int], list[int], list[int]]]) -> pa.RecordBatch:
-            cols = [[x for p in parts for x in p[k]] for k in range(3)]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], ["cell", "side", "doc_id"])
+        def batch(parts: list[list[list[int]]]) -> pa.RecordBatch:
+            cols = [[x for p in parts for x in p[k]] for k in range(4)]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["cell", "side", "doc_id", "comp"])
 
-        parts: list[tuple[list[int], list[int], list[int]]] = []
+        parts: list[list[list[int]]] = []
         for b in batches:
-            for cell, *row in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+            for cell, *row in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
                 if cell != now:
                     if len(held) > 1:
                         parts.append(done())
@@ -314,21 +327,22 @@ def _part(percent: int):  # noqa: ANN202
 
 
 def _compare(percent: int, n: int):  # noqa: ANN202
-    """Over rows (cell, side, doc_id, text), sorted by cell: exact links within each cell, of side 0, or of side 1 with 0."""
+    """Over rows (cell, side, doc_id, comp, text), sorted by cell: exact links within each cell between comps, of side 0, or of side 1 with any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done() -> list[tuple[int, int]]:
             order = sorted(range(len(ids)), key=lambda x: sides[x])
             zero = sides.count(0)
-            return linked([sets[x] for x in order], [ids[x] for x in order], percent, zero if zero < len(ids) else 0)
+            return linked([sets[x] for x in order], [ids[x] for x in order], percent, zero if zero < len(ids) else 0, [comps[x] for x in order])
 
-        now, ids, sides, sets, found = None, [], [], [], []
+        now, ids, sides, comps, sets, found = None, [], [], [], [], []
         for t in chunks(batches):
-            for cell, side, doc, u in zip(t["cell"].to_pylist(), t["side"].to_pylist(), t["doc_id"].to_pylist(), shingle_sets(t["text"].to_pylist(), n), strict=True):
+            for cell, side, doc, comp, u in zip(t["cell"].to_pylist(), t["side"].to_pylist(), t["doc_id"].to_pylist(), t["comp"].to_pylist(), shingle_sets(t["text"].to_pylist(), n), strict=True):
                 if cell != now:
                     found += done() if len(ids) > 1 else []
-                    now, ids, sides, sets = cell, [], [], []
+                    now, ids, sides, comps, sets = cell, [], [], [], []
                 ids.append(doc)
+                comps.append(comp)
                 sides.append(side)
                 sets.append(u)
         found += done() if len(ids) > 1 else []
@@ -366,6 +380,8 @@ def _describe(percent: int, n: int):  # noqa: ANN202
                 have = counts.setdefault(at, [0, np.zeros(SIGNS, np.int64)])
                 have[0] += len(low)
                 have[1] += 2 * np.unpackbits(low.view(np.uint8).reshape(-1, 4), axis=1).sum(0, dtype=np.int64) - len(low)
+        found = {}
+        trim()
         rows = sorted(counts.items())
         yield batch(pa.nulls(len(rows), pa.int64()), [b for (b, _), _ in rows], [w for (_, w), _ in rows], [c[0] for _, c in rows], [None] * len(rows), [c[1].tolist() for _, c in rows])
 
@@ -384,12 +400,13 @@ def cheapest_ways(facts: DataFrame) -> tuple[dict[int, int], int]:
     return {b: way for b, (_, way, _) in best.items()}, sum(keys for _, _, keys in best.values())
 
 
-def _exact_links(docs: DataFrame, cells: DataFrame, reps: DataFrame, percent: int, n: int) -> DataFrame:
-    """cells (cell, side, doc_id) -> (a, b): a spanning forest of the links in each cell."""
-    rows = cells.join(reps, "doc_id").select("cell", "side", "doc_id", "n_shingles", "bitmap")
-    parts = cut(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_part(percent), "cell long, side int, doc_id long"))
+def _exact_links(docs: DataFrame, cells: DataFrame, comps: DataFrame, reps: DataFrame, percent: int, n: int) -> DataFrame:
+    """cells (cell, side, doc_id) -> (a, b): a spanning forest of the links in each cell between components."""
+    known = comps.select(F.col("node").alias("doc_id"), "comp")
+    rows = cells.join(reps, "doc_id").join(known, "doc_id", "left").select("cell", "side", "doc_id", F.coalesce("comp", "doc_id").alias("comp"), "n_shingles", "bitmap")
+    parts = cut(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_part(percent), "cell long, side int, doc_id long, comp long"))
     release(docs.sparkSession)
-    placed = docs.join(parts, "doc_id").select("cell", "side", "doc_id", "text")
+    placed = docs.join(parts, "doc_id").select("cell", "side", "doc_id", "comp", "text")
     return cut(placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(percent, n), "a long, b long"))
 
 
@@ -429,19 +446,25 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) ->
     ties = cut(candidate_ties(docs, n, percent, ways, n_keys))
     release(spark)
     ties = cut(ties.join(rep_of("a"), "a").join(rep_of("b"), "b").where("rep_a <> rep_b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "hot").distinct())
-    stars = ties.where("not hot").select(F.col("b").alias("at"), F.explode(F.array("a", "b")).alias("doc_id"))
-    hot = connected_components(ties.where("hot")).select(F.col("comp").alias("at"), F.col("node").alias("doc_id"))
-    cells = stars.select(F.xxhash64(F.lit("star"), "at").alias("cell"), "at", "doc_id").union(hot.select(F.xxhash64(F.lit("hot"), "at").alias("cell"), "at", "doc_id")).distinct()
-    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = cut(cells.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
-    # The least member, which most others are tied to, is in every block.
-    block = F.explode(F.when(F.col("doc_id") == F.col("at"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))).alias("block")
-    links = _exact_links(docs, members.select("cell", "doc_id", block).select(F.xxhash64("cell", "block").alias("cell"), F.lit(0).alias("side"), "doc_id"), reps, percent, n)
     # Rows that repeat a doc_id tie their classes.
-    links = links.union(classed.where("rep is not null and rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    comps = connected_components(links)
-    if members.where("blocks > 1").take(1):
-        links = links.union(_exact_links(docs, _unsettled(members, comps), reps, percent, n))
+    links = classed.where("rep is not null and rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    comps = connected_components(links) if links.take(1) else links.limit(0).select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    hot = connected_components(ties.where("hot").select("a", "b")).select(F.col("comp").alias("at"), F.col("node").alias("doc_id"))
+    stars = ties.where("not hot").select(F.col("b").alias("at"), F.explode(F.array("a", "b")).alias("doc_id"))
+    for cells in (hot, stars):
+        # Of each cell its members by component; a cell within one component has nothing left to find.
+        cells = cells.distinct().join(comps, F.col("doc_id") == F.col("node"), "left").select(F.col("at").alias("cell"), "at", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
+        sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("cell", "blocks")
+        members = cut(cells.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).drop("comp"))
+        if not members.take(1):
+            continue
+        # The least member, which most others are tied to, is in every block.
+        block = F.explode(F.when(F.col("doc_id") == F.col("at"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))).alias("block")
+        parts = members.select("cell", "doc_id", block).select(F.xxhash64("cell", "block").alias("cell"), F.lit(0).alias("side"), "doc_id")
+        links = links.union(_exact_links(docs, parts, comps, reps, percent, n))
         comps = connected_components(links)
+        if members.where("blocks > 1").take(1):
+            links = links.union(_exact_links(docs, _unsettled(members, comps), comps, reps, percent, n))
+            comps = connected_components(links)
     release(spark)
     return classed.join(comps, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
