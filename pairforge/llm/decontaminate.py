@@ -3,6 +3,9 @@
 Of each window of `window` words of a document the smallest hash of its K-word grams is kept; a document's distinct minima
 are its fingerprints. An item window's fingerprint is the same function of its own words, so a shared window always meets
 in a join of fingerprints. Met windows are looked for in the whole document, word by word, and their words are hits.
+
+Texts are read where they lie: fingerprints and word counts come from the scan, and only documents that met a window, picked out by their
+ids, are moved to be verified.
 """
 
 from __future__ import annotations
@@ -10,11 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import id_text, tuned
+from .base import cut, id_text, tuned
 
 K = 5
+#: Ids of met documents that may be broadcast to pick out their texts; beyond, a join does it.
+BROADCAST_IDS = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD, ANY_CASE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -62,7 +67,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     items: sorted ids of benchmark items with a window that occurs in the document; starts: (at, n) of all occurrences, n
     words from word `at`; n_hit: words inside any. Null text has no words; a document shorter than a window can only hold
     whole short items; repeated rows are judged each; other columns are ignored; with an empty benchmark nothing is hit.
-    The join leaves it to Spark to broadcast the item windows, which it does below its size threshold only.
+    The join leaves it to Spark to broadcast the item windows, which it does below its size threshold only. The met ids are written to the
+    checkpoint folder and counted before the result is returned.
     """
     tuned(docs.sparkSession)
     docs = id_text(docs).withColumn("tag", F.xxhash64("text"))
@@ -77,11 +83,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
         one = wins.where(F.col("n") == n).withColumn("h", F.transform("win", lambda x: F.xxhash64(x)))
         keyed = keyed.union(one.select("n", "win", "items", F.get(_grams(F.col("h"), n), F.lit(0)).alias("fp")))
     met = found.join(keyed, "fp").select("doc_id", "tag", F.struct("n", "win", "items", F.xxhash64("win").alias("hash")).alias("cand"))
-    met = met.groupBy("doc_id", "tag").agg(F.collect_set("cand").alias("cands"))
+    met = cut(met.groupBy("doc_id", "tag").agg(F.collect_set("cand").alias("cands")))
 
-    out = docs.join(met, ["doc_id", "tag"], "left").select("doc_id", words(F.col("text")).alias("words"), "cands")
+    ids = met.select("doc_id", "tag")
+    ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    some = docs.join(ids, ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id", "tag"])
+    out = some.join(met, ["doc_id", "tag"]).select("doc_id", "tag", words(F.col("text")).alias("words"), "cands")
     out = out.withColumn("hashes", F.transform("cands", lambda c: c["hash"]))
-    none = F.array().cast("array<struct<at:int,n:int,items:array<bigint>>>")
 
     def places(n: int) -> Column:
         win = lambda i: F.slice("words", i + 1, n)
@@ -89,13 +97,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
         held = F.transform(likely, lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.flatten(F.transform(F.filter("cands", lambda c: c["win"] == win(i)), lambda c: c["items"])).alias("items")))
         return F.filter(held, lambda p: F.size(p["items"]) > 0)
 
-    out = out.withColumn("places", F.when(F.col("cands").isNull(), none).otherwise(F.concat(*(places(n) for n in [*short, window]))))
+    out = out.withColumn("places", F.concat(*(places(n) for n in [*short, window])))
     hit = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p["at"], p["at"] + p["n"] - 1)))))
-    return out.select(
-        "doc_id", F.size("words").cast("long").alias("n_words"), hit.cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.transform("places", lambda p: p["items"])))).alias("items"),
+    out = out.select(
+        "doc_id", "tag", hit.cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.transform("places", lambda p: p["items"])))).alias("items"),
         F.transform("places", lambda p: F.struct(p["at"].alias("at"), p["n"].alias("n"))).alias("starts"),
     )
+    own = docs.select("doc_id", "tag", F.size(F.regexp_extract_all("text", F.lit(ANY_CASE), F.lit(0))).cast("long").alias("n_words"))
+    none = {"n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<bigint>"), "starts": F.array().cast("array<struct<at:int,n:int>>")}
+    return own.join(out, ["doc_id", "tag"], "left").select("doc_id", "n_words", *(F.coalesce(c, v).alias(c) for c, v in none.items()))
 
 
 def digest(out: DataFrame) -> DataFrame:
