@@ -1,4 +1,8 @@
-"""The corpus pipeline: toxicity, near duplicates, decontamination, secrets, packing; each stage over all that the one before kept."""
+"""The corpus pipeline: toxicity, near duplicates, decontamination, secrets, packing; each stage over all that the one before kept.
+
+Every stage takes a table with doc_id and text, and whatever other columns there are; nulls in any of them do no harm. A row is what is judged, by its own
+text: rows that repeat a doc_id with different texts, and rows without doc_id, are told apart. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -11,33 +15,76 @@ from pairforge.llm.jaccard import ngram_jaccard_components
 from pairforge.llm.packing import pack_documents
 
 
+def _free_name(docs: DataFrame) -> str:
+    name = "__row"
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str, bool]:
+    """docs with a number for each row, the column's name, and whether doc_ids repeat or are missing.
+
+    As a rule the number is the doc_id. Rows whose doc_id repeats or is missing get a hash of it and their text, so that only rows equal in both
+    share one. Whether there are any is found from the ids alone.
+    """
+    key = _free_name(docs)
+    own = F.col("doc_id").cast("long")
+    odd = docs.groupBy(own.alias("id")).agg(F.count("*").alias("n")).where("n > 1 or id is null").select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("none"))
+    odd = cut(odd)
+    if not odd.take(1):
+        return docs.withColumn(key, own), key, False
+    mark = odd.select(F.col("id").alias(f"{key}id"), F.col("none").alias(f"{key}none"), F.lit(True).alias(f"{key}odd"))
+    on = (F.coalesce(own, F.lit(0)) == F.col(f"{key}id")) & (own.isNull() == F.col(f"{key}none"))
+    joined = docs.join(mark, on, "left").withColumn(key, F.when(F.col(f"{key}odd"), F.xxhash64(own, F.coalesce(F.col("text").cast("string"), F.lit("")))).otherwise(own))
+    return joined.drop(f"{key}id", f"{key}none", f"{key}odd"), key, True
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it learns from the labels whose crc32(doc_id) mod 5 is not 0."""
+    """Documents that the classifier rejects go; it learns from the labels whose crc32(doc_id) mod 5 is not 0, in the documents of sf_dir.
+
+    Null and empty texts have the score of no words; rows that repeat stay or go together; without labels of both classes all stay.
+    """
     usable = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
     return toxicity.reject_toxic(docs, toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), usable))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 over five-word shingles the one with the smallest id stays; without id all stay."""
-    found = ngram_jaccard_components(docs, n=5, percent=80)
-    kept = found.where("component_id = doc_id").select(F.col("doc_id").alias("__kept"))
-    return docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+    """Of rows linked by a similarity of 0.8 over five-word shingles, in whatever number of steps, the one with the smallest doc_id stays; a row without id only if all are.
+
+    Rows with the same doc_id, or none, and the same text are one row, and the one whose columns come first in order stays. Null, empty and blank
+    texts are similar to nothing; texts with fewer than five words are compared whole.
+    """
+    keyed, key, odd = _keyed(docs)
+    found = ngram_jaccard_components(keyed.select(F.col(key).alias("doc_id"), "text"), n=5, percent=80)
+    if not odd:
+        kept = found.where("component_id = doc_id").select(F.col("doc_id").alias(key))
+        return keyed.join(kept, key, "left_semi").select(*docs.columns)
+    ids = keyed.select(F.col(key).alias("k"), F.col("doc_id").cast("long").alias("id")).distinct()
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("first")
+    kept = found.select(F.col("doc_id").alias("k"), "component_id").distinct().join(ids, "k").groupBy("component_id").agg(first).select(F.col("first.k").alias(key))
+    rows = cut(keyed.join(kept, key, "left_semi"))
+    again = cut(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key))
+    one = rows.join(again, key, "left_semi").groupBy(key).agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return rows.join(again, key, "left_anti").select(*docs.columns).union(one.select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a window of ten words of a benchmark item occurs go."""
+    """Rows in whose text a window of ten words of a benchmark item, or a whole shorter item, occurs go; rows that repeat go or stay together, null texts stay."""
+    keyed, key, _ = _keyed(docs)
     # Written first: a filter on n_hit would be pushed below the steps that make it, and each would be worked out again and again.
-    found = cut(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), window=10).select("doc_id", "n_hit"))
-    return docs.join(found.where("n_hit > 0").select(F.col("doc_id").alias("__hit")), F.col("doc_id") == F.col("__hit"), "left_anti")
+    found = cut(decontaminate.decontaminate(keyed.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), window=10).select("doc_id", "n_hit"))
+    return keyed.join(found.where("n_hit > 0").select(F.col("doc_id").alias(key)), key, "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; the secrets in its text are replaced, and n_chars follows."""
+    """Every row stays; the secrets in its text are replaced, and n_chars, where there is such a column, follows; a null text stays null and keeps its n_chars."""
     out = secrets.redact(docs)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of pack_documents over all rows with a doc_id: null and empty texts have their end id alone, rows that repeat are packed each."""
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
