@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairforge.llm import chat, decontaminate, licenses, queries, secrets, substring, topk, toxicity
+from pairforge.llm import chat, decontaminate, jaccard, licenses, queries, secrets, substring, topk, toxicity
+from pairforge.llm import textkit as tk
 from pairforge.llm.html import extract, extract_pages
 from pairforge.llm.jaccard import differ_most, keys_of, linked, ngram_jaccard_components
 from pairforge.llm.packing import Packer, pack_documents, tokenizer
@@ -89,17 +90,46 @@ def test_jaccard_keys_lose_no_pair():
             b = np.unique(np.concatenate((np.delete(a, gone), rng.integers(0, 2**63, rng.integers(0, most + 1 - len(gone) + 1) if most >= len(gone) else 0).astype(np.uint64))))
             both = len(np.intersect1d(a, b))
             if 100 * both >= 85 * (len(a) + len(b) - both) and not np.array_equal(a, b):
-                assert np.intersect1d(keys_of(a, 85), keys_of(b, 85)).size
+                for way in (jaccard.PAIRED, jaccard.SPARE, jaccard.AMPLE):
+                    ways = dict.fromkeys(range(60), way)
+                    assert np.intersect1d(keys_of(a, 85, ways), keys_of(b, 85, ways)).size
                 assert linked([a, b], [1, 2], 85)
+                assert len(set(jaccard.may_link(np.array([len(a), len(b)]), [jaccard.parity(a), jaccard.parity(b)], 85).tolist())) == 1
 
 
 def test_jaccard_blocks(spark, monkeypatch):
-    from pairforge.llm import jaccard
-
+    """Blocks of three sets and keys that are hot from three members on, over chains whose ends aren't similar and strangers that share passages."""
     monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "HOT", 3)
     base = [f"w{k}" for k in range(60)]
     rows = [(k, " ".join([*base[:k], f"x{k}", *base[k + 1 :]])) for k in range(20)]
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_components(table(spark, rows), 4, 80).collect()} == jaccard_brute(rows, 4, 80)
+    rows += [(100 + k, " ".join(f"c{k * 3 + j}" for j in range(60))) for k in range(20)]
+    rows += [(200 + k, " ".join([*base[:30], *(f"s{k}.{j}" for j in range(30))])) for k in range(20)]
+    for percent in (80, 90):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_components(table(spark, rows), 4, percent).collect()} == jaccard_brute(rows, 4, percent)
+
+
+@pytest.mark.parametrize("most", [1_000_000, 20])
+def test_components_over_many_partitions(spark, monkeypatch, most):
+    from pairforge.llm import components
+
+    monkeypatch.setattr(components, "EDGES", most)
+    rng = random.Random(8)
+    edges = [(k, k + 1) for k in range(60)] + [(200 + rng.randrange(40), 200 + rng.randrange(40)) for _ in range(60)] + [(300, 300), (None, 3), (500, 400), (500, 400)]
+    up = {}
+
+    def root(a):
+        while up.setdefault(a, a) != a:
+            a = up[a]
+        return a
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    got = components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.comp for r in got} == {a: root(a) for a in up} and len(got) == len(up)
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 # -- 4 ---------------------------------------------------------------------------------------------------------------
@@ -135,6 +165,34 @@ def test_substring_hostile(spark, window):
     assert substring.substring_dedup(table(spark, []), window).count() == 0
 
 
+def test_substring_grows_hot_prefixes(spark, monkeypatch):
+    """Prefixes below which too many suffixes lie are grown, by more words the more there are; passages of any kind are found all the same."""
+    for name, value in (("GROUP", 4), ("BUCKET", 50), ("BUCKET_WORDS", 40), ("FLUSH", 60), ("FLUSH_WORDS", 40)):
+        monkeypatch.setattr(substring, name, value)
+    rng = random.Random(5)
+    line, half = [f"hot{k}" for k in range(13)], [f"hot{k}" for k in range(8)]
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = [(k, " ".join([word() for _ in range(rng.randrange(12))] + (line if k % 3 else half) + [word() for _ in range(20)])) for k in range(60)]
+    rows += [(60 + k, rows[k][1] + " tail") for k in range(0, 60, 7)] + [(90, "x " * 100), (91, "x " * 60), (92, " ".join(line[:12]))]
+    seen = []
+    real = substring._grown
+    monkeypatch.setattr(substring, "_grown", lambda *a: seen.append(real(*a)) or seen[-1])
+    out = substring.substring_dedup(table(spark, rows), 13).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256))
+    assert sorted(map(tuple, out.collect())) == dedup_brute(rows, 13)
+    assert len(seen[0][0]) > 1 and seen[0][1] > 100
+
+
+def test_substring_compares_words():
+    """Suffixes with one key whose words differ have no window in common, and words with one hash keep their own numbers."""
+    key, doc = np.zeros(3, np.uint64), np.array([1, 2, 3])
+    words = np.array([[-1, 1, 2, 3], [-1, 1, 2, 4], [9, 1, 2, 3]], np.int32)
+    assert substring.later_windows(key, doc, words, 3).tolist() == [[False, False], [False, False], [True, False]]
+    w = tk.words(["aa bb aa c"], lower=False)
+    w.hash[:] = 7
+    numbers, names = substring.word_numbers(w)
+    assert [names[x] for x in numbers] == [b"aa", b"bb", b"aa", b"c"]
+
+
 # -- 10 --------------------------------------------------------------------------------------------------------------
 
 
@@ -309,6 +367,15 @@ def test_packing_is_whole(spark, sf):
     assert tokenizer(path)("a b").tolist() == slow.encode("a b", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "a" * 2_000_000, " \n" * 500_000 + "x" + "\t" * 300_000, "é" * 300_000, "1" * 300_000 + "!" * 300_000, "x " * 20_000 + " " * 1_000_000 + "y"])
+def test_long_runs_are_tokenised(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert tokenizer(path)(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def test_packer_holds_few_windows():
     rng, p, full = np.random.default_rng(1), Packer(64, 4), []
     for doc in range(500):
@@ -354,6 +421,57 @@ def test_extraction_keeps_all_sections():
     assert extract(f"<html><body><div>{half}</div><div>{half}<p>{para}</p></div>{links}</body></html>") == "\n".join([para] * 11)
 
 
+def test_class_words_never_leave_a_page_without_text():
+    text = ("An article sentence that says quite a lot. " * 8).strip()
+    for attrs in ('class="post-side"', 'class="notice-board-story"', 'aria-label="Related work on menus"', 'class="side"', 'id="menu"'):
+        assert extract(f"<html><body><div {attrs}><p>{text}</p></div></body></html>") == text
+
+
+@pytest.mark.parametrize("page", ['<a "' * 250_000, '<a "' * 250_000 + ">", '<a " > " ' * 110_000, "<div>" * 200_000 + "x", "<div>" * 100_000 + "</section>" * 100_000, "<b><div>" + "<i>" * 100_000 + "</b>" * 100_000, "<nav>" + "<div>" * 100_000 + "</section>" * 100_000, "<script>" + "</script " * 100_000, "<" * 1_000_000, "<ul>" + "<li>x" * 100_000, "<!--" * 200_000, "<p>&#" + "9" * 100_000 + ";"], ids=range(12))
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    extract(page)
+    assert time.process_time() - began < 10  # a quadratic reader takes minutes
+
+
+def test_densities_match_their_definition():
+    """Counts and densities of every node, worked out anew for each node from its whole subtree; the node with the largest sum is taken."""
+    import math
+
+    from pairforge.llm import html as H
+
+    page = "<html><body><div><a href=x>home</a><a href=y>news and more</a></div><div id=c><p>" + "plain words go on here. " * 9 + "</p><p>more <a href=z>of</a> them, and more. " * 3 + "</p></div><div><span>end</span></div></body></html>"
+    root, _ = H.parse(page)
+    own = {}
+
+    def walk(x, in_link=False):
+        own[id(x)] = (x.chars, x.link_chars)
+        for k in x.kids:
+            walk(k)
+
+    walk(root)
+
+    def below(x):
+        return [x] + [y for k in x.kids for y in below(k)]
+
+    order = H._measure(root)
+    body = next(x for x in order if x.tag == "body")
+    total = lambda x: tuple(sum(own[id(y)][n] for y in below(x)) for n in (0, 1))
+    share = total(body)[1] / total(body)[0]
+    assert len(order) == len(below(root))
+    for x in order:
+        c, lc = total(x)
+        t, lt = max(len(below(x)) - 1, 1), max(sum(y.tag == "a" for y in below(x)[1:]), 1)
+        if c:
+            base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+            want = c / t * max(0.0, math.log(c / max(lc, 1) * t / lt) / math.log(base)) if base > 1 else c / t * math.log(c / max(lc, 1) * t / lt + 1)
+            assert x.chars == c and x.link_chars == lc and abs(x.density - want) < 1e-3 * max(1, want)
+    best = max(reversed(order), key=lambda x: sum(k.density for k in x.kids) or (x.density if not x.kids else 0.0))
+    assert best in H.main_nodes(root) and extract(page).startswith("plain words")
+
+
 def test_pages_hostile(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>hi</p>", "x"), (2, "u", "<div>" * 3000 + "deep", "x"), (2, "u", "", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in extract_pages(df).collect()) == [(0, "hi", 2), (1, "", 0), (2, "", 0), (2, "deep", 4)]
@@ -384,6 +502,33 @@ def test_toxicity_calibrates_every_language(spark, monkeypatch):
     assert all(0 < x < 1 for x in model.by_lang.values())
 
 
+def test_toxicity_forward_pass_is_the_convolution():
+    """Scores against loops over every place, filter and width."""
+    rng = np.random.default_rng(2)
+    m = toxicity.Cnn.fresh()
+    m.bias[:] = rng.normal(0, 0.1, len(m.bias))
+    texts = ["one", "", "vile words in a row and more words", "a b", "ä Ö x-y 12"]
+    ids, first = toxicity.word_ids(texts)
+    got = m.raw(m.tables(), ids, first)
+    for k in range(len(texts)):
+        padded = [0, 0, *ids[first[k] : first[k + 1]].tolist(), 0]
+        value = m.out_bias
+        for w, (width, f) in enumerate(zip(toxicity.WIDTHS, m.filters, strict=True)):
+            for n in range(toxicity.FILTERS):
+                at = [sum(float(m.embed[padded[p + j]] @ f[j][:, n]) if p + j < len(padded) else 0.0 for j in range(width)) for p in range(len(padded))]
+                value += max(max(at) + float(m.bias[w * toxicity.FILTERS + n]), 0.0) * float(m.out[w * toxicity.FILTERS + n])
+        assert abs(value - got[k]) < 1e-4
+
+
+def test_toxicity_takes_one_text_of_a_doc_id_and_needs_no_lang(spark):
+    rows = [(k, "you vile crook" if k % 2 else "kind words") for k in range(60)] + [(1, f"copy {k} of the vile crook") for k in range(200)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert set(model.by_lang) == {None}
+    kept = {r.doc_id for r in toxicity.reject_toxic(docs, model).collect()}
+    assert {k for k in range(60) if k % 2 == 0} <= kept and 3 not in kept
+
+
 def test_toxicity_thresholds_shrink():
     rows = [(lang, t, 100 * t + at, n) for lang, at, n in (("big", 0, 900), ("shifted", 150, 300), ("tiny", 150, 1)) for t in (0, 1)]
     m = toxicity.calibrate(toxicity.Cnn.fresh(), rows)
