@@ -12,9 +12,9 @@ from ..kernel import solver as K
 from ..operators import sampling as X
 from ..sources import fixture as fx
 from ..sources.readers import read_results
-from .base import PANEL, query
+from .base import query
 from .collection import scratch
-from .estimation import _PATH_ROWS, ITEMS, N_ITEMS, N_JUDGES, TRUTH, cells, fitted, split  # noqa: F401
+from .estimation import TRUTH, split
 from .relational import R6, human, llm
 
 METHODS = ("human_only", "consensus_cal", "staged_w", "joint")
@@ -357,7 +357,7 @@ def spectest(spark, sf):
 
     h = fx.human_sim(spark, sf)
     it = P.item_index(fx.records(spark, sf))
-    coded = h.join(F.broadcast(it.withColumnsRenamed({"item": "item_i", "idx": "i"})), "item_i").join(F.broadcast(it.withColumnsRenamed({"item": "item_j", "idx": "j"})), "item_j").select("record_id", "i", "j", (2 * F.col("y")).alias("y2"))
+    coded = h.join(it.withColumnsRenamed({"item": "item_i", "idx": "i"}), "item_i").join(it.withColumnsRenamed({"item": "item_j", "idx": "j"}), "item_j").select("record_id", "i", "j", (2 * F.col("y")).alias("y2"))
     draws = _union([X.draw(coded, n, "w5", "record_id").withColumn("budget", F.lit(n)) for n in (100, 400)])
     counted = P.counts(draws, "budget", "i", "j")
 
