@@ -50,4 +50,27 @@ hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(ra
 found AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM met) GROUP BY 1)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
-SQL = {"op1_chat_formatting": OP1, "op2_exact_topk": OP2, "op4_substring_dedup": OP4, "op5_ngram_jaccard_join": OP5, "op10_decontamination": OP10}
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)))"""
+# Nodes of a tree, level by level, and the runs of its children.
+_TREE = """
+{0}node AS (SELECT 0 AS l, {1} AS g, p, h, n FROM {2} UNION ALL
+  SELECT any_value(l) + 1, g, p // 16, sha256(string_agg(h, '' ORDER BY p)), (n + 15) // 16 FROM {0}node WHERE n > 1 GROUP BY g, p // 16, n),
+{0}run AS (SELECT l, g, p // 16 AS q, list(h ORDER BY p) AS hs FROM {0}node WHERE n > 1 GROUP BY ALL)"""
+_STEPS = """SELECT d.g AS own, d.p AS pos, {0} + l AS o, {{'l': array_to_string(list_slice(hs, 1, (x.p >> (4 * l)) % 16), ''), 'r': array_to_string(list_slice(hs, (x.p >> (4 * l)) % 16 + 2, 16), '')}} AS s
+  FROM d JOIN {1} x ON x.{2} IS NOT DISTINCT FROM d.g {3} JOIN {4}run r ON r.g IS NOT DISTINCT FROM x.{5} AND r.q = x.p >> (4 * l + 4)"""
+
+OP11 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source AS g, {_LEAF.format("text")} AS h, CASE WHEN {_CRC} % 5 = 0 THEN {_LEAF.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE h END AS seen,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS p, count(*) OVER (PARTITION BY source) AS n FROM documents),{_TREE.format("own_", "g", "d")},
+sub AS (SELECT g, h, 0 AS one, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS p, count(*) OVER () AS n FROM own_node WHERE n = 1),{_TREE.format("top_", "0", "sub")},
+step AS ({_STEPS.format(0, "d", "g", "AND x.p = d.p", "own_", "g")} UNION ALL {_STEPS.format(1000, "sub", "g", "", "top_", "one")}),
+path AS (SELECT own, pos, list(s ORDER BY o) AS s FROM step GROUP BY ALL),
+found AS (SELECT d.doc_id, d.h AS leaf, sub.h AS subroot, (SELECT h FROM top_node WHERE n = 1) AS root, seen, coalesce(path.s, []) AS s
+  FROM d JOIN sub ON sub.g IS NOT DISTINCT FROM d.g LEFT JOIN path ON path.own IS NOT DISTINCT FROM d.g AND path.pos = d.p)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(s, lambda x: x.l || x.r), '')) AS proof_sha256,
+  list_reduce(list_prepend({{'l': seen, 'r': ''}}, s), lambda a, x: {{'l': sha256(x.l || a.l || x.r), 'r': ''}}).l AS folded_root, folded_root = root AS verified FROM found"""
+
+SQL = {"op11_merkle_manifest": OP11, "op1_chat_formatting": OP1, "op2_exact_topk": OP2, "op4_substring_dedup": OP4, "op5_ngram_jaccard_join": OP5, "op10_decontamination": OP10}

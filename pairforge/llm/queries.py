@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, secrets, substring, topk, toxicity
+from . import chat, decontaminate, licenses, merkle, secrets, substring, topk, toxicity
 from .base import table
 from .html import extract_pages
 from .jaccard import ngram_jaccard_components
@@ -67,10 +67,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    plain, other = [F.col(c) for c in names], [*map(F.col, names[:-1]), F.translate("text", upper, upper.lower())]
+    keep = {"doc_id": F.col("doc_id"), "seen": F.when(tampered, merkle.row_hash(*other)).otherwise(merkle.row_hash(*plain))}
+    found = merkle.manifest(table(spark, sf_dir, "documents"), F.col("source"), F.col("doc_id"), plain, keep)
+    folded = merkle.fold(F.col("seen"), F.col("path")).alias("folded_root")
+    out = found.select("doc_id", "leaf", "subroot", "root", merkle.proof_hash(F.col("path")).alias("proof_sha256"), folded)
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_chat_formatting, op2_exact_topk, op3_packing, op4_substring_dedup, op5_ngram_jaccard_join,
         op6_secret_scans, op7_html_extraction, op8_toxicity, op9_license_scans, op10_decontamination,
+        op11_merkle_manifest,
     )
     return {f.__name__: f for f in ops}
 
