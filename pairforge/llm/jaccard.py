@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,9 @@ SIGNS, PAIR_COST, BUCKET_KEYS = 32, 4.0, 400_000
 #: Bits of a parity bitmap: two a token, in powers of two between these bounds.
 LEAST_BITS, MOST_BITS = 64, 8192
 U = np.uint64
+#: Of record batches: the keys and the nodes that have them, a few texts at a time. Of a cell's sizes, bitmaps and components: labels, see may_link.
+Keyed = Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[list[np.ndarray], list[np.ndarray]]]]
+Parting = Callable[[np.ndarray, list[bytes], np.ndarray], np.ndarray]
 _TIE = ["<i8", "<i8", "<u1"]
 
 
@@ -146,7 +149,24 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-def candidate_ties(docs: DataFrame, n: int, percent: int, ways: dict[int, int], n_keys: int) -> DataFrame:
+def _text_keys(n: int, percent: int, ways: dict[int, int]) -> Keyed:
+    """Keys of the sets of texts (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+        for t in chunks(batches):
+            keys, nodes, seen = [], [], {}
+            for doc, u in zip(t["doc_id"].to_pylist(), shingle_sets(t["text"].to_pylist(), n), strict=True):
+                same = seen.setdefault(u.tobytes(), doc)  # copies are one class anyway
+                if same != doc or not len(u):
+                    continue
+                keys.append(keys_of(u, percent, ways))
+                nodes.append(np.full(len(keys[-1]), doc, np.int64))
+            yield keys, nodes
+
+    return run
+
+
+def candidate_ties(rows: DataFrame, keyed: Keyed, n_keys: int) -> DataFrame:
     """(a, b, hot): of each pair that shares a key, both are tied to a common b; through several ties, where they are hot."""
     k = max(1, math.ceil(n_keys / BUCKET_KEYS))
     few = max(1, k // 8)
@@ -166,16 +186,10 @@ def candidate_ties(docs: DataFrame, n: int, percent: int, ways: dict[int, int],
             if one.any():
                 yield packed_batch([(r, b"K" + v) for r, v in pack((key[one] % U(k)).astype(np.int64), k, [key[one], node[one], hot[one].astype(np.uint8)])])
 
-        for t in chunks(batches):
-            seen: dict[bytes, int] = {}
-            for doc, u in zip(t["doc_id"].to_pylist(), shingle_sets(t["text"].to_pylist(), n), strict=True):
-                same = seen.setdefault(u.tobytes(), doc)  # copies are one class anyway
-                if same != doc or not len(u):
-                    continue
-                key = keys_of(u, percent, ways)
-                keys.append(key)
-                nodes.append(np.full(len(key), doc, np.int64))
-                held += len(key)
+        for more, who in keyed(batches):
+            keys += more
+            nodes += who
+            held += sum(map(len, more))
             if held > 1_500_000:
                 yield from flush()
                 keys, nodes, held = [], [], 0
@@ -206,7 +220,7 @@ def candidate_ties(docs: DataFrame, n: int, percent: int, ways: dict[int, int],
         both = np.unique(np.stack([a, b, hot.astype(np.int64)], 1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(both[:, 2] == 1)], ["a", "b", "hot"])
 
-    return exchange(exchange(docs.mapInArrow(send, EXCHANGED), k, meet, EXCHANGED), few, gather, "a long, b long, hot boolean")
+    return exchange(exchange(rows.mapInArrow(send, EXCHANGED), k, meet, EXCHANGED), few, gather, "a long, b long, hot boolean")
 
 
 class _Parts:
@@ -293,14 +307,14 @@ def may_link(sizes: np.ndarray, bitmaps: list[bytes], percent: int, comps: np.nd
     return out
 
 
-def _part(percent: int):  # noqa: ANN202
+def _part(may: Parting):  # noqa: ANN202
     """Over rows (cell, side, doc_id, comp, n_shingles, bitmap), sorted by cell: the rows that may have a link there to another comp, with the part they lie in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def done() -> list[list[int]]:
-            label = may_link(np.array([r[3] for r in held]), [r[4] for r in held], percent, np.array([r[2] for r in held])).tolist()
+            label = may(np.array([r[3] for r in held]), [r[4] for r in held], np.array([r[2] for r in held])).tolist()
             several = {x for x, n in Counter(x for x, _ in {(x, r[2]) for x, r in zip(label, held, strict=True)}).items() if n > 1}
             if any(r[0] for r in held):
                 several &= {x for x, r in zip(label, held, strict=True) if r[0] == 1}
@@ -400,11 +414,11 @@ def cheapest_ways(facts: DataFrame) -> tuple[dict[int, int], int]:
     return {b: way for b, (_, way, _) in best.items()}, sum(keys for _, _, keys in best.values())
 
 
-def _exact_links(docs: DataFrame, cells: DataFrame, comps: DataFrame, reps: DataFrame, percent: int, n: int) -> DataFrame:
+def _exact_links(docs: DataFrame, cells: DataFrame, comps: DataFrame, reps: DataFrame, percent: int, n: int, may: Parting) -> DataFrame:
     """cells (cell, side, doc_id) -> (a, b): a spanning forest of the links in each cell between components."""
     known = comps.select(F.col("node").alias("doc_id"), "comp")
     rows = cells.join(reps, "doc_id").join(known, "doc_id", "left").select("cell", "side", "doc_id", F.coalesce("comp", "doc_id").alias("comp"), "n_shingles", "bitmap")
-    parts = cut(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_part(percent), "cell long, side int, doc_id long, comp long"))
+    parts = cut(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_part(may), "cell long, side int, doc_id long, comp long"))
     release(docs.sparkSession)
     placed = docs.join(parts, "doc_id").select("cell", "side", "doc_id", "comp", "text")
     return cut(placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(percent, n), "a long, b long"))
@@ -422,30 +436,21 @@ def _unsettled(members: DataFrame, comps: DataFrame) -> DataFrame:
     return old.union(new.select(cell, F.lit(1).alias("side"), "doc_id"))
 
 
-def ngram_jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs with a doc_id.
+def classes(facts: DataFrame) -> DataFrame:
+    """facts (doc_id, n_shingles, s1, s2, bitmap) -> (doc_id, n_shingles, rep, bitmap): documents with equal sets share the least doc_id as rep; empty sets have none."""
+    least = facts.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+    return cut(facts.join(least, ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", "rep", "bitmap"))
 
-    A document's set holds its distinct n-word shingles (words: runs of anything but 0x20 and 0x09-0x0D, A-Z lower-cased);
-    with fewer words the whole sequence; without words or text it is empty and linked with nothing. Documents link when
-    100 * intersection >= percent * union. component_id is the smallest doc_id that links lead to. Rows that repeat a
-    doc_id count as one node with the links of each and keep their own n_shingles; other columns are ignored; an empty
-    table gives an empty result.
-    """
-    spark = docs.sparkSession
-    tuned(spark)
-    docs = id_text(docs)
-    facts = cut(docs.mapInArrow(_describe(percent, n), "doc_id long, n_shingles long, s1 long, s2 long, bitmap binary, signs array<long>"))
-    ways, n_keys = cheapest_ways(facts)
-    found = facts.where("doc_id is not null").drop("signs")
-    least = found.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    classed = cut(found.join(least, ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", "rep", "bitmap"))
-    # Of two sets of one doc_id both rows stay: either may have the links.
-    reps = classed.where("doc_id = rep").select("doc_id", "n_shingles", "bitmap").distinct()
-    rep_of = lambda x: classed.where("rep is not null").select(F.col("doc_id").alias(x), F.col("rep").alias(f"rep_{x}")).distinct()
 
-    ties = cut(candidate_ties(docs, n, percent, ways, n_keys))
-    release(spark)
-    ties = cut(ties.join(rep_of("a"), "a").join(rep_of("b"), "b").where("rep_a <> rep_b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "hot").distinct())
+def representatives(classed: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, bitmap) of one document of each class; of two sets of one doc_id both rows stay: either may have the links."""
+    return classed.where("doc_id = rep").select("doc_id", "n_shingles", "bitmap").distinct()
+
+
+def exact_components(docs: DataFrame, classed: DataFrame, ties: DataFrame, percent: int, n: int, may: Parting) -> DataFrame:
+    """(doc_id, n_shingles, component_id): the components of exact links among candidates, whose ties (a, b, hot) join representatives of classes."""
+    spark = docs.sparkSession
+    reps = representatives(classed)
     # Rows that repeat a doc_id tie their classes.
     links = classed.where("rep is not null and rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     comps = connected_components(links) if links.take(1) else links.limit(0).select(F.col("a").alias("node"), F.col("b").alias("comp"))
@@ -461,10 +466,32 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) ->
         # The least member, which most others are tied to, is in every block.
         block = F.explode(F.when(F.col("doc_id") == F.col("at"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))).alias("block")
         parts = members.select("cell", "doc_id", block).select(F.xxhash64("cell", "block").alias("cell"), F.lit(0).alias("side"), "doc_id")
-        links = links.union(_exact_links(docs, parts, comps, reps, percent, n))
+        links = links.union(_exact_links(docs, parts, comps, reps, percent, n, may))
         comps = connected_components(links)
         if members.where("blocks > 1").take(1):
-            links = links.union(_exact_links(docs, _unsettled(members, comps), comps, reps, percent, n))
+            links = links.union(_exact_links(docs, _unsettled(members, comps), comps, reps, percent, n, may))
             comps = connected_components(links)
     release(spark)
     return classed.join(comps, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
+
+
+def ngram_jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs with a doc_id.
+
+    A document's set holds its distinct n-word shingles (words: runs of anything but 0x20 and 0x09-0x0D, A-Z lower-cased);
+    with fewer words the whole sequence; without words or text it is empty and linked with nothing. Documents link when
+    100 * intersection >= percent * union. component_id is the smallest doc_id that links lead to. Rows that repeat a
+    doc_id count as one node with the links of each and keep their own n_shingles; other columns are ignored; an empty
+    table gives an empty result.
+    """
+    spark = docs.sparkSession
+    tuned(spark)
+    docs = id_text(docs)
+    facts = cut(docs.mapInArrow(_describe(percent, n), "doc_id long, n_shingles long, s1 long, s2 long, bitmap binary, signs array<long>"))
+    ways, n_keys = cheapest_ways(facts)
+    classed = classes(facts.where("doc_id is not null").drop("signs"))
+    rep_of = lambda x: classed.where("rep is not null").select(F.col("doc_id").alias(x), F.col("rep").alias(f"rep_{x}")).distinct()
+    ties = cut(candidate_ties(docs, _text_keys(n, percent, ways), n_keys))
+    release(spark)
+    ties = cut(ties.join(rep_of("a"), "a").join(rep_of("b"), "b").where("rep_a <> rep_b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "hot").distinct())
+    return exact_components(docs, classed, ties, percent, n, lambda sizes, maps, comps: may_link(sizes, maps, percent, comps))

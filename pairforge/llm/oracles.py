@@ -73,4 +73,14 @@ found AS (SELECT d.doc_id, d.h AS leaf, sub.h AS subroot, (SELECT h FROM top_nod
 SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(s, lambda x: x.l || x.r), '')) AS proof_sha256,
   list_reduce(list_prepend({{'l': seen, 'r': ''}}, s), lambda a, x: {{'l': sha256(x.l || a.l || x.r), 'r': ''}}).l AS folded_root, folded_root = root AS verified FROM found"""
 
-SQL = {"op11_merkle_manifest": OP11, "op1_chat_formatting": OP1, "op2_exact_topk": OP2, "op4_substring_dedup": OP4, "op5_ngram_jaccard_join": OP5, "op10_decontamination": OP10}
+OP12 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+pos AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN s USING (anchor_id) WHERE NOT alike AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score QUALIFY rank <= 5"""
+
+OP13 = f"SELECT *, doc_id = component_id AS kept FROM ({OP5.replace('>= 85 *', '>= 80 *')})"
+
+SQL = {"op11_merkle_manifest": OP11, "op12_hard_negatives": OP12, "op13_minhash_near_dedup": OP13, "op1_chat_formatting": OP1, "op2_exact_topk": OP2, "op4_substring_dedup": OP4, "op5_ngram_jaccard_join": OP5, "op10_decontamination": OP10}

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, merkle, secrets, substring, topk, toxicity
+from . import chat, decontaminate, licenses, merkle, negatives, secrets, substring, topk, toxicity
 from .base import table
 from .html import extract_pages
 from .jaccard import ngram_jaccard_components
+from .minhash import minhash_components
 from .oracles import SQL
 from .packing import pack_documents
 
@@ -79,11 +80,20 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0, k=5, k_negative=5, low=80, high=100)
+
+
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_components(table(spark, sf_dir, "documents"), n=4, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_chat_formatting, op2_exact_topk, op3_packing, op4_substring_dedup, op5_ngram_jaccard_join,
         op6_secret_scans, op7_html_extraction, op8_toxicity, op9_license_scans, op10_decontamination,
-        op11_merkle_manifest,
+        op11_merkle_manifest, op12_hard_negatives, op13_minhash_near_dedup,
     )
     return {f.__name__: f for f in ops}
 
