@@ -43,31 +43,6 @@ def softplus(x: Column) -> Column:
     return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
 
 
-def strip_code_span(text: Column) -> Column:
-    """Without one pair of matching back-ticks, one to three, around the whole text."""
-    inner = F.regexp_extract(F.trim(text), r"(?s)^(`{1,3})([^`].*?)\1$", 2)
-    return F.when(inner != "", F.trim(inner)).otherwise(F.trim(text))
-
-
-#: The replies that are a verdict as a whole; the choice, then the confidence.
-STRICT = (
-    r"^\s*([abcd])\s+([+-]?\d+)\s*$",
-    r"^\s*<choice>\s*([abcd])\s*</choice>\s*<confidence>\s*([+-]?\d+)\s*</confidence>\s*$",
-    r"^\s*<choice>\s*([abcd])\s*<confidence>\s*([+-]?\d+)\s*</choice>\s*$",
-)
-
-
-def strict_verdict(text: Column) -> tuple[Column, Column]:
-    """(choice, confidence 1..5) of a reply that is exactly `x n` or tags around both; else nulls. Numbers of any length are clamped."""
-    body, out = F.lower(strip_code_span(text)), [F, F]
-    for pattern in STRICT:
-        out = [o.when(body.rlike(pattern), F.regexp_extract(body, pattern, k + 1)) for k, o in enumerate(out)]
-    number = F.regexp_replace(out[1], r"^([+-]?)0+(?=\d)", "$1")
-    clamped = F.least(F.greatest(number.try_cast("int"), F.lit(1)), F.lit(5))
-    # least and greatest skip nulls, so a reply without a number is left out first.
-    return out[0], F.when(number.isNull(), None).when(F.length(number) > 9, F.when(number.startswith("-"), 1).otherwise(5)).otherwise(clamped)
-
-
 def deswap(choice: Column, side_a: Column, side_b: Column) -> Column:
     return F.when(choice == "a", side_a).when(choice == "b", side_b).when(choice == "c", "tie").when(choice == "d", "both_bad")
 

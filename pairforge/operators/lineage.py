@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -22,3 +24,27 @@ def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+#: Rows that lie in one partition: a table of few rows costs small jobs.
+ROWS = 250_000
+
+
+def observed(df: DataFrame, **seen: Column) -> tuple[DataFrame, dict]:
+    """df as a table written beside the checkpoints, with its number of rows as n and the aggregates of seen, worked out as it is written.
+
+    For rounds: a checkpoint keeps the size that the optimizer guessed for its plan, and such guesses multiply from round to round; a table's size is known.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    told = Observation()
+    df.observe(told, F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in seen.items())).write.parquet(path)
+    got, out = told.get, spark.read.schema(df.schema).parquet(path)
+    return (out if got["n"] > ROWS else out.coalesce(1)), got
+
+
+def written(df: DataFrame) -> tuple[DataFrame, int]:
+    """df as such a table, and its number of rows."""
+    out, got = observed(df)
+    return out, got["n"]

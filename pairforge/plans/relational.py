@@ -173,14 +173,14 @@ _VERDICTS = ", ".join(f"({k}, {'NULL' if c is None else repr(c)}, {'NULL' if n i
 @query(f"SELECT r.record_id, v.choice, CAST(v.confidence AS INT) AS confidence FROM records r JOIN (VALUES {_VERDICTS}) v(id, choice, confidence) ON r.record_id % {len(REPLIES)} = v.id", RECORDS)
 def parse_verdict(spark, sf):
     reply = F.element_at(F.array(*(F.lit(t) for t, _, _ in REPLIES)), (F.col("record_id") % len(REPLIES) + 1).cast("int"))
-    choice, confidence = S.strict_verdict(reply)
+    choice, confidence = verdicts.strict_verdict(reply)
     return fx.records(spark, sf).select("record_id", choice.alias("choice"), confidence.alias("confidence"))
 
 
 @query("SELECT p_partkey, p_name AS inner_text FROM part")
 def strip_code_span(spark, sf):
     tick = F.element_at(F.array(F.lit(""), F.lit("`"), F.lit("```")), (F.col("p_partkey") % 3 + 1).cast("int"))
-    return fx.table(spark, sf, "part").select("p_partkey", S.strip_code_span(F.concat(tick, F.col("p_name"), tick)).alias("inner_text"))
+    return fx.table(spark, sf, "part").select("p_partkey", verdicts.strip_code_span(F.concat(tick, F.col("p_name"), tick)).alias("inner_text"))
 
 
 @query("SELECT count(*) AS n_rows, count(*) FILTER (WHERE winner IN ('model_a','model_b','tie','both_bad') AND trim(model_a) <> '' AND trim(model_b) <> '') AS n_valid FROM records", RECORDS)
