@@ -1,15 +1,16 @@
 """Measures of scores against true scores or against held-out comparisons; DataFrames in, one row per key out.
 
 Scores are (keys..., item, score), comparisons (keys..., item_i, item_j, y) with y = 1 where item_i won, 0 where item_j did, and anything
-else, null included, left out. Pairs of items are all pairs of the few items of a key.
+else, null included, left out. Orders of items are compared by counting inversions, not pair by pair.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import ordered
 
 
 def _both(true: DataFrame, est: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -20,33 +21,18 @@ def _agg(df: DataFrame, keys: tuple[str, ...], *columns: Column) -> DataFrame:
     return df.groupBy(*keys).agg(*columns) if keys else df.agg(*columns)
 
 
-def _pairs(both: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    side = lambda n: both.select(*keys, *(F.col(c).alias(f"{c}{n}") for c in ("item", "t", "e")))
-    low, high = side(1), side(2)
-    return low.join(high, list(keys)).where("item1 < item2") if keys else low.join(high, F.col("item1") < F.col("item2"))
-
-
-def _place(column: str, keys: tuple[str, ...]) -> Column:
-    """Average ranks."""
-    first = Window.partitionBy(*keys).orderBy(column)
-    return F.rank().over(first) + (F.count("*").over(Window.partitionBy(*keys, column)) - 1) / 2.0
-
-
 def sign_accuracy(true: DataFrame, est: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Share of item pairs that both order alike; a tie matches a tie only."""
-    p = _pairs(_both(true, est, keys), keys)
-    return _agg(p, keys, F.avg((F.signum(F.col("t1") - F.col("t2")) == F.signum(F.col("e1") - F.col("e2"))).cast("int")).alias("sign_accuracy"))
+    return ordered.kendall(_both(true, est, keys), "t", "e", keys).select(*keys, F.col("agree").alias("sign_accuracy"))
 
 
 def kendall(true: DataFrame, est: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Tau-b."""
-    p = _pairs(_both(true, est, keys), keys)
-    t, e = F.signum(F.col("t1") - F.col("t2")), F.signum(F.col("e1") - F.col("e2"))
-    return _agg(p, keys, (F.sum(t * e) / F.sqrt(F.sum(F.abs(t)) * F.sum(F.abs(e)))).alias("kendall"))
+    return ordered.kendall(_both(true, est, keys), "t", "e", keys).select(*keys, "kendall")
 
 
 def spearman(true: DataFrame, est: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    return _agg(_both(true, est, keys).select(*keys, _place("t", keys).alias("t"), _place("e", keys).alias("e")), keys, F.corr("t", "e").alias("spearman"))
+    return ordered.spearman(_both(true, est, keys), "t", "e", keys)
 
 
 def mse(true: DataFrame, est: DataFrame, keys: tuple[str, ...] = (), align: bool = True) -> DataFrame:
@@ -62,12 +48,7 @@ def mse(true: DataFrame, est: DataFrame, keys: tuple[str, ...] = (), align: bool
 
 def ndcg(true: DataFrame, est: DataFrame, keys: tuple[str, ...] = (), k: int | None = None) -> DataFrame:
     """Gain 2^(items below) - 1 by the true order, discounted by the estimated place; of the first k."""
-    at = lambda c: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(c), "item")) - 1
-    both = _both(true, est, keys)
-    d = both.select(*keys, at("t").alias("rt"), at("e").alias("re"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
-    d = d.withColumn("g", F.pow(F.lit(2.0), F.col("n") - 1 - F.col("rt")) - 1)
-    part = lambda c: F.sum(F.when(F.col(c) < (F.col("n") if k is None else k), F.col("g") / F.log2(F.col(c) + 2)).otherwise(0))
-    return _agg(d, keys, (part("re") / part("rt")).alias("ndcg"))
+    return ordered.ndcg(_both(true, est, keys), "t", "e", "item", keys, k)
 
 
 def coverage(true: DataFrame, intervals: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

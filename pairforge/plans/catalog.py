@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cells, collection, estimation, relational, studies  # noqa: F401  they register their queries
+from . import cells, collection, estimation, relational, scaled, studies  # noqa: F401  they register their queries
 from .base import ORACLES, QUERIES
 
 

@@ -1,4 +1,4 @@
-"""Fits as queries: counts by Spark, small dense fits by the kernel in one grouped task per fit."""
+"""Fits as queries: scores, calibrations and intervals as Spark jobs over edge tables; the factor model and what follows from it by the kernel, one task per cell."""
 
 from __future__ import annotations
 
@@ -7,8 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..kernel import solver as K
+from ..operators import ordered as O
 from ..operators import panel as P
+from ..operators import scaling as M
+from ..operators.lineage import cut
 from ..sources import fixture as fx
 from .base import PANEL, query
 from .relational import human, llm
@@ -61,12 +65,21 @@ mm AS (SELECT 0 AS step, s, 1.0::DOUBLE AS p FROM wins UNION ALL
 _RANKED = " SELECT item, round(ln(p) - avg(ln(p)) OVER (), 5) AS score FROM mm JOIN items ON items.idx = mm.s WHERE step = 200"
 
 
-def _btl_scores(df: DataFrame) -> DataFrame:
-    def work(p: pd.DataFrame) -> dict:
-        s, _, _ = K.btl(p.i.to_numpy(int), p.j.to_numpy(int), p.n.to_numpy(float), p.y2.to_numpy(float) / 2, N_ITEMS)
-        return {"item": ITEMS, "score": np.round(s, 5) + 0.0}
+def edges(df: DataFrame, *key: str) -> DataFrame:
+    """Pairs (key..., item_i, item_j, n, y) of comparison rows."""
+    return P.counts(df, *key, "i", "j").select(*key, F.col("i").alias("item_i"), F.col("j").alias("item_j"), "n", (F.col("y2") / 2).alias("y"))
+
+
+def named(df: DataFrame) -> DataFrame:
+    """item, an index, as its name."""
+    return df.withColumn("item", F.element_at(F.array(*map(F.lit, ITEMS)), F.col("item").cast("int") + 1))
+
 
-    return fitted(P.counts(df, "i", "j"), work, "item string, score double")
+R = lambda c, n=6: F.round(c, n) + F.lit(0.0)  # noqa: E731  no negative zero
+
+
+def _btl_scores(df: DataFrame) -> DataFrame:
+    return named(M.bradley_terry(edges(df))).select("item", R("score", 5).alias("score"))
 
 
 @query(_RANKED, _MM.format("llm"))
@@ -90,18 +103,13 @@ mm AS (SELECT 0 AS step, k, s, 1.0::DOUBLE AS p FROM wins UNION ALL
 @query("SELECT mm.k, item, round(ln(p) - avg(ln(p)) OVER (PARTITION BY mm.k), 5) AS score FROM mm JOIN items ON items.idx = mm.s WHERE step = 300", _JUDGE, "judge_btl_all")
 @query("SELECT mm.k, item, round(ln(p) - avg(ln(p)) OVER (PARTITION BY mm.k), 5) AS score FROM mm JOIN items ON items.idx = mm.s WHERE step = 300", _JUDGE)
 def judge_btl(spark, sf):
-    """Every judge's own fit, one task each."""
-
-    def work(p: pd.DataFrame) -> pd.DataFrame:
-        s, _, _ = K.btl(p.i.to_numpy(int), p.j.to_numpy(int), p.n.to_numpy(float), p.y2.to_numpy(float) / 2, N_ITEMS)
-        return pd.DataFrame({"k": int(p.k.iloc[0]), "item": ITEMS, "score": np.round(s, 5) + 0.0})
-
-    return P.counts(llm(spark, sf), "k", "i", "j").groupBy("k").applyInPandas(work, "k int, item string, score double")
+    """Every judge's own fit."""
+    return named(M.bradley_terry(edges(llm(spark, sf), "k"), ("k",))).select("k", "item", R("score", 5).alias("score"))
 
 
 @query("SELECT (SELECT count(*) FROM reach WHERE a <> b) = 20 AS mle_exists", PANEL + ", edges AS (SELECT DISTINCT CASE WHEN y2 = 2 THEN i ELSE j END AS a, CASE WHEN y2 = 2 THEN j ELSE i END AS b FROM human), reach AS (SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a)")
 def mle_exists(spark, sf):
-    return fitted(P.counts(human(spark, sf), "i", "j"), lambda p: {"mle_exists": [K.mle_exists(p.i.to_numpy(int), p.j.to_numpy(int), p.n.to_numpy(float), p.y2.to_numpy(float) / 2, N_ITEMS)]}, "mle_exists boolean")
+    return M.mle_exists(edges(human(spark, sf)), P.item_index(fx.records(spark, sf)).select(F.col("idx").alias("item")))
 
 
 _HS = PANEL + ", hs AS (SELECT record_id, item_i, item_j, CASE WHEN CAST('0x' || substr(md5(record_id || '|human'), 1, 7) AS BIGINT) / 268435456.0::DOUBLE < 1 / (1 + exp(-1.2::DOUBLE * d)) THEN 1 ELSE 0 END AS y, d FROM (SELECT *, (CASE item_i WHEN 'click' THEN -0.6 WHEN 'error' THEN -0.2 WHEN 'purchase' THEN 0.5 WHEN 'signup' THEN 0.4 ELSE -0.1 END - CASE item_j WHEN 'click' THEN -0.6 WHEN 'error' THEN -0.2 WHEN 'purchase' THEN 0.5 WHEN 'signup' THEN 0.4 ELSE -0.1 END)::DOUBLE AS d FROM records))"
@@ -109,27 +117,33 @@ _NEWTON = _HS + ", cell AS (SELECT round(d, 3) AS d, count(*)::DOUBLE AS n, sum(
 TRUTH = np.array([fx.MU[k] for k in ITEMS])
 
 
-def human_cells(spark, sf) -> DataFrame:
-    return cells(spark, sf).where("side = 'H'")
+W2 = np.array([1, 0.5, 1, -0.1, -2.4])
+
+
+def human_pairs(spark, sf) -> DataFrame:
+    """Pairs of the simulated human labels."""
+    return cells(spark, sf).where("side = 'H'").select(F.col("i").alias("item_i"), F.col("j").alias("item_j"), "n", (F.col("y2") / 2).alias("y"))
+
+
+def differences(pairs: DataFrame, *columns: np.ndarray) -> DataFrame:
+    """pairs with x, the differences of fixed columns of the items."""
+    at = lambda c, side: F.element_at(F.array(*map(F.lit, c.tolist())), F.col(f"item_{side}").cast("int") + 1)
+    return pairs.withColumn("x", F.array(*(at(c, "i") - at(c, "j") for c in columns)))
 
 
-def _cal(p: pd.DataFrame, w: np.ndarray) -> dict:
-    _, i, j, n, y = split(p)
-    return K.calibrate(w, i, j, n, y)
+def _alpha(spark, sf) -> DataFrame:
+    """alpha, se and nll of the human calibration on the true scores."""
+    return M.logistic_blocks(differences(human_pairs(spark, sf), TRUTH), 1).select(F.col("coef")[0].alias("alpha"), F.sqrt(F.col("cov")[0]).alias("se"), "nll")
 
 
 @query("SELECT round(alpha, 6) AS alpha FROM it WHERE step = 25", _NEWTON)
 def calibrate_alpha(spark, sf):
-    return fitted(human_cells(spark, sf), lambda p: {"alpha": np.round(_cal(p, TRUTH[:, None])["coef"], 6)}, "alpha double")
+    return _alpha(spark, sf).select(R("alpha").alias("alpha"))
 
 
 @query("SELECT round(alpha, 6) AS alpha, round(1 / sqrt((SELECT sum(d * d * n / (1 + exp(-it.alpha * d)) / (1 + exp(it.alpha * d))) FROM cell)), 6) AS se FROM it WHERE step = 25", _NEWTON)
 def cal_uq(spark, sf):
-    def work(p):
-        f = _cal(p, TRUTH[:, None])
-        return {"alpha": np.round(f["coef"], 6), "se": np.round(np.sqrt(np.diag(f["cov"])), 6)}
-
-    return fitted(human_cells(spark, sf), work, "alpha double, se double")
+    return _alpha(spark, sf).select(R("alpha").alias("alpha"), R("se").alias("se"))
 
 
 _W2 = "(VALUES ('click',1.0::DOUBLE),('error',0.5),('purchase',1.0),('signup',-0.1),('view',-2.4)) w{0}(item, v)"
@@ -142,29 +156,24 @@ it AS (SELECT 0 AS step, 0.0::DOUBLE AS p, 0.0::DOUBLE AS q UNION ALL
 
 @query("SELECT term, round(CASE term WHEN 'alpha' THEN p ELSE q END, 6) AS value FROM it, (VALUES ('alpha'), ('a1')) t(term) WHERE step = 25", _NEWTON_W)
 def calibrate_w(spark, sf):
-    w = np.stack([TRUTH, np.array([1, 0.5, 1, -0.1, -2.4])], 1)
-    return fitted(human_cells(spark, sf), lambda p: {"term": ["alpha", "a1"], "value": np.round(_cal(p, w)["coef"], 6)}, "term string, value double")
+    fit = M.logistic_blocks(differences(human_pairs(spark, sf), TRUTH, W2), 2)
+    return fit.select(F.posexplode("coef").alias("k", "v")).select(F.element_at(F.array(F.lit("alpha"), F.lit("a1")), F.col("k") + 1).alias("term"), R("v").alias("value"))
 
 
 @query("SELECT round(nll / n + trace / (n - 1), 6) AS gacv FROM (SELECT sum(n) AS n, sum(y * ln(1 + exp(-alpha * d)) + (n - y) * ln(1 + exp(alpha * d))) AS nll, (sum((y * (p - 1) * (p - 1) + (n - y) * p * p) * d * d) / sum(n) - pow(sum(d * (n * p - y)) / sum(n), 2)) / (sum(d * d * n * p * (1 - p)) / sum(n)) AS trace FROM (SELECT cell.*, alpha, 1 / (1 + exp(-alpha * d)) AS p FROM cell, it WHERE step = 25))", _NEWTON)
 def gacv_endpoint(spark, sf):
-    def work(p):
-        _, i, j, n, y = split(p)
-        s = K.calibrate(TRUTH[:, None], i, j, n, y)["s"]
-        return {"gacv": [round(K.gacv_endpoint(TRUTH[:, None], s, i, j, n, y)[0], 6)]}
-
-    return fitted(human_cells(spark, sf), work, "gacv double")
+    """Mean loss of the calibrated scores and the trace of what one row can move, from sums over the pairs."""
+    pairs = differences(human_pairs(spark, sf), TRUTH).crossJoin(_alpha(spark, sf).select("alpha", "nll"))  # one row
+    d, n, y, p = F.col("x")[0], F.col("n"), F.col("y"), S.sigmoid(F.col("alpha") * F.col("x")[0])
+    square, slope, info = F.sum((y * (p - 1) ** 2 + (n - y) * p**2) * d**2), F.sum(d * (n * p - y)), F.sum(d**2 * n * p * (1 - p))
+    trace = (square / F.sum(n) - (slope / F.sum(n)) ** 2) / (info / F.sum(n))
+    return pairs.agg(R(F.first("nll") / F.sum(n) + trace / (F.sum(n) - 1)).alias("gacv"))
 
 
 @query("SELECT x.item AS item_i, y.item AS item_j, round(alpha * (a.s - b.s), 6) AS estimate, round(abs(a.s - b.s) * se, 6) AS se FROM (SELECT alpha, 1 / sqrt((SELECT sum(d * d * n / (1 + exp(-it.alpha * d)) / (1 + exp(it.alpha * d))) FROM cell)) AS se FROM it WHERE step = 25), items x JOIN items y ON x.idx < y.idx JOIN (VALUES (0,-0.6::DOUBLE),(1,-0.2),(2,0.5),(3,0.4),(4,-0.1)) a(idx, s) ON a.idx = x.idx JOIN (VALUES (0,-0.6::DOUBLE),(1,-0.2),(2,0.5),(3,0.4),(4,-0.1)) b(idx, s) ON b.idx = y.idx", _NEWTON)
 def contrast_ci(spark, sf):
-    def work(p):
-        f = _cal(p, TRUTH[:, None])
-        at = [(x, y) for x in range(N_ITEMS) for y in range(x + 1, N_ITEMS)]
-        var = [f["cov_s"][x, x] + f["cov_s"][y, y] - 2 * f["cov_s"][x, y] for x, y in at]
-        return {"item_i": [ITEMS[x] for x, _ in at], "item_j": [ITEMS[y] for _, y in at], "estimate": [round(f["s"][x] - f["s"][y], 6) + 0.0 for x, y in at], "se": np.round(np.sqrt(np.maximum(var, 0)), 6)}
-
-    return fitted(human_cells(spark, sf), work, "item_i string, item_j string, estimate double, se double")
+    at = F.explode(F.array(*(F.struct(F.lit(ITEMS[x]).alias("item_i"), F.lit(ITEMS[y]).alias("item_j"), F.lit(float(TRUTH[x] - TRUTH[y])).alias("d")) for x in range(N_ITEMS) for y in range(x + 1, N_ITEMS)))).alias("p")
+    return _alpha(spark, sf).select("alpha", "se", at).select("p.item_i", "p.item_j", R(F.col("alpha") * F.col("p.d")).alias("estimate"), R(F.abs("p.d") * F.col("se")).alias("se"))
 
 
 @query("SELECT round(exp(ln(0.1) + (ln(10) - ln(0.1)) * t.n / 6.0) * (SELECT count(*) FROM llm) / (SELECT count(*) FROM human), 6) AS lam FROM range(7) t(n)", PANEL)
@@ -203,12 +212,6 @@ def path_reasons(spark, sf):
     return llm(spark, sf).select("k", F.when(F.col("a") == 1, "box_active").otherwise("not_converged").alias("reason")).groupBy("k").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
 
 
-# Isotonic fit: the min-max formula over runs.
-@query("SELECT a.idx, round(max(lo), 6) AS fit FROM (SELECT x.idx, l.idx AS b, min((SELECT avg(s) FROM mu m WHERE m.idx BETWEEN l.idx AND u.idx)) AS lo FROM mu x JOIN mu l ON l.idx <= x.idx JOIN mu u ON u.idx >= x.idx GROUP BY 1, 2) a GROUP BY 1", "mu(idx, s) AS (VALUES (0,-0.6::DOUBLE),(1,-0.2),(2,0.5),(3,0.4),(4,-0.1))")
-def isotonic(spark, sf):
-    return fitted(spark.createDataFrame(list(enumerate(TRUTH.tolist())), "idx int, s double"), lambda p: {"idx": p.sort_values("idx").idx, "fit": np.round(K.isotonic(p.sort_values("idx").s.to_numpy()), 6)}, "idx int, fit double")
-
-
 def _rows_only(name: str, schema: str, sql: str | None = None, base: str = ""):  # noqa: ANN202
     """Registers a kernel function of (counts, i, j, n, y) as a query, mostly without SQL."""
 
@@ -274,16 +277,30 @@ bs AS (SELECT 0 AS step, k, 0.0::DOUBLE AS b FROM (SELECT DISTINCT k FROM jd) UN
 _LR = _NEWTON + _TWO[len(_HS) :]
 
 
-@_rows_only("init_b", "judge int, b double", "SELECT k AS judge, round(b, 6) AS b FROM bs WHERE step = 25", _INIT_B)
-def _init_b(c, i, j, n, y):
-    mu = K.btl(c.i, c.j, c.n, c.y, c.N)[0]
-    b = [K.logistic(c.a[c.k == k][:, None], c.n[c.k == k], c.y[c.k == k], (mu[c.i] - mu[c.j])[c.k == k], bound=10.0)[0][0] for k in range(c.K)]
-    return {"judge": range(c.K), "b": np.round(b, 6)}
+def pooled_scores(spark, sf) -> DataFrame:
+    """The judges' pooled scores (item, score)."""
+    return M.bradley_terry(edges(llm(spark, sf))).select("item", "score")
+
+
+def _scored(pairs: DataFrame, scores: DataFrame, name: str = "d") -> DataFrame:
+    """pairs with the difference of their items' scores."""
+    of = lambda side: scores.select(F.col("item").alias(f"item_{side}"), F.col("score").alias(f"s_{side}"))
+    return pairs.join(of("i"), "item_i").join(of("j"), "item_j").withColumn(name, F.col("s_i") - F.col("s_j")).drop("s_i", "s_j")
 
 
-@_rows_only("pooled_cal", _SCORES, "SELECT item, round(alpha * score, 6) AS score FROM al, bt JOIN items ON items.idx = bt.idx WHERE al.step = 25 AND src = 'L'", _POOLED)
-def _pooled(c, i, j, n, y):
-    return scores(K.calibrate(K.btl(c.i, c.j, c.n, c.y, c.N)[0][:, None], i, j, n, y)["s"])
+@query("SELECT k AS judge, round(b, 6) AS b FROM bs WHERE step = 25", _INIT_B)
+def init_b(spark, sf):
+    """Every judge's position effect beside the pooled scores."""
+    rows = _scored(edges(llm(spark, sf), "k", "a"), pooled_scores(spark, sf), "offset").withColumn("x", F.array(F.col("a").cast("double")))
+    return M.logistic_blocks(rows, 1, ("k",), bound=10.0).select(F.col("k").alias("judge"), R(F.col("coef")[0]).alias("b"))
+
+
+@query("SELECT item, round(alpha * score, 6) AS score FROM al, bt JOIN items ON items.idx = bt.idx WHERE al.step = 25 AND src = 'L'", _POOLED)
+def pooled_cal(spark, sf):
+    scores = cut(pooled_scores(spark, sf))
+    rows = _scored(human_pairs(spark, sf), scores).withColumn("x", F.array("d"))
+    fit = M.logistic_blocks(rows, 1).select(F.col("coef")[0].alias("alpha"))
+    return named(scores.crossJoin(fit)).select("item", R(F.col("alpha") * F.col("score")).alias("score"))  # one row
 
 
 @_rows_only("consensus_cal", _SCORES)
@@ -297,10 +314,14 @@ def _staged(c, i, j, n, y):
     return scores(K.calibrate(np.concatenate([f["mu"][:, None], f["V"]], 1), i, j, n, y)["s"])
 
 
-@_rows_only("atc", _SCORES, "SELECT item, round(fit - avg(fit) OVER (), 6) AS score FROM iso JOIN items USING (idx)", _ISO)
-def _atc(c, i, j, n, y):
+@query("SELECT item, round(fit - avg(fit) OVER (), 6) AS score FROM iso JOIN items USING (idx)", _ISO)
+def atc(spark, sf):
     """The judges' pooled scores, made monotone along the order of the humans' scores."""
-    return scores(K.monotone_along(K.btl(i, j, n, y, c.N)[0], K.btl(c.i, c.j, c.n, c.y, c.N)[0]))
+    human_scores = M.bradley_terry(human_pairs(spark, sf)).select("item", F.col("score").alias("h"))
+    placed = cut(O.running(pooled_scores(spark, sf).join(human_scores, "item"), (), ("h", "item")).select("idx", "item", "score"))
+    fit = O.isotonic(placed, "idx", "score").join(placed.select("idx", "item"), "idx")
+    mean = fit.agg(F.avg("fit").alias("m"))
+    return named(fit.crossJoin(mean)).select("item", R(F.col("fit") - F.col("m")).alias("score"))  # one row
 
 
 @_rows_only("joint_fit", "item string, score double, criterion double, converged boolean")
@@ -384,11 +405,13 @@ def _targets(c, i, j, n, y):
     return {"judge": k, "item_i": [ITEMS[v] for v in a], "item_j": [ITEMS[v] for v in b], "estimate": e, "se": np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", g, cov, g), 0))}
 
 
-@_rows_only("human_uq", "item string, score double, se double")
-def _human_uq(c, i, j, n, y):
-    s = K.btl(i, j, n, y, c.N)[0]
-    p, d = K.sigmoid(s[i] - s[j]), np.eye(c.N)[i] - np.eye(c.N)[j]
-    return scores(s) | {"se": np.sqrt(np.diag(np.linalg.pinv(d.T @ ((n * p * (1 - p))[:, None] * d))))}
+@query(name="human_uq")
+def human_uq(spark, sf):
+    """Scores of the human labels with standard errors, from the sparse information matrix."""
+    pairs = human_pairs(spark, sf)
+    fit = cut(M.bradley_terry(pairs).select("item", "score"))
+    found = M.contrast_intervals(pairs, fit, fit.select(F.col("item").alias("target"), "item", F.lit(1.0).alias("b")))
+    return named(found.withColumnRenamed("target", "item")).select("item", F.col("estimate").alias("score"), "se")
 
 
 @_rows_only("lr_test", "stat double, df int, p_value double")
@@ -397,10 +420,14 @@ def _lr(c, i, j, n, y):
     return {"stat": [stat], "df": [df], "p_value": [p]}
 
 
-@_rows_only("lr_stat", "stat double, df int", "SELECT round(2 * ((SELECT sum(y * ln(1 + exp(-alpha * d)) + (n - y) * ln(1 + exp(alpha * d))) FROM cell, it WHERE step = 25) - (SELECT sum(y * ln(1 + exp(b.score - a.score)) + (n - y) * ln(1 + exp(a.score - b.score))) FROM hp JOIN bt a ON a.idx = hp.i AND a.src = 'H' JOIN bt b ON b.idx = hp.j AND b.src = 'H')), 4) AS stat, 3 AS df", _LR)
-def _lr_stat(c, i, j, n, y):
-    stat, df, _ = K.lr_test(TRUTH[:, None], i, j, n, y)
-    return {"stat": [round(stat, 4)], "df": [df]}
+@query("SELECT round(2 * ((SELECT sum(y * ln(1 + exp(-alpha * d)) + (n - y) * ln(1 + exp(alpha * d))) FROM cell, it WHERE step = 25) - (SELECT sum(y * ln(1 + exp(b.score - a.score)) + (n - y) * ln(1 + exp(a.score - b.score))) FROM hp JOIN bt a ON a.idx = hp.i AND a.src = 'H' JOIN bt b ON b.idx = hp.j AND b.src = 'H')), 4) AS stat, 3 AS df", _LR)
+def lr_stat(spark, sf):
+    """Twice what free scores gain in likelihood over calibrated ones."""
+    pairs = human_pairs(spark, sf)
+    free = _scored(pairs, M.bradley_terry(pairs))
+    loss = F.sum(F.col("y") * S.softplus(-F.col("d")) + (F.col("n") - F.col("y")) * S.softplus(F.col("d")))
+    both = free.agg(loss.alias("free")).crossJoin(_alpha(spark, sf))  # one row each
+    return both.select(F.round(2 * (F.col("nll") - F.col("free")), 4).alias("stat"), F.lit(N_ITEMS - 2).alias("df"))
 
 
 @_rows_only("ncx2_ci", "stat double, lower double, upper double")

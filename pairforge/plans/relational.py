@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import tokens, verdicts
 from ..operators import collect
-from ..operators import metrics
+from ..operators import metrics, ordered
 from ..operators import panel as P
 from ..operators import sampling as X
 from ..operators.lineage import cut
@@ -526,21 +526,17 @@ def item_pairs(df):
 
 @query("SELECT round(avg((sign(a.s - b.s) = sign(a.e - b.e))::INT), 6) AS sign_accuracy FROM est a JOIN est b ON a.idx < b.idx", _SCORED)
 def sign_acc(spark, sf):
-    p = item_pairs(estimate(spark, sf))
-    return p.agg(R6(F.avg((F.signum(F.col("s_1") - F.col("s_2")) == F.signum(F.col("e_1") - F.col("e_2"))).cast("int"))).alias("sign_accuracy"))
+    return ordered.kendall(estimate(spark, sf), "s", "e").select(R6("agree").alias("sign_accuracy"))
 
 
 @query("SELECT round(sum(sign(a.s - b.s) * sign(a.e - b.e)) / sqrt(sum((a.s <> b.s)::INT) * sum((a.e <> b.e)::INT)), 6) AS tau_b FROM est a JOIN est b ON a.idx < b.idx", _SCORED)
 def kendall(spark, sf):
-    p = item_pairs(estimate(spark, sf))
-    ds, de = F.signum(F.col("s_1") - F.col("s_2")), F.signum(F.col("e_1") - F.col("e_2"))
-    return p.agg(R6(F.sum(ds * de) / F.sqrt(F.sum(F.abs(ds)) * F.sum(F.abs(de)))).alias("tau_b"))
+    return ordered.kendall(estimate(spark, sf), "s", "e").select(R6("kendall").alias("tau_b"))
 
 
 @query("SELECT round(corr(rs, re), 6) AS spearman FROM (SELECT rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rs, rank() OVER (ORDER BY e) + (count(*) OVER (PARTITION BY e) - 1) / 2.0 AS re FROM est)", _SCORED)
 def spearman(spark, sf):
-    rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2.0
-    return estimate(spark, sf).select(rank("s").alias("rs"), rank("e").alias("re")).agg(R6(F.corr("rs", "re")).alias("spearman"))
+    return ordered.spearman(estimate(spark, sf), "s", "e").select(R6("spearman").alias("spearman"))
 
 
 @query("SELECT round(avg((s - beta * e) * (s - beta * e)), 6) AS mse FROM (SELECT s - avg(s) OVER () AS s, e - avg(e) OVER () AS e FROM est), (SELECT covar_pop(s, e) / var_pop(e) AS beta FROM est)", _SCORED)
@@ -550,10 +546,7 @@ def mse_aligned(spark, sf):
 
 @query("SELECT round(sum(CASE WHEN re < 3 THEN g / log2(re + 2) ELSE 0 END) / sum(CASE WHEN rs < 3 THEN g / log2(rs + 2) ELSE 0 END), 6) AS ndcg FROM (SELECT re, rs, pow(2, 4 - rs) - 1 AS g FROM (SELECT row_number() OVER (ORDER BY e DESC, idx) - 1 AS re, row_number() OVER (ORDER BY s DESC, idx) - 1 AS rs FROM est))", _SCORED)
 def ndcg(spark, sf):
-    r = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "idx")) - 1
-    d = estimate(spark, sf).select(r("e").alias("re"), r("s").alias("rs")).withColumn("g", F.pow(F.lit(2.0), 4 - F.col("rs")) - 1)
-    at = lambda c: F.sum(F.when(F.col(c) < 3, F.col("g") / F.log2(F.col(c) + 2)).otherwise(0))
-    return d.agg(R6(at("re") / at("rs")).alias("ndcg"))
+    return ordered.ndcg(estimate(spark, sf), "s", "e", "idx", k=3).select(R6("ndcg").alias("ndcg"))
 
 
 @query("SELECT round(avg((abs(s - e / 1000) <= 0.5)::INT), 6) AS coverage, count(*) AS n FROM est", _SCORED)
@@ -630,15 +623,10 @@ def stub_judge(spark, sf):
     return collect.stub_judge(build_messages(spark, sf)).withColumn("v", verdicts.full_verdict(F.col("raw_response"))).select("record_id", "a_first", "raw_response", "v.choice", "v.confidence")
 
 
-@query(name="parse_verdict_full")
-def parse_verdict_full(spark, sf):
-    return stub_judge(spark, sf).groupBy("choice", "confidence").agg(F.count("*").alias("n"))
-
-
 @query(name="chunk_requests")
 def chunk_requests(spark, sf):
     docs = fx.table(spark, sf, "documents").select("doc_id", F.col("lang"), S.token_estimate(F.col("text")).alias("tokens"))
-    return collect.greedy_chunks(docs, "lang", "doc_id", 50, 20_000)
+    return ordered.greedy_chunks(docs, "lang", "doc_id", 50, 20_000)
 
 
 @query(name="jsonl_scan")

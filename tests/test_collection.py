@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairforge.operators import collect as C
+from pairforge.operators import ordered
 from pairforge.plans import cells, collection
 from pairforge.sources import config as G
 from pairforge.sources import results as R
@@ -76,10 +77,10 @@ def test_runner_retries_stores_and_resumes(spark, tmp_path):
 
 def test_chunks_by_bytes_and_oversize(spark):
     rows = spark.createDataFrame([("a", k, t, b) for k, (t, b) in enumerate([(1, 4), (1, 4), (1, 4), (1, 20), (1, 1)])], "g string, o int, tokens int, bytes int")
-    got = sorted((r.o, r.chunk) for r in C.greedy_chunks(rows, "g", "o", 9, 9, 8).collect())
+    got = sorted((r.o, r.chunk) for r in ordered.greedy_chunks(rows, "g", "o", 9, 9, 8).collect())
     assert got == [(0, 0), (1, 0), (2, 1), (3, -1), (4, 1)]
     with pytest.raises(Exception, match="over the limit"):
-        C.greedy_chunks(rows, "g", "o", 9, 9, 8, strict=True).collect()
+        ordered.greedy_chunks(rows, "g", "o", 9, 9, 8, strict=True).collect()
 
 
 def test_messages_and_replies(spark):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions import scalars as S
 from pairforge.functions.verdicts import read_verdict
-from pairforge.operators import collect
+from pairforge.operators import ordered
 from pairforge.operators import sampling as X
 from pairforge.sources import readers
 from pairforge.streaming.counts import start_counts
@@ -61,7 +61,7 @@ def test_benchmark_checks_columns(spark, tmp_path):
 
 def test_greedy_chunks(spark):
     rows = [("a", k, t) for k, t in enumerate([5, 5, 5, 50, 9, 1])] + [("b", 0, 3)]
-    got = collect.greedy_chunks(spark.createDataFrame(rows, "g string, o int, tokens int"), "g", "o", 2, 12).collect()
+    got = ordered.greedy_chunks(spark.createDataFrame(rows, "g string, o int, tokens int"), "g", "o", 2, 12).collect()
     assert sorted((r.g, r.o, r.chunk) for r in got) == [("a", 0, 0), ("a", 1, 0), ("a", 2, 1), ("a", 3, -1), ("a", 4, 2), ("a", 5, 2), ("b", 0, 0)]
 
 
