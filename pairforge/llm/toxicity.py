@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .base import chunks, id_text, tuned
+from .base import chunks, cut, id_text, tuned
 
-#: Bound of the training sample: labelled rows of each class, and characters of all (the shortest texts come first).
-SAMPLE_ROWS, SAMPLE_CHARS = 3_000, 64_000_000
+#: Bound of the training sample: labelled rows of each class, and characters of all (in an order by hash). Labelled ids that are sent to all tasks, at most.
+SAMPLE_ROWS, SAMPLE_CHARS, SENT_IDS = 3_000, 64_000_000, 500_000
 BUCKETS, DIM, FILTERS, WIDTHS, BATCH = 1 << 15, 12, 8, (1, 2, 3), 64
 #: Batches that a model is fitted on, and after how many its state is judged on the rows held back.
 UPDATES, JUDGED = 480, 40
@@ -138,19 +138,26 @@ def _step(m: Cnn, docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray, dro
     return g
 
 
-def fitting(n: int, rng: np.random.Generator | None = None) -> np.ndarray:
-    """Which of n rows the weights are fitted on."""
-    return np.flatnonzero((rng or np.random.default_rng(7)).random(n) >= 0.2)
+def fitting(y: np.ndarray) -> np.ndarray:
+    """Which rows the weights are fitted on: of each class all but a fifth, rounded down, so that every class that there is has some."""
+    rng, keep = np.random.default_rng(7), np.ones(len(y), bool)
+    for c in (0, 1):
+        rows = np.flatnonzero(y == c)
+        keep[rng.permutation(rows)[: len(rows) // 5]] = False
+    return np.flatnonzero(keep)
 
 
 def fit(docs: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Cnn:
-    """Adam on four fifths of the rows (see fitting); the rest picks the epoch and the point where the score is 0.5."""
+    """Adam on four fifths of the rows of each class (see fitting); the rest picks the epoch and the point where the score is 0.5.
+
+    If a class has fewer than five rows the rest lacks it; then all rows pick. Without rows of both classes the model has one answer.
+    """
     m, rng = Cnn.fresh(seed), np.random.default_rng(seed)
     if not len(y) or y.min() == y.max():
         m.out[:] = 0
         m.out_bias = 3.0 if len(y) and y[0] else -3.0
         return m
-    train = fitting(len(y), rng)
+    train = fitting(y)
     held = np.ones(len(y), bool)
     held[train] = False
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3))
@@ -163,7 +170,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Cnn:
     m.out_bias = -1.0
     state: dict[str, list[np.ndarray]] = {}
     t, best = 0, (np.inf, None)
-    check = held if 0 < y[held].sum() < held.sum() else ~held
+    check = held if 0 < y[held].sum() < held.sum() else np.ones(len(y), bool)
     flat, first = (lambda d: (np.concatenate(d), np.concatenate(([0], np.cumsum([len(x) for x in d])))))([docs[k] for k in np.flatnonzero(check)])
     yc, queue = y[check], np.empty(0, np.int64)
     while t < UPDATES:
@@ -192,7 +199,8 @@ def fit(docs: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Cnn:
         auc = (rank[yc == 1].sum() - yc.sum() * (yc.sum() - 1) / 2) / (yc.sum() * (len(yc) - yc.sum()))
         if -auc + 0.01 * loss < best[0]:
             best = (-auc + 0.01 * loss, (m.embed.copy(), [f.copy() for f in m.filters], m.bias.copy(), m.out.copy(), m.out_bias))
-    m.embed, m.filters, m.bias, m.out, m.out_bias = best[1]
+    if best[1] is not None:  # else no state could be judged, and the last one stays
+        m.embed, m.filters, m.bias, m.out, m.out_bias = best[1]
     step = step_of(m.raw(m.tables(), flat, first))
     return calibrate(m, [(None, int(c), int(k), 1) for c, k in zip(yc, step, strict=True)])
 
@@ -234,8 +242,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> C
 
     labels needs doc_id and toxic, docs doc_id, text and, for thresholds by language, lang; usable is a condition on doc_id. Labels that
     aren't 0 or 1, or without a document, don't count; of several labels of a doc_id the larger holds, of several texts of a
-    doc_id in the sample one does. Null and empty texts count as texts without words. Without rows of both classes the model has
-    one answer; no labels: not toxic. Other columns are ignored.
+    doc_id in the sample one does. Null and empty texts count as texts without words. A class of a single row is fitted on; without rows of both classes the
+    model has one answer; no labels: not toxic. Other columns are ignored.
     """
     tuned(docs.sparkSession)
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
@@ -254,12 +262,13 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> C
     # The sample is bounded, so it may be broadcast, and one text a doc_id, within SAMPLE_CHARS, may come to the driver.
     sample = texts.join(F.broadcast(some[0].union(some[1])), "doc_id")
     sample = sample.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.length("text").alias("size"), "text")).alias("t"))
-    before = F.sum("t.size").over(Window.orderBy("t.size", "doc_id"))  # a window over SAMPLE_ROWS rows of each class
+    sample = cut(sample)
+    before = F.sum("t.size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # a window over SAMPLE_ROWS rows of each class
     sizes = sample.select("doc_id", before.alias("all")).where(F.col("all") <= SAMPLE_CHARS).select("doc_id")
     got = sample.join(sizes, "doc_id", "left_semi").select("doc_id", "toxic", F.col("t.text").alias("text")).mapInArrow(hashed, "doc_id long, toxic int, ids binary").toPandas()
     got = got.sort_values("doc_id")
     model = fit([np.frombuffer(x, np.int32) for x in got["ids"]], got["toxic"].to_numpy(np.float32))
-    fitted_on = got["doc_id"].to_numpy(np.int64)[fitting(len(got))]
+    fitted_on = got["doc_id"].to_numpy(np.int64)[fitting(got["toxic"].to_numpy(np.float32))]
     tables = model.tables()
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,8 +276,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> C
             t = t.filter(pa.array(~np.isin(t["doc_id"].to_numpy(), fitted_on)))
             yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), t["lang"].combine_chunks(), pa.array(step_of(model.raw(tables, *word_ids(t["text"].to_pylist()))))], ["doc_id", "lang", "step"])
 
-    # Scored before the join, so that no text is shuffled.
-    others = (texts.where(usable) if usable is not None else texts).where("doc_id is not null").mapInArrow(binned, "doc_id long, lang string, step long").join(labelled, "doc_id")
+    # Only labelled texts are scored, where their ids can go to all tasks; else all are, before the join. No text is shuffled either way.
+    others = (texts.where(usable) if usable is not None else texts).where("doc_id is not null")
+    if labelled.count() <= SENT_IDS:
+        others = others.join(F.broadcast(labelled.select("doc_id")), "doc_id", "left_semi")
+    others = others.mapInArrow(binned, "doc_id long, lang string, step long").join(labelled, "doc_id")
     # At most languages x 2 x 6,001 counts.
     return calibrate(model, [tuple(r) for r in others.groupBy("lang", "toxic", "step").count().collect()])
 
