@@ -52,7 +52,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows linked by a similarity of 0.8 over five-word shingles, in whatever number of steps, the one with the smallest doc_id stays; a row without id only if all are.
 
-    Rows with the same doc_id, or none, and the same text are one row, and the one whose columns come first in order stays. Null, empty and blank
+    Rows with the same doc_id, or none, and the same text are one row, and the one whose columns have the least hash stays. Null, empty and blank
     texts are similar to nothing; texts with fewer than five words are compared whole.
     """
     keyed, key, odd = _keyed(docs)
@@ -65,7 +65,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     kept = found.select(F.col("doc_id").alias("k"), "component_id").distinct().join(ids, "k").groupBy("component_id").agg(first).select(F.col("first.k").alias(key))
     rows = cut(keyed.join(kept, key, "left_semi"))
     again = cut(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key))
-    one = rows.join(again, key, "left_semi").groupBy(key).agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    # The order is that of a hash of the whole row, as maps can't be compared; rows with equal hashes are equal.
+    order = F.struct(F.xxhash64(F.to_json(F.struct(*docs.columns))), F.sha2(F.to_json(F.struct(*docs.columns)), 256))
+    one = rows.join(again, key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*docs.columns), order).alias("r")).select("r.*")
     return rows.join(again, key, "left_anti").select(*docs.columns).union(one.select(*docs.columns))
 
 
