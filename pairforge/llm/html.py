@@ -3,8 +3,12 @@
 The page becomes a DOM. Every node counts its characters and tags, and those inside links; its density is characters per
 tag, cut down where links make up much of it or its neighbourhood (Sun, Song and Liao, 2011). The node whose children's
 densities have the largest sum holds the article; the lowest density on the way from it up to the body is the threshold
-from which on other blocks are kept too, with the headings before them. Elements that never hold article text
-(navigation, forms, scripts, adverts by class, ...) are no part of the DOM that is measured.
+from which on other blocks are kept too, with the headings before them.
+
+Names and class words are evidence, weighed before the measure (`_weighed`): scripts, hidden elements and controls never count; an element whose name or whole class word says
+that it is a menu, an advert or the like goes unless it holds the article element; a word that only may say so ("side-effects", a section's id) lets an element go that
+is made of links or has no block of text; headings, paragraphs and cells are judged by their class only, and only by words that can't mean anything else. Elements end
+where their parents do. A page that is left without text is read again without class words, then without names.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +28,10 @@ from .base import chunks, tuned
 #: Element names by role; words in class, id or role that mark what is not article text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp svg".split())
-LEFT_OUT = frozenset("script style textarea title noscript template iframe svg head nav header footer aside form button select dialog menu".split())
+NEVER = frozenset("head button select dialog".split())
+NAMED = frozenset("nav header footer aside form menu".split())
+IN_HEAD = frozenset("base link meta title style script noscript template".split())
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead caption blockquote pre figure figcaption span a b i em strong small u".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -34,6 +41,8 @@ NOISE = re.compile(
     r"(?<![a-z])(?:ads?|advert|adverts|advertisement|adsense|sponsor|sponsored|promo|cookie|cookies|consent|gdpr|notice|banner|sidebar|side|menu|nav|navbar|navigation|breadcrumb|breadcrumbs"
     r"|footer|header|masthead|contentinfo|complementary|search|comment|comments|commentlist|disqus|respond|replies|reply|share|sharing|social|related|recommended|widget|newsletter|subscribe|signup|popup|modal|login|toolbar|pagination|pager)(?![a-z])"
 )
+#: Those of NOISE that name nothing else, also as part of a longer word.
+CLEAR = re.compile(r"(?<![a-z])(?:ads?|advert|adverts|advertisement|adsense|sponsor|sponsored|promo|cookie|cookies|consent|gdpr|comment|comments|commentlist|disqus|share|sharing|newsletter|breadcrumb|breadcrumbs|pagination|pager)(?![a-z])")
 #: What a tag starts with; its attributes with quotes in pairs; without regard to quotes; what else markup can be.
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _QUOTED = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
@@ -45,21 +54,42 @@ _STATE = re.compile(r"(?:with|without|has|have|no|not|is|hide|show|enable|disabl
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+#: What speaks against an element: a word that may mean it, its name or a whole word, or what never is text. Characters of a block of text; links of a block's characters.
+MAYBE, LIKELY, CERTAIN = 1, 2, 3
+BLOCK_CHARS, LINK_SHARE = 80, 0.4
+
+
 class Node:
-    __slots__ = ("tag", "up", "first", "last", "chars", "tags", "link_chars", "link_tags", "kids", "density", "doubtful")
+    __slots__ = ("tag", "up", "first", "last", "chars", "tags", "link_chars", "link_tags", "kids", "density", "mark")
 
     def __init__(self, tag: str, up: Node | None, first: int) -> None:
         self.tag, self.up, self.first, self.last = tag, up, first, first
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.kids: list[Node] = []
         self.density = 0.0
-        self.doubtful = False
+        self.mark = 0
 
 
-def noise(attrs: str) -> int:
-    """2 if a class, id or role is a word of NOISE, 1 if only a part of a longer one is ("cookie-notice") or a label's word is, else 0."""
-    found = [(m, w, x[0].lower()) for x in _HINT.findall(attrs) for w in (x[1] or x[2] or x[3]).lower().split() if not _STATE.match(w) for m in [NOISE.search(w)] if m]
-    return max((2 if m[0] == w and kind != "aria-label" else 1 for m, w, kind in found), default=0)
+def noise(tag: str, attrs: str) -> int:
+    """What class, id, role and label of an element say against it."""
+    most = 0
+    for kind, *values in _HINT.findall(attrs):
+        kind = kind.lower()
+        for w in (values[0] or values[1] or values[2]).lower().split():
+            m = NOISE.search(w)
+            if not m or _STATE.match(w):
+                continue
+            whole, clear = m[0] == w, CLEAR.search(w) is not None
+            if tag in TEXTUAL:
+                says = LIKELY if kind == "class" and whole and clear and tag not in HEADINGS else 0
+            elif kind == "aria-label":
+                says = MAYBE
+            elif tag == "section" and kind == "id":
+                says = LIKELY if whole and clear else MAYBE if whole else 0
+            else:
+                says = LIKELY if whole or clear else MAYBE
+            most = max(most, says)
+    return most
 
 
 class _Open:
@@ -87,21 +117,19 @@ class _Open:
         return k if through or not self.scopes or self.scopes[-1] <= k else 0
 
 
-def parse(page: str, by_class: bool = True) -> tuple[Node, list[str | None]]:
+def parse(page: str, by_class: bool = True, by_name: bool = True) -> tuple[Node, list[str | None]]:
     """The DOM without what is left out, and its texts in order; None is a block's edge.
 
-    An element that only a part of a longer class word speaks against stays if it holds most of the text; without by_class no
-    class word says anything. The time is linear in the page's length: a tag with a quote that is open up to the page's end
-    ends at its first ">", and so do all tags after it, whatever their quotes.
+    Without by_class no class word says anything against an element, without by_name no name of a container. The time is linear in the page's length: a tag with a quote that is
+    open up to the page's end ends at its first ">", and so do all tags after it, whatever their quotes.
     """
     root = Node("#", None, 0)
     open_, events, at, links = _Open(root), [], 0, 0
-    out, out_names = [], Counter()  # open elements that are left out
     n, last, quotes = len(page), page.rfind(">"), True
     stack = open_.stack
 
     def text(s: str) -> None:
-        if s and not out:
+        if s:
             events.append(s)
             chars = len(_WHITE.sub("", s))
             stack[-1].chars += chars
@@ -114,6 +142,8 @@ def parse(page: str, by_class: bool = True) -> tuple[Node, list[str | None]]:
             node = open_.pop()
             node.last = len(events)
             links -= node.tag == "a"
+            if node.mark:
+                events.append(None)
 
     while at < n:
         begin = page.find("<", at)
@@ -138,72 +168,83 @@ def parse(page: str, by_class: bool = True) -> tuple[Node, list[str | None]]:
         at = end.end() if end else page.index(">", m.end()) + 1 if m.end() <= last else n
         shut, tag, attrs = m[1], m[2].lower(), page[m.end() : at - 1]
         if shut:
-            if out:
-                if out_names[tag]:
-                    while True:
-                        out_names[gone := out.pop()] -= 1
-                        if gone == tag:
-                            break
-                    if not out:
-                        events.append(None)
-                continue
             if k := open_.find((tag,), tag in BLOCK):
                 close(k)
             if tag in BLOCK:
                 events.append(None)
             continue
+        if tag not in IN_HEAD and (k := open_.find(("head",), True)):
+            close(k)
         if tag in RAW:
             # Up to the last ">", so that the first closing tag that is found also ends.
             end = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.IGNORECASE).search(page, at, last + 1)
             at = end.end() if end else n
             continue
         if tag in VOID:
-            if tag in BLOCK and not out:
+            if tag in BLOCK:
                 events.append(None)
-            if not out:
-                stack[-1].tags += 1
-            continue
-        doubt = 0
-        if not out:
-            doubt = 0 if tag in KEPT else 2 if tag in LEFT_OUT or _HIDDEN.search(attrs) else noise(attrs) if by_class else 0
-        if out or doubt == 2:
-            out.append(tag)
-            out_names[tag] += 1
+            stack[-1].tags += 1
             continue
         if tag in ("html", "body") and open_.at[tag]:
             continue
         if k := open_.find(("p",) if tag in CLOSES_P else SAME.get(tag, ()), False):
             close(k)
-        if tag in BLOCK:
+        mark = 0
+        if tag not in KEPT:
+            mark = CERTAIN if tag in NEVER or _HIDDEN.search(attrs) else LIKELY if tag in NAMED and by_name else noise(tag, attrs) if by_class else 0
+        if tag in BLOCK or mark:
             events.append(None)
         node = Node(tag, stack[-1], len(events))
-        node.doubtful = doubt == 1
+        node.mark = mark
         stack[-1].kids.append(node)
         open_.push(node)
         links += tag == "a"
     close(1)
     root.last = len(events)
-    return _without_doubtful(root, events), events
+    return _weighed(root, events), events
 
 
-def _without_doubtful(root: Node, events: list[str | None]) -> Node:
-    """Takes out the doubtful elements that hold at most half of the text, with their texts; children go with their parents."""
+def _weighed(root: Node, events: list[str | None]) -> Node:
+    """Takes out the elements that what speaks against them weighs more than what they hold, with their texts; children go with their parents.
+
+    What they hold is an article or main element, or blocks of BLOCK_CHARS characters; a form, which may be around a whole page, also another of the page's parts.
+    """
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
         todo += node.kids
-    if not any(x.doubtful for x in order):
+    if not any(x.mark for x in order):
         return root
-    held = {id(x): x.chars for x in order}
+    chars, linked = {id(x): x.chars for x in order}, {id(x): x.link_chars for x in order}
+    own, blocks, article, parts = {id(x): x.chars for x in order}, defaultdict(int), set(), set()
     for x in reversed(order):
+        k, up = id(x), id(x.up)
+        block = x.tag in BLOCK or x.mark
+        blocks[k] += block and own[k] >= BLOCK_CHARS
         if x.up is not None:
-            held[id(x.up)] += held[id(x)]
-    most = held[id(root)] / 2
+            chars[up] += chars[k]
+            linked[up] += linked[k]
+            blocks[up] += blocks[k]
+            own[up] += 0 if block else own[k]
+            if k in article or x.tag in ("article", "main"):
+                article.add(up)
+            if k in parts or x.tag in ("h1", "nav", "header", "footer"):
+                parts.add(up)
+
+    def goes(x: Node) -> bool:
+        k = id(x)
+        if x.mark == CERTAIN or not x.mark:
+            return x.mark == CERTAIN
+        if k in article or x.tag == "form" and (k in parts or blocks[k] > 1):
+            return False
+        return x.mark == LIKELY or not blocks[k] or linked[k] > LINK_SHARE * chars[k]
+
     for x in order:
-        gone = [k for k in x.kids if k.doubtful and held[id(k)] <= most]
+        gone = [k for k in x.kids if k.mark and goes(k)]
         if gone:
-            x.kids = [k for k in x.kids if not k.doubtful or held[id(k)] > most]
+            out = set(map(id, gone))
+            x.kids = [k for k in x.kids if id(k) not in out]
             for k in gone:
                 events[k.first : k.last] = [None] * (k.last - k.first)
     return root
@@ -295,8 +336,8 @@ def decoded(text: str) -> str:
 
 
 def extract(page: str) -> str:
-    """The main text; if class words leave none, the main text without regard to them."""
-    return _extract(*parse(page)) or _extract(*parse(page, by_class=False))
+    """The main text; if what class words and names say leaves none, the main text without regard to the former, then to both."""
+    return _extract(*parse(page)) or _extract(*parse(page, by_class=False)) or _extract(*parse(page, by_class=False, by_name=False))
 
 
 def _extract(root: Node, events: list[str | None]) -> str:
