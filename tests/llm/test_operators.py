@@ -421,6 +421,54 @@ def test_extraction_keeps_all_sections():
     assert extract(f"<html><body><div>{half}</div><div>{half}<p>{para}</p></div>{links}</body></html>") == "\n".join([para] * 11)
 
 
+_TEXT = ("An article sentence that says quite a lot, and then some more. " * 8).strip()
+_PARAS = f"<h1>Title</h1><p>{_TEXT}</p><p>{_TEXT}</p>"
+_WHOLE = "\n".join(["Title", _TEXT, _TEXT])
+_MENU = "<ul>" + "<li><a href=x>a page</a>" * 9 + "</ul>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><form id="aspnetForm" action="x"><nav>{_MENU}</nav><div id=content>{_PARAS}</div><input type=submit></form></body>',
+        f"<body><nav>{_MENU}<article>{_PARAS}</article></body>", f"<body><header><a href=x>Home</a><article>{_PARAS}</article></body>", f"<body><aside>{_MENU}<div>{_PARAS}</div></body>",
+        f"<html><head><title>t</title><meta charset=x><body><article>{_PARAS}</article><footer>{_MENU}</footer>", f"<body><div><aside>{_MENU}</div><div id=c>{_PARAS}</div></body>",
+        f'<body><div id=c>{_PARAS}<div class="newsletter-box"><p>Subscribe to our weekly letter, which has {_TEXT}</p></div></div></body>', f"<body><div>{_PARAS}</div><form><p>Leave a reply</p><label>Your name</label><input></form></body>",
+    ],
+    ids=range(8),
+)
+def test_page_wide_and_unclosed_elements_lose_no_text(page):
+    assert extract(page) == _WHOLE
+
+
+@pytest.mark.parametrize(
+    ("part", "kept"),
+    [
+        (f'<section class="side-effects"><p>{_TEXT}</p></section>', _TEXT), (f'<section id="related"><h2>Related work</h2><p>{_TEXT}</p></section>', f"Related work\n{_TEXT}"), (f'<div class="login-flow"><p>{_TEXT}</p></div>', _TEXT), ('<p class="notice">Take care here.</p>', "Take care here."),
+        ('<h2 id="search">Search</h2><p>Short words on it.</p>', "Search\nShort words on it."), ('<h2 id="navigation">Navigation</h2>', "Navigation"), (f'<div class="related-links">{_MENU}</div>', ""), (f'<div class="comments"><p>{_TEXT}</p></div>', ""), ('<div class="share-bar">Share this</div>', ""), ('<p class="ad">Buy now</p>', ""),
+        (f'<div class="cookie-notice"><p>{_TEXT}</p></div>', ""), (f'<aside class="sidebar"><p>{_TEXT}</p></aside>', ""), ('<div style="display: none"><p>gone</p></div>', ""), ('<div class="side-note">x</div>', ""),
+    ],
+    ids=range(14),
+)
+def test_words_in_class_and_id_are_weighed(part, kept):
+    page = f"<html><body><div>{_MENU}</div><div id=content>{_PARAS}{part}<p>{_TEXT}</p></div></body></html>"
+    assert extract(page) == "\n".join(x for x in (_WHOLE, kept, _TEXT) if x)
+
+
+def test_most_of_the_page_is_decided_by_density(spark, sf):
+    """Without any evidence by class and name, and without article tags, density alone finds the article of most pages."""
+    from pairforge.llm import html as H
+
+    alone = same = 0
+    rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    for r in rows:
+        bare = re.sub(r"<(/?)(?:article|main|nav|footer)\b", r"<\1div", r.html).replace(' class="ad"', "")
+        want, got = extract(r.html), H._extract(*H.parse(bare, by_class=False, by_name=False))
+        alone += want in got
+        same += want == got
+    assert alone >= 0.95 * len(rows), (alone, same, len(rows))
+
+
 def test_class_words_never_leave_a_page_without_text():
     text = ("An article sentence that says quite a lot. " * 8).strip()
     for attrs in ('class="post-side"', 'class="notice-board-story"', 'aria-label="Related work on menus"', 'class="side"', 'id="menu"'):
