@@ -36,8 +36,7 @@ def observed(df: DataFrame, **seen: Column) -> tuple[DataFrame, dict]:
     For rounds: a checkpoint keeps the size that the optimizer guessed for its plan, and such guesses multiply from round to round; a table's size is known.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = scratch(spark, "table")
     told = Observation()
     df.observe(told, F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in seen.items())).write.parquet(path)
     got, out = told.get, spark.read.schema(df.schema).parquet(path)
@@ -48,3 +47,9 @@ def written(df: DataFrame) -> tuple[DataFrame, int]:
     """df as such a table, and its number of rows."""
     out, got = observed(df)
     return out, got["n"]
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"

@@ -8,16 +8,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..kernel import methods as M
-from ..kernel import simulate as Z
 from ..kernel import solver as K
 from ..operators import panel as P
 from ..operators import sampling as X
 from ..operators.lineage import cut
+from ..sources import fixture as fx
+from ..sources.ledger import Ledger
 from .base import PANEL, query
 from .relational import human, llm
 
@@ -111,18 +111,13 @@ def done_cells(rows: DataFrame, only: tuple[str, ...] = M.METHODS) -> DataFrame:
 
 
 def run_cells(make, path: str, only: tuple[str, ...] = M.METHODS) -> int:  # noqa: ANN001
-    """Appends to path the rows of the cells that aren't stored there yet; make(done) gives them. Returns how many rows were added; run again it adds none.
+    """Adds to the ledger at path the rows of the cells that aren't there yet; make(done) gives them. Returns how many rows were added; run again it adds none.
 
-    A cell whose run broke off is stored in part at most and runs again; its rows then differ in nothing but their time.
+    A cell and method is stored by one commit or not at all, whatever breaks off or runs at the same time.
     """
-    spark = SparkSession.getActiveSession()
-    try:
-        stored = spark.read.parquet(path)
-    except AnalysisException:  # nothing is stored yet
-        stored = None
-    rows = cut(make(done_cells(stored, only) if stored is not None else None))
-    rows.write.mode("append").parquet(path)
-    return rows.count()
+    ledger = Ledger(SparkSession.getActiveSession(), path, (*CELL, "method"))
+    stored = ledger.read()
+    return ledger.commit(cut(make(done_cells(stored, only) if stored is not None else None)))
 
 
 class Study:
@@ -241,32 +236,6 @@ def study_splits(spark, sf):
     return d.groupBy("seed").agg(F.count("*").alias("n"), F.count_if("test").alias("n_test"))
 
 
-# -- simulated cells -------------------------------------------------------------------------------------------------
-
-_SIM = {"config": "string", "row": "string", "n_l": "int", "n_h": "int", "sigma_pos": "double", "seed": "int"}
-
-
-def simulated_cells(spark, config: str, seeds: int = 1) -> DataFrame:  # noqa: ANN001
-    """All methods on every cell of a configuration, one task each; nothing but the cells' names is sent."""
-    jobs = [(config, *cell, seed) for cell in Z.cells(config) for seed in range(seeds)]
-    d = _table(spark, jobs, ", ".join(f"{k} {v}" for k, v in _SIM.items()))
-
-    def work(p: pd.DataFrame) -> pd.DataFrame:
-        job = dict(zip(_SIM, p[[*_SIM]].iloc[0], strict=True))
-        try:
-            rows = Z.SimulatedCell(*job.values()).table()
-        except Exception as e:  # noqa: BLE001  a row, not a failed task
-            rows = [{"method": "cell", "error": f"{type(e).__name__}: {e}"[:4000]}]
-        return _frame([job | r for r in rows], [*_SIM, *Z.FIELDS, "seconds_cell"])
-
-    schema = ", ".join(f"`{k}` {v}" for k, v in (_SIM | Z.FIELDS | {"seconds_cell": "double"}).items())
-    return d.repartition(len(jobs), *_SIM).groupBy(*_SIM).applyInPandas(work, schema)
-
-
-for _config in Z.CONFIGS:
-    query(name=f"sim_{_config}")(lambda spark, sf, c=_config: simulated_cells(spark, c))
-
-
 # -- specification test ----------------------------------------------------------------------------------------------
 
 #: Whose labels are tested, and whether the judges' consensus comes from all records or from those alone.
@@ -276,18 +245,20 @@ _SPEC = "setting string, level int, seed int, n_l long, n_h long, n_test long, s
 
 @query(name="study_spectest")
 def study_spectest(spark, sf):
-    """Whether human scores of a subset lie along the judges' consensus, fitted to judgments of all or of the subset's records without those held out; a third of the records stands for one language."""
-    rows, people = cut(llm(spark, sf)), cut(human(spark, sf))
-    english = F.col("record_id") % 3 == 0
+    """Whether human scores of a subset lie along the judges' consensus, fitted to judgments of all or of the subset's records without those held out. A record's language is that of the document it asks about, in turn; none counts as not English."""
+    docs = fx.table(spark, sf, "documents").select("doc_id", F.col("lang").eqNullSafe("en").alias("english"))
+    last = docs.agg(F.max("doc_id").alias("last"))
+    about = lambda df: df.crossJoin(last).join(docs, F.col("doc_id") == F.col("record_id") % (F.col("last") + 1), "left").drop("doc_id", "last").withColumn("english", F.coalesce("english", F.lit(False)))  # noqa: E731  one row
+    rows, people = cut(about(llm(spark, sf))), cut(about(human(spark, sf)))
     sets = _table(spark, [(k, e, own) for k, (e, own) in SETTINGS.items()], "setting string, english boolean, own boolean")
     seeds = F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1))).alias("seed")
-    mine = people.withColumn("english", english).select("*", seeds)
+    mine = people.select("*", seeds)
     placed = X.ranked(mine, F.concat(F.lit("spec"), F.col("seed").cast("string")), ("record_id",), "english", "seed")
     size = mine.groupBy("english", "seed").agg(F.count("*").alias("size"))
     split = cut(placed.join(size, ["english", "seed"]).withColumn("test", F.col("r") <= F.bround(F.col("size") * F_TEST)).drop("r", "size"))
     held = split.where("test").select("record_id", "seed", F.col("english").alias("group"))
     # Judgments of held-out records of the setting's own subset take no part.
-    low = rows.withColumn("own_english", english).select("*", seeds).join(sets, ~F.col("own") | (F.col("own_english") == F.col("english")))
+    low = rows.withColumnRenamed("english", "own_english").select("*", seeds).join(sets, ~F.col("own") | (F.col("own_english") == F.col("english")))
     low = low.join(held.withColumnRenamed("group", "english"), ["record_id", "seed", "english"], "left_anti")
     low = cut(P.counts(low, "setting", "seed", "k", "i", "j", "a"))
     named = split.join(sets.select("setting", "english"), "english")

@@ -4,29 +4,23 @@ from __future__ import annotations
 
 import hashlib
 import json
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import collect as C
-from ..operators.lineage import ensure_checkpoint_dir
+from ..operators.lineage import scratch
 from ..sources import fixture as fx
 from ..sources import results as R
 from .base import RECORDS, query
+from .studies import GRID, results
 
 R9 = lambda c: F.round(c, 9)  # noqa: E731  means of thousandths often lie half-way at six places
 PROMPT = C.check_prompt("p1", "Judge.", "$question / ${assistant_a_label}: $assistant_a_response / $assistant_b_label: $assistant_b_response")
 JUDGES = [{"name": "j1", "model": "m1", "fingerprint": "f1"}, {"name": "j2", "model": "m2", "fingerprint": "f2"}]
 
 
-def scratch(spark, name: str) -> str:  # noqa: ANN001
-    """A new path in the shared folder of checkpoints."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-
-
 def benchmark(spark, sf: str) -> DataFrame:  # noqa: ANN001
     """Records with a prompt and two responses."""
     r = fx.records(spark, sf)
@@ -78,28 +72,30 @@ def collect_run(spark, sf):
     return out.union(failed.groupBy("judge", "condition", "error_category").agg(F.count("*").alias("n")))
 
 
-# Study rows, made up by hash and written as lines of two schemas: odd seeds in the old one.
-_ROWS = """
-cells AS (SELECT s.*, d.seed, m.method FROM (VALUES ('order', 'none', 0.0::DOUBLE), ('order', 'none', 1.0), ('noise', 'anti', 0.0), ('noise', 'anti', 1.0), ('noise', 'position', 1.0), ('noise', 'position', 2.0)) s(sweep, kind, level), range(20) d(seed), (VALUES ('human_only'), ('consensus_cal'), ('joint_mu')) m(method)),
+# The rows of a study over the comparisons (studies.results), written as lines of two schemas: odd seeds in the old one. What a row says beside its measures goes by hash.
+_ROWS = GRID + """,
+cells AS (SELECT s.*, r.seed, m.method, r.excess AS e, r.tau AS t FROM (VALUES ('order', 'none', 0.0::DOUBLE), ('order', 'none', 1.0), ('noise', 'anti', 0.0), ('noise', 'anti', 1.0), ('noise', 'position', 1.0), ('noise', 'position', 2.0)) s(sweep, kind, level),
+  (VALUES ('human_only', 'human_only'), ('consensus_cal', 'pooled'), ('joint_mu', 'weighted')) m(method, of) JOIN results r ON r.sweep = 'order' AND r.panel = 'all' AND r.level = s.level::INT AND r.method = m.of),
 hashed AS (SELECT *, CAST('0x' || substr(md5(sweep || '|' || kind || '|' || level::INT || '|' || seed || '|' || method), 1, 7) AS BIGINT) AS u FROM cells),
-own AS (SELECT sweep, 'all' AS panel, kind, level, -1 AS n_H_level, CAST(seed AS INT) AS seed, method, CASE WHEN u % 17 > 0 THEN (u % 1000) / 1000.0::DOUBLE END AS excess, (u % 7) / 7.0::DOUBLE AS tau, CASE u % 5 WHEN 0 THEN 'Infinity'::DOUBLE WHEN 1 THEN 0 ELSE u % 50 END AS lam,
+own AS (SELECT sweep, 'all' AS panel, kind, level, -1 AS n_H_level, CAST(seed AS INT) AS seed, method, CASE WHEN u % 17 > 0 THEN e END AS excess, t AS tau, CASE u % 5 WHEN 0 THEN 'Infinity'::DOUBLE WHEN 1 THEN 0 ELSE u % 50 END AS lam,
   CASE WHEN u % 5 > 0 THEN (u % 7)::DOUBLE END AS lam_rel, u % 13 = 0 OR (seed % 2 = 0 AND u % 19 = 0) AS failed, u % 13 = 0 AS raised, seed % 2 = 0 AND u % 19 = 0 AS dropped, CASE u % 3 WHEN 0 THEN false WHEN 1 THEN true END AS converged, u % 2 AS n_at_bound, (100 + u % 3)::DOUBLE AS n_h FROM hashed),
 loaded AS (SELECT * FROM own UNION ALL SELECT * REPLACE ('position' AS kind) FROM own WHERE sweep = 'noise' AND level = 0)"""
 
 
-def stored_rows(spark) -> DataFrame:  # noqa: ANN001
+def stored_rows(spark, sf) -> DataFrame:  # noqa: ANN001
     """Writes the lines, bare Infinity and NaN among them, and reads them back."""
-    d = spark.range(20).select(F.col("id").cast("int").alias("seed"))
+    r = results(spark, sf).where("sweep = 'order' and panel = 'all'").select("seed", F.col("level").alias("at"), F.col("method").alias("of"), F.col("excess").alias("e"), F.col("tau").alias("t"))
     cells = [("order", "none", 0), ("order", "none", 1), ("noise", "anti", 0), ("noise", "anti", 1), ("noise", "position", 1), ("noise", "position", 2)]
     at = F.explode(F.array(*(F.struct(F.lit(a).alias("sweep"), F.lit(b).alias("kind"), F.lit(c).alias("level")) for a, b, c in cells))).alias("c")
-    d = d.select("seed", at).select("seed", "c.*", F.explode(F.array(*map(F.lit, ("human_only", "consensus_cal", "joint_mu")))).alias("method"))
+    name = F.when(F.col("of") == "pooled", "consensus_cal").when(F.col("of") == "weighted", "joint_mu").when(F.col("of") == "human_only", F.col("of"))
+    d = r.select("*", at).select("seed", "at", "e", "t", "c.*", name.alias("method")).where("at = level and method is not null")
     d = d.withColumn("u", S.uniform28("sweep", "kind", F.col("level").cast("string"), F.col("seed").cast("string"), "method"))
     u, old = F.col("u"), F.col("seed") % 2 == 1
     word = lambda name, value: F.concat(F.lit(f', "{name}": '), value.cast("string"))
     lam = F.when(u % 5 == 0, "Infinity").when(u % 5 == 1, "0.0").otherwise(F.concat((u % 50).cast("string"), F.lit(".0")))
     line = F.concat(
         F.lit('{"panel": "all", "sweep": "'), F.col("sweep"), F.lit('", "kind": "'), F.col("kind"), F.lit('", "method": "'), F.col("method"), F.lit('"'), word("level", F.col("level").cast("double")), word("seed", F.col("seed")),
-        word("excess", F.when(u % 17 == 0, "NaN").otherwise((u % 1000 / 1000.0).cast("string"))), word("ref_kendall", u % 7 / 7.0), word("lam", lam), word("lam_rel", F.when(u % 5 == 0, "Infinity").otherwise((u % 7).cast("double").cast("string"))),
+        word("excess", F.when(u % 17 == 0, "NaN").otherwise(F.coalesce(F.col("e").cast("string"), F.lit("NaN")))), word("ref_kendall", F.col("t")), word("lam", lam), word("lam_rel", F.when(u % 5 == 0, "Infinity").otherwise((u % 7).cast("double").cast("string"))),
         F.when(u % 13 == 0, ', "error": "x"').otherwise(""), F.when(u % 3 == 2, "").otherwise(word("converged", u % 3 == 1)), word("n_at_bound", u % 2),
         F.when(old, word("n_0", (100 + u % 3).cast("double"))).otherwise(F.concat(word("n_H", (100 + u % 3).cast("double")), F.lit(', "n_H_level": -1'), word("all_dropped", u % 19 == 0))), F.lit("}"),
     )
@@ -110,7 +106,7 @@ def stored_rows(spark) -> DataFrame:  # noqa: ANN001
 
 @query("SELECT sweep, panel, kind, level, n_H_level, seed, method, round(excess, 9) AS excess, lam_rel, failed, n_h AS n_H FROM loaded", _ROWS)
 def study_load(spark, sf):
-    return stored_rows(spark).select("sweep", "panel", "kind", "level", "n_H_level", "seed", "method", R9("excess").alias("excess"), "lam_rel", "failed", "n_H")
+    return stored_rows(spark, sf).select("sweep", "panel", "kind", "level", "n_H_level", "seed", "method", R9("excess").alias("excess"), "lam_rel", "failed", "n_H")
 
 
 _BY = "sweep, panel, kind, level, n_H_level, method"
@@ -125,17 +121,17 @@ _BY = "sweep, panel, kind, level, n_H_level, method"
     _ROWS,
 )
 def study_summary(spark, sf):
-    d = R.summary(stored_rows(spark))
+    d = R.summary(stored_rows(spark, sf))
     keep = ("excess_mean", "excess_se", "n_H_mean", "lam_inf_frac", "lam_zero_frac", "nonconv_frac", "sep_frac", "bsep_frac", "k_dropped_mean", "ho_exists_frac", "d_excess_mean", "d_excess_se")
     return d.select(*R.KEY, "method", "n", "lam_rel_med", "n_failed", *(R9(c).alias(c) for c in keep))
 
 
 @query(f"SELECT {_BY}, count(*) AS seeds, round(avg(excess), 9) AS excess, round(avg(tau), 9) AS tau, round(avg(d1), 9) AS delta_first, round(stddev_samp(d1) / sqrt(count(d1)), 9) AS paired_mcse, round(avg(d2), 9) AS delta_second, round(avg(isinf(lam)::INT), 9) AS infinite_share FROM (SELECT a.*, a.excess - b.excess AS d1, a.excess - c.excess AS d2 FROM loaded a LEFT JOIN (FROM loaded WHERE method = 'joint_mu') b USING (sweep, panel, kind, level, n_H_level, seed) LEFT JOIN (FROM loaded WHERE method = 'consensus_cal') c USING (sweep, panel, kind, level, n_H_level, seed)) GROUP BY ALL", _ROWS)
 def study_paired(spark, sf):
-    d = R.paired_summary(stored_rows(spark))
+    d = R.paired_summary(stored_rows(spark, sf))
     return d.select(*R.KEY, "method", "seeds", *(R9(c).alias(c) for c in ("excess", "tau", "delta_first", "paired_mcse", "delta_second", "infinite_share")))
 
 
 @query("SELECT count(*) AS rows, count(*) FILTER (WHERE raised) AS exception_rows, count(*) FILTER (WHERE NOT converged) AS nonconverged_rows, count(*) FILTER (WHERE dropped) AS all_dropped_rows FROM loaded", _ROWS)
 def study_diag(spark, sf):
-    return R.diagnostics(stored_rows(spark))
+    return R.diagnostics(stored_rows(spark, sf))

@@ -182,31 +182,6 @@ def lambda_grid(spark, sf):
     return ratio.select("l", "h", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("n")).select(F.round(F.exp(F.log(F.lit(0.1)) + F.log(F.lit(100.0)) * F.col("n") / 6.0) * F.col("l") / F.col("h"), 6).alias("lam"))
 
 
-#: A selection path: weight (infinity as null), criterion, regular.
-PATH = [(None, 0.50, True), (10.0, 0.48, True), (1.0, 0.47, True), (0.0, 0.49, True), (3.0, 0.40, False)]
-_PATH = "path(lam, gacv, regular) AS (VALUES " + ", ".join(f"({'NULL::DOUBLE' if a is None else a}, {g}::DOUBLE, {str(r).lower()})" for a, g, r in PATH) + ")"
-
-
-def path(spark):
-    return spark.createDataFrame(PATH, "lam double, gacv double, regular boolean")
-
-
-@query("SELECT lam, gacv FROM path WHERE regular ORDER BY gacv, lam DESC LIMIT 1", _PATH)
-def argmin_gacv(spark, sf):
-    best = path(spark).where("regular").agg(F.min_by(F.struct("lam", "gacv"), F.struct("gacv", -F.col("lam"))).alias("b"))
-    return best.select("b.lam", "b.gacv")
-
-
-@query("SELECT c, CASE WHEN gap <= c / 100 THEN NULL ELSE lam END AS lam, CASE WHEN gap <= c / 100 THEN 'within_margin' ELSE 'finite_gain' END AS reason, round(gap, 6) AS gap FROM (SELECT (SELECT gacv FROM path WHERE lam IS NULL AND regular) - gacv AS gap, lam FROM path WHERE lam IS NOT NULL AND regular ORDER BY gacv, lam DESC LIMIT 1), (VALUES (0.0::DOUBLE), (1.0), (5.0)) t(c)", _PATH)
-def margin_rule(spark, sf):
-    ok = path(spark).where("regular")
-    both = ok.agg(F.min_by(F.struct("lam", "gacv"), F.when(F.col("lam").isNotNull(), F.struct("gacv", -F.col("lam")))).alias("f"), F.max(F.when(F.col("lam").isNull(), F.col("gacv"))).alias("e"), F.count("*").alias("n"))
-    gap = F.col("e") - F.col("f.gacv")
-    d = both.select("*", gap.alias("gap"), F.explode(F.array(F.lit(0.0), F.lit(1.0), F.lit(5.0))).alias("c"))
-    reason = F.when(F.col("n") == 0, "all_irregular_fallback").when(F.col("f").isNull(), "only_endpoint").when(F.col("e").isNull(), "endpoint_irregular").when(F.col("gap") <= F.col("c") / 100, "within_margin").otherwise("finite_gain")
-    return d.select("c", F.when(reason.isin("endpoint_irregular", "finite_gain"), F.col("f.lam")).alias("lam"), reason.alias("reason"), F.round("gap", 6).alias("gap"))
-
-
 @query("SELECT r.k, list_sort(list_distinct(list(r.reason))) AS reasons FROM (SELECT k, CASE WHEN a = 1 THEN 'box_active' ELSE 'not_converged' END AS reason FROM llm) r GROUP BY 1", PANEL)
 def path_reasons(spark, sf):
     return llm(spark, sf).select("k", F.when(F.col("a") == 1, "box_active").otherwise("not_converged").alias("reason")).groupBy("k").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))

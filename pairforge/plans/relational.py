@@ -11,9 +11,9 @@ from ..operators import collect
 from ..operators import metrics, ordered
 from ..operators import panel as P
 from ..operators import sampling as X
-from ..operators.lineage import cut
+from ..operators.lineage import cut, scratch
 from ..sources import fixture as fx
-from ..sources.readers import RESPONSE
+from ..sources.readers import read_responses
 from .base import CANONICAL, JUDGMENTS, MU_SQL, PANEL, RECORDS, query
 
 R6 = lambda c: F.round(c, 6)
@@ -294,17 +294,6 @@ def factors(spark):
     return spark.createDataFrame([(0, 0.7, 0.5), (1, 1.0, -0.5), (2, 1.1, 0.3), (3, 1.2, -0.3)], "k int, gamma double, u double"), spark.createDataFrame([(0, 1.0), (1, 0.5), (2, 1.0), (3, -0.1), (4, -2.4)], "idx int, v double")
 
 
-@query(f"SELECT k, idx, round(gamma * s + u * v, 6) AS score FROM {_GAMMA}, {MU_SQL} JOIN {_V} USING (idx)")
-def score_matrix(spark, sf):
-    g, v = factors(spark)
-    return g.crossJoin(F.broadcast(mu(spark).join(v, "idx"))).select("k", "idx", R6(F.col("gamma") * F.col("s") + F.aggregate(F.zip_with(F.array("u"), F.array("v"), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)).alias("score"))
-
-
-@query(f"SELECT idx, round(1.2::DOUBLE * s + 0.25::DOUBLE * v, 6) AS score FROM {MU_SQL} JOIN {_V} USING (idx)")
-def cal_score(spark, sf):
-    return mu(spark).join(factors(spark)[1], "idx").select("idx", R6(1.2 * F.col("s") + 0.25 * F.col("v")).alias("score"))
-
-
 @query("SELECT event_id, round(value - avg(value) OVER (PARTITION BY event_type), 6) AS centred FROM events")
 def center(spark, sf):
     """By a mean per type that is aggregated first: no type's rows go through one task."""
@@ -555,12 +544,26 @@ def coverage95(spark, sf):
     return estimate(spark, sf).agg(R6(F.avg(F.col("s").between(e - 0.5, e + 0.5).cast("int"))).alias("coverage"), F.count("*").alias("n"))
 
 
-@query("SELECT round(sum(ln(1 + exp(a.s - b.s)) - p0 * (a.s - b.s)) - sum(ln(1 + exp(1.2 * (a.s - b.s))) - p0 * 1.2 * (a.s - b.s)), 6) AS excess FROM (SELECT x.s, x.idx, y.s AS s2, y.idx AS idx2, 1 / (1 + exp(-1.2 * (x.s - y.s))) AS p0 FROM mu x JOIN mu y ON x.idx < y.idx) q JOIN mu a ON a.idx = q.idx JOIN mu b ON b.idx = q.idx2", _SCORED)
+@query(f"SELECT k, idx, round(gamma * e / 1000 + u * v, 6) AS score FROM {_GAMMA}, est JOIN {_V} USING (idx)", _SCORED)
+def score_matrix(spark, sf):
+    """Judges' scores of estimated items: gamma times the common score, and factors."""
+    g, v = factors(spark)
+    d = F.broadcast(g).join(estimate(spark, sf).join(v, "idx"), F.lit(True))  # four judges
+    return d.select("k", "idx", R6(F.col("gamma") * F.col("e") / 1000 + F.aggregate(F.zip_with(F.array("u"), F.array("v"), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)).alias("score"))
+
+
+@query(f"SELECT idx, round(1.2::DOUBLE * e / 1000 + 0.25::DOUBLE * v, 6) AS score FROM est JOIN {_V} USING (idx)", _SCORED)
+def cal_score(spark, sf):
+    return estimate(spark, sf).join(factors(spark)[1], "idx").select("idx", R6(1.2 * F.col("e") / 1000 + 0.25 * F.col("v")).alias("score"))
+
+
+@query("SELECT round(sum(ln(1 + exp(de)) - p0 * de) - sum(ln(1 + exp(1.2 * d)) - p0 * 1.2 * d), 6) AS excess FROM (SELECT a.s - b.s AS d, (a.e - b.e) / 1000 AS de, 1 / (1 + exp(-1.2 * (a.s - b.s))) AS p0 FROM est a JOIN est b ON a.idx < b.idx)", _SCORED)
 def pop_excess(spark, sf):
-    d = F.col("s_1") - F.col("s_2")
+    """Population risk of an estimate above that of the true scores."""
+    d, e = F.col("s_1") - F.col("s_2"), (F.col("e_1") - F.col("e_2")) / 1000
     p0 = S.sigmoid(1.2 * d)
     risk = lambda x: S.softplus(x) - p0 * x
-    return item_pairs(mu(spark).select("idx", "s")).agg(R6(F.sum(risk(d)) - F.sum(risk(1.2 * d))).alias("excess"))
+    return item_pairs(estimate(spark, sf)).agg(R6(F.sum(risk(e)) - F.sum(risk(1.2 * d))).alias("excess"))
 
 
 _EVALUATE = """SELECT round(mse, 6) AS mse, round(spearman, 6) AS spearman, round(ndcg, 6) AS ndcg, round(sign_accuracy, 6) AS sign_accuracy, round(kendall, 6) AS kendall, round(coverage, 6) AS coverage FROM
@@ -629,9 +632,15 @@ def chunk_requests(spark, sf):
     return ordered.greedy_chunks(docs, "lang", "doc_id", 50, 20_000)
 
 
-@query(name="jsonl_scan")
+@query("SELECT record_id::VARCHAR AS id, 'judge_' || judge AS judge, CASE WHEN a_first THEN 'forward' ELSE 'swapped' END AS condition, verdict AS canonical_verdict, CAST(event_id % 5 + 1 AS INT) AS confidence FROM judgments JOIN events ON event_id = record_id WHERE record_id % 97 > 0", JUDGMENTS)
 def jsonl_scan(spark, sf):
-    """The log scan over lines as they lie in a response log, one of them cut off."""
-    line = F.to_json(F.struct(F.col("record_id").cast("string").alias("id"), F.concat(F.lit("judge_"), F.col("judge").cast("string")).alias("judge"), F.col("verdict").alias("canonical_verdict")))
-    lines = fx.judgments(spark, sf).select(F.when(F.col("record_id") % 97 == 0, F.substring(line, 1, 9)).otherwise(line).alias("line"))
-    return lines.select(F.from_json("line", RESPONSE).alias("r")).where("r.id is not null").select("r.id", "r.judge", "r.canonical_verdict")
+    """A log of all responses, written and read as files; every 97th record's lines are torn, as a killed writer leaves them."""
+    rows = fx.judgments(spark, sf).select(
+        F.col("record_id").cast("string").alias("id"), F.concat(F.lit("judge_"), F.col("judge").cast("string")).alias("judge"), F.when(F.col("a_first"), "forward").otherwise("swapped").alias("condition"),
+        F.col("verdict").alias("canonical_verdict"), (F.col("record_id") % 5 + 1).cast("int").alias("confidence"), (F.col("record_id") % 97 == 0).alias("torn"),
+    )
+    line = F.to_json(F.struct("id", "judge", "condition", "canonical_verdict", "confidence"))
+    path = scratch(spark, "responses")
+    rows.select(F.when(F.col("torn"), F.substring(line, 1, 9)).otherwise(line)).write.text(path)
+    # Spark's own reader, as the log may lie in any store; see sources.log for logs that grow by commits.
+    return read_responses(spark, path).select("id", "judge", "condition", "canonical_verdict", "confidence")

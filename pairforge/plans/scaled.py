@@ -10,6 +10,7 @@ from ..functions import verdicts
 from ..operators import ordered as O
 from ..operators import panel as P
 from ..operators import scaling as M
+from ..operators import summary as U
 from ..sources import fixture as fx
 from .base import PANEL, RECORDS, query
 from .relational import human, llm
@@ -169,3 +170,49 @@ def parse_verdict_full(spark, sf):
     from .relational import stub_judge
 
     return stub_judge(spark, sf).groupBy("choice", "confidence").agg(F.count("*").alias("n"))
+
+
+_BIN = "CAST(ceil(ln(o_totalprice) / ln(1.01::DOUBLE / 0.99)) AS BIGINT)"
+_SPREAD = f"b AS (SELECT o_orderpriority, {_BIN} AS bin, count(*) AS n FROM orders GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY o_orderpriority ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY o_orderpriority) AS total FROM b)"
+_AT = "(SELECT 2 / (1.01::DOUBLE / 0.99 + 1) * exp(min(bin) * ln(1.01::DOUBLE / 0.99)) FROM c WHERE c.o_orderpriority = o.o_orderpriority AND seen > floor({0} * (total - 1)))"
+
+
+@query(f"SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS sd, min(o_totalprice) AS least, max(o_totalprice) AS most, min_by(o_totalprice, (o_orderdate, o_totalprice)) AS first, round({_AT.format(0.5)}, 4) AS q50, round({_AT.format(0.9)}, 4) AS q90 FROM orders o GROUP BY 1", _SPREAD)
+def price_summary(spark, sf):
+    """Prices by priority, from the states of each year's orders, merged as if each had come as a file of its own."""
+    orders = fx.table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
+    states = U.summarize(orders, "o_totalprice", "o_orderdate", ("year", "o_orderpriority"))
+    d = U.finish(U.merge(states, ("o_orderpriority",)), ("o_orderpriority",))
+    return d.select("o_orderpriority", "n", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"), "least", "most", "first", F.round("q50", 4).alias("q50"), F.round("q90", 4).alias("q90"))
+
+
+_PROFILE = PANEL + """,
+kept AS (SELECT c.*, k FROM canon c JOIN judges USING (judge)), cell AS (SELECT count(*) AS n FROM llm GROUP BY k, i, j), rate AS (SELECT avg(judge_tie::INT) AS r FROM kept GROUP BY judge)"""
+
+
+@query("""SELECT (SELECT count(*) FROM records) AS records, (SELECT count(*) FROM items) AS n_items, (SELECT count(*) FROM judges) AS n_judges, (SELECT count(DISTINCT item_i || '|' || item_j) FROM records) AS pairs_observed, (SELECT count(*) * (count(*) - 1) // 2 FROM items) AS pairs_possible,
+  (SELECT count(*) FILTER (WHERE winner = 'model_a') FROM records) AS label_a, (SELECT count(*) FILTER (WHERE winner = 'model_b') FROM records) AS label_b, (SELECT count(*) FILTER (WHERE winner = 'tie') FROM records) AS label_tie, (SELECT count(*) FILTER (WHERE winner = 'both_bad') FROM records) AS label_both_bad, (SELECT count(*) FROM human) AS decisive,
+  (SELECT count(*) FROM kept) AS judgments, (SELECT count(*) FILTER (WHERE judge_tie) FROM kept) AS ties, (SELECT count(*) FROM llm) AS n_l, (SELECT count(*) FILTER (WHERE a = 1) FROM llm) AS order_plus, (SELECT count(*) FILTER (WHERE a = -1) FROM llm) AS order_minus,
+  (SELECT count(*) FROM cell) AS cells_observed, (SELECT count(*) FROM judges) * (SELECT count(*) * (count(*) - 1) // 2 FROM items) AS cells_possible, (SELECT min(n) FROM cell) AS cell_min, (SELECT round(avg(n), 6) FROM cell) AS cell_mean, (SELECT max(n) FROM cell) AS cell_max,
+  (SELECT round(min(r), 6) FROM rate) AS tie_rate_min, (SELECT round(max(r), 6) FROM rate) AS tie_rate_max, (SELECT string_agg(item, ', ' ORDER BY item) FROM items) AS items""", _PROFILE)
+def dataset_profile(spark, sf):
+    """All measures of a dataset: records and judgments are counted once by judge, pair and order; the rest is worked out from those counts."""
+    from .relational import canon
+
+    r = fx.records(spark, sf).groupBy("item_i", "item_j").agg(F.count("*").alias("n"), *(F.count_if(F.col("winner") == w).alias(w) for w in ("model_a", "model_b", "tie", "both_bad")))
+    r = r.agg(*(F.sum(c).alias(c) for c in ("n", "model_a", "model_b", "tie", "both_bad")), F.count("*").alias("pairs"), F.collect_set("item_i").alias("x"), F.collect_set("item_j").alias("y"))
+    items = F.array_sort(F.array_union("x", "y"))
+    possible = F.expr("n_items * (n_items - 1) div 2")
+    r = r.withColumn("names", items).withColumn("n_items", F.size("names").cast("long"))
+    c = canon(spark, sf)
+    judges = P.panel_judges(c).select("judge")
+    cell = c.join(judges, "judge").groupBy("judge", "item_i", "item_j").agg(F.count("*").alias("all"), F.count_if("judge_tie").alias("ties"), F.count_if(~F.col("judge_tie") & (F.col("display_order") == 1)).alias("plus"), F.count_if(~F.col("judge_tie") & (F.col("display_order") == -1)).alias("minus"))
+    seen = F.when(F.col("plus") + F.col("minus") > 0, F.col("plus") + F.col("minus"))
+    by_judge = cell.groupBy("judge").agg(*(F.sum(x).alias(x) for x in ("all", "ties", "plus", "minus")), F.count(seen).alias("cells"), F.min(seen).alias("low"), F.max(seen).alias("high"))
+    rate = F.col("ties") / F.col("all")
+    k = by_judge.agg(F.count("*").alias("n_judges"), *(F.sum(x).alias(x) for x in ("all", "ties", "plus", "minus", "cells")), F.min("low").alias("low"), F.max("high").alias("high"), F.min(rate).alias("t0"), F.max(rate).alias("t1")).withColumnsRenamed({"ties": "judge_ties"})
+    return r.crossJoin(k).select(  # one row each
+        F.col("n").alias("records"), "n_items", "n_judges", F.col("pairs").alias("pairs_observed"), possible.alias("pairs_possible"), F.col("model_a").alias("label_a"), F.col("model_b").alias("label_b"), F.col("tie").alias("label_tie"), F.col("both_bad").alias("label_both_bad"),
+        (F.col("model_a") + F.col("model_b")).alias("decisive"), F.col("all").alias("judgments"), F.col("judge_ties").alias("ties"), (F.col("plus") + F.col("minus")).alias("n_l"), F.col("plus").alias("order_plus"), F.col("minus").alias("order_minus"), F.col("cells").alias("cells_observed"),
+        (F.col("n_judges") * possible).alias("cells_possible"), F.col("low").alias("cell_min"), F.round((F.col("plus") + F.col("minus")) / F.col("cells"), 6).alias("cell_mean"), F.col("high").alias("cell_max"), F.round("t0", 6).alias("tie_rate_min"), F.round("t1", 6).alias("tie_rate_max"), F.array_join("names", ", ").alias("items"),
+    )

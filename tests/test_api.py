@@ -7,7 +7,7 @@ import pytest
 
 import pairforge as pf
 from pairforge.kernel import solver as K
-from pairforge.plans import studies
+from . import truths
 
 
 @pytest.fixture(scope="module")
@@ -15,8 +15,8 @@ def tables(spark):
     """Two cells of known truth; pairs in either order, judges and items with names, a cell without human rows."""
     rows, people = [], []
     for cell in (1, 2):
-        p = studies.draw_params(cell)
-        c, (i, j, n, y) = studies.draw_counts(p, cell, 60), studies.draw_human(p, cell, 900)
+        p = truths.draw_params(cell)
+        c, (i, j, n, y) = truths.draw_counts(p, cell, 60), truths.draw_human(p, cell, 900)
         for k, a, b, o, m, w in zip(c.k, c.i, c.j, c.a, c.n, c.y, strict=True):
             rows.append((cell, f"judge {k}", f"item {a}", f"item {b}", float(w), float(o), float(m)) if (a + b) % 2 else (cell, f"judge {k}", f"item {b}", f"item {a}", float(m - w), float(-o), float(m)))
         people += [(cell, f"item {a}", f"item {b}", float(w), float(m)) for a, b, m, w in zip(i, j, n, y, strict=True) if m]
@@ -31,8 +31,8 @@ def _scores(df, cell):
 
 def test_scores_by_cell_are_those_of_the_kernel(tables):
     llm, human = tables
-    p = studies.draw_params(2)
-    c, pairs = studies.draw_counts(p, 2, 60), studies.draw_human(p, 2, 900)
+    p = truths.draw_params(2)
+    c, pairs = truths.draw_counts(p, 2, 60), truths.draw_human(p, 2, 900)
     base = K.structured(c, 1)
     want = {
         "human": K.btl(*pairs, c.N)[0], "pooled": K.calibrate(K.btl(c.i, c.j, c.n, c.y, c.N)[0][:, None], *pairs)["s"], "consensus": K.staged(base, *pairs, "mu")["s"], "staged": K.staged(base, *pairs, "W")["s"],

@@ -10,6 +10,7 @@ from pairforge.operators import ordered
 from pairforge.plans import cells, collection
 from pairforge.sources import config as G
 from pairforge.sources import results as R
+from pairforge.sources.ledger import Ledger
 
 TEMPLATE = "$question $assistant_a_label $assistant_a_response ${assistant_b_label} $assistant_b_response for $$5"
 RECORD = "id string, evaluation_session_id string, evaluation_order int, model_a string, model_b string, winner string, prompt string, response_a string, response_b string, prompts_match boolean"
@@ -151,6 +152,6 @@ def test_cells_resume(spark, sf, tmp_path):
     one = lambda done: s.run("order", rows.where("level = 1"), only=only, done=done)
     both = lambda done: s.run("order", rows, only=only, done=done)
     assert [cells.run_cells(f, path, only) for f in (one, both, both)] == [2, 2, 0]
-    stored = spark.read.parquet(path)
+    stored = Ledger(spark, path, ()).read()
     assert stored.select("level", "method").distinct().count() == 4 == stored.count() and stored.where("error is not null").count() == 0
     assert cells.run_cells(lambda done: s.run("order", rows, only=("human_only", "pooled_cal"), done=done), path, ("human_only", "pooled_cal")) == 4

@@ -8,11 +8,13 @@ import pytest
 from pairforge.kernel import solver as K
 from pairforge.plans import studies
 
+from . import truths
+
 
 @pytest.fixture(scope="module")
 def cell():
-    p = studies.draw_params(3)
-    return p, studies.draw_counts(p, 3, 400), studies.draw_human(p, 3, 3000)
+    p = truths.draw_params(3)
+    return p, truths.draw_counts(p, 3, 400), truths.draw_human(p, 3, 3000)
 
 
 def test_chart_derivatives(cell):
@@ -220,36 +222,11 @@ def test_sandwich_targets_and_the_bias_operator(cell):
         K.llm_sandwich(K.structured(c, 1, order=False), c)
 
 
-def test_simulated_truths_keep_their_conditions():
-    from pairforge.kernel import simulate as Z
-
-    for law in (Z.study_truth, Z.dirichlet_truth):
-        for r in (0, 1, 2):
-            t = law(8, 4, r, np.random.default_rng(3))
-            assert abs(t["mu"].sum()) < 1e-9 and abs(t["gamma"].sum() - 4) < 1e-9 and np.abs(t["U"].sum(0)).max(initial=0) < 1e-9 and np.abs(t["V"].sum(0)).max(initial=0) < 1e-9 and np.abs(t["mu"] @ t["V"]).max(initial=0) < 1e-9
-    t = Z.study_truth(8, 4, 2, np.random.default_rng(3))
-    assert np.allclose(t["V"].T @ t["V"], 8 * np.eye(2)) and abs(t["mu"] @ t["mu"] - 8) < 1e-9 and t["b"][-1] == 0.05 and (np.abs(t["b"][:-1]) >= 0.3).all()
-    c = Z.draw_judges(t, 40_000, np.random.default_rng(1), swap=0.25, sigma_pos=0.5)
-    assert c.total == 40_000 and abs(c.n[c.a < 0].sum() / c.total - 0.25) < 0.01 and (c.i < c.j).all() and (c.y <= c.n).all()
-    with pytest.raises(ValueError):
-        Z.study_truth(4, 4, 3, np.random.default_rng(1))
-
-
-def test_a_simulated_cell_has_all_methods():
-    from pairforge.kernel import simulate as Z
-
-    rows = {r["method"]: r for r in Z.SimulatedCell("base10", "n_h", 20000, 400, 0.0, 1).table()}
-    assert set(rows) == set(Z.METHODS) and not any(r["error"] for r in rows.values())
-    assert rows["joint_mu"]["excess"] < rows["human_only"]["excess"] and rows["joint_nopos"]["b_is_zero"] and rows["mle_mu"]["cov_s"] > 0.8 and rows["mle_mu"]["cov_s_widened"] >= rows["mle_mu"]["cov_s"]
-    assert rows["oracle_mu"]["excess"] <= rows["joint_mu"]["excess"] + 1e-12 and rows["mle_mu"]["b_rmse"] < 0.1 < rows["pooled_cal"]["b_rmse"]
-    assert sum(len(Z.cells(c)) for c in Z.CONFIGS) == 38
-
-
 def test_a_study_cell_has_all_methods(cell, monkeypatch):
     from pairforge.kernel import methods as M
 
     p, c, pairs = cell
-    test = studies.draw_human(p, 9, 2000)
+    test = truths.draw_human(p, 9, 2000)
     rows = {r["method"]: r for r in M.Cell(c, pairs, test).table()}
     assert set(M.METHODS) <= set(rows) and len(rows) == 15 and not any(r["error"] for r in rows.values())
     assert all(r["excess"] > 0 for r in rows.values()) and rows["oracle_test"]["logloss"] <= rows["joint_mu"]["logloss"] and rows["joint_rank"]["r_sel"] in (0, 1, 2) and rows["consensus_cal"]["is_anchor"]
