@@ -137,8 +137,8 @@ def test_settings(spark, tmp_path):
         G.check_dataset(spark, str(tmp_path / "t"), sha256="0" + known["sha256"][1:] if known["sha256"][0] != "0" else "1")
 
 
-def test_stored_rows_are_summarised_and_written(spark, tmp_path):
-    rows = collection.stored_rows(spark)
+def test_stored_rows_are_summarised_and_written(spark, sf, tmp_path):
+    rows = collection.stored_rows(spark, sf)
     R.write_csv(R.summary(rows), str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 21
     R.write_json(R.diagnostics(rows), str(tmp_path / "json"))
@@ -154,4 +154,4 @@ def test_cells_resume(spark, sf, tmp_path):
     assert [cells.run_cells(f, path, only) for f in (one, both, both)] == [2, 2, 0]
     stored = Ledger(spark, path, ()).read()
     assert stored.select("level", "method").distinct().count() == 4 == stored.count() and stored.where("error is not null").count() == 0
-    assert cells.run_cells(lambda done: s.run("order", rows, only=("human_only", "pooled_cal"), done=done), path, ("human_only", "pooled_cal")) == 4
+    assert cells.run_cells(lambda done: s.run("order", rows, only=("human_only", "pooled_cal"), done=done), path, ("human_only", "pooled_cal")) == 2  # one row of a key: human_only is there already

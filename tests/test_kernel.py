@@ -97,7 +97,7 @@ def test_a_failing_method_is_a_row(cell, monkeypatch):
 
 def test_selection_gives_its_reasons(monkeypatch):
     from pairforge.plans import estimation as E
-    from pairforge.plans.studies import draw_counts, draw_human, draw_params
+    from .truths import draw_counts, draw_human, draw_params
 
     p = draw_params(3)
     c, (i, j, n, y) = draw_counts(p, 3, 20), draw_human(p, 3, 300)
