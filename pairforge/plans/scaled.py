@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import verdicts
+from ..operators import factors
 from ..operators import ordered as O
 from ..operators import panel as P
 from ..operators import scaling as M
@@ -216,3 +217,12 @@ def dataset_profile(spark, sf):
         (F.col("model_a") + F.col("model_b")).alias("decisive"), F.col("all").alias("judgments"), F.col("judge_ties").alias("ties"), (F.col("plus") + F.col("minus")).alias("n_l"), F.col("plus").alias("order_plus"), F.col("minus").alias("order_minus"), F.col("cells").alias("cells_observed"),
         (F.col("n_judges") * possible).alias("cells_possible"), F.col("low").alias("cell_min"), F.round((F.col("plus") + F.col("minus")) / F.col("cells"), 6).alias("cell_mean"), F.col("high").alias("cell_max"), F.round("t0", 6).alias("tie_rate_min"), F.round("t1", 6).alias("tie_rate_max"), F.array_join("names", ", ").alias("items"),
     )
+
+
+@query(name="factor_scores")
+def factor_scores(spark, sf):
+    """Every judge's scores and position effect under one common factor, by alternation over judges and items."""
+    rows = P.counts(llm(spark, sf), "k", "i", "j", "a").select(F.col("k").alias("judge"), F.col("i").alias("item_i"), F.col("j").alias("item_j"), "a", "n", (F.col("y2") / 2).alias("y"))
+    judges, items, _ = factors.factor_model(rows, 1, tol=1e-8)
+    d = judges.join(F.broadcast(items), F.lit(True))  # a score for each judge and item is what is asked for
+    return named(d.select("judge", "item", (F.col("gamma") * F.col("mu") + F.col("u")[0] * F.col("v")[0]).alias("score"), "b"), spark, sf).select("judge", "item", "score", "b")
