@@ -23,8 +23,9 @@ BOUND = 30.0
 
 def sides(pairs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Each pair from both sides: (keys..., s, o, n, w), w of n won by s."""
-    one = pairs.select(*keys, F.col("item_i").alias("s"), F.col("item_j").alias("o"), F.col("n").cast("double").alias("n"), F.col("y").cast("double").alias("w"))
-    both = one.union(one.select(*keys, F.col("o").alias("s"), F.col("s").alias("o"), "n", F.col("n") - F.col("w")))
+    i, j, n, y = F.col("item_i"), F.col("item_j"), F.col("n").cast("double"), F.col("y").cast("double")
+    end = lambda a, b, w: F.struct(a.alias("s"), b.alias("o"), n.alias("n"), w.alias("w"))
+    both = pairs.select(*keys, F.inline(F.array(end(i, j, y), end(j, i, n - y))))  # in one reading of pairs
     return both.where("n > 0 and s <> o").groupBy(*keys, "s", "o").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
 
 

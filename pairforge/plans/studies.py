@@ -65,7 +65,7 @@ def _held(spark, sf) -> DataFrame:
 
 def odds(spark, sf, people: DataFrame) -> DataFrame:
     """(job, item, hn, ln, h, l): comparisons and log odds of wins of each item, by humans and by judges, without the job's fold. Rows are counted by fold before they meet the jobs."""
-    jobs = job_table(spark, sf)
+    jobs = cut(job_table(spark, sf))
     judges = llm(spark, sf).select((F.col("record_id") % 20).cast("int").alias("fold"), "k", "a", "i", "j", "y2").groupBy("fold", "k", "a", "i", "j").agg(F.count("*").cast("double").alias("n"), (F.sum("y2") / 2.0).alias("w"))
 
     def side(counts: DataFrame, rule: Column, name: str) -> DataFrame:
@@ -96,7 +96,7 @@ def _loss() -> Column:
 
 def results(spark, sf) -> DataFrame:
     """Result rows of the study, one per job and method: loss above even odds and sign agreement on the held-out fold."""
-    people = _held(spark, sf)
+    people = cut(_held(spark, sf))
     d = cut(odds(spark, sf, people))
     h, l, hn, ln = (F.col(c) for c in ("h", "l", "hn", "ln"))
     s = F.when(F.col("method") == "human_only", h).when(F.col("method") == "pooled", l).when(F.col("method") == "mean", (h + l) / 2).otherwise((hn * h + ln * l) / F.greatest(hn + ln, F.lit(1.0)))
@@ -112,7 +112,7 @@ def results(spark, sf) -> DataFrame:
 
 def weight_path(spark, sf) -> DataFrame:
     """(lam, gacv, regular): mean held-out loss of the humans' scores with lam times the judges' (none: the judges' alone), with few human rows."""
-    people = _held(spark, sf)
+    people = cut(_held(spark, sf))
     d = odds(spark, sf, people).where("sweep = 'budget' and panel = 'all' and level = 1").select(*_JOB, "item", "h", "l", F.explode(F.array(*map(F.lit, WEIGHTS))).alias("lam"))
     s = F.when(F.col("lam").isNull(), F.col("l")).otherwise((F.col("h") + F.col("lam") * F.col("l")) / (1 + F.col("lam")))
     d = cut(d.withColumn("s", s).withColumn("at", F.coalesce("lam", F.lit(-1.0))))
