@@ -32,6 +32,6 @@ def most_broadcast(df) -> int:
     return most
 
 
-@pytest.mark.parametrize("rows", [P.llm_rows, P.human_rows])
+@pytest.mark.parametrize("rows", [P.llm_rows, P.human_rows, lambda c: P.drop_empty(P.llm_rows(c).where("k in (1, 3)"))])
 def test_rows_meet_dimensions(canon, rows):
     assert 0 < most_broadcast(rows(canon)) <= len(NAMES)
