@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pairforge.operators import panel as P
 from pairforge.operators.lineage import cut
+from pairforge.plans import studies
 
 NAMES = "abcde"
 
@@ -35,3 +36,17 @@ def most_broadcast(df) -> int:
 @pytest.mark.parametrize("rows", [P.llm_rows, P.human_rows, lambda c: P.drop_empty(P.llm_rows(c).where("k in (1, 3)"))])
 def test_rows_meet_dimensions(canon, rows):
     assert 0 < most_broadcast(rows(canon)) <= len(NAMES)
+
+
+def test_sweep_reads_people_once(spark, sf, monkeypatch):
+    """A draw for each seed and budget comes from one table of human rows, not from one of its own; the draws are those of X.draw."""
+    people, asked, seen = studies.human(spark, sf), [], {}
+    monkeypatch.setattr(studies, "human", lambda *a: asked.append(a) or people)
+    monkeypatch.setattr(studies, "run_methods", lambda c, i, j, n, y, truth: [("n", float(n.sum()), float(y.sum()), None, None)])
+    for r in studies.sweep(spark, sf, studies.llm(spark, sf), (50, -1)).collect():
+        seen[r.level, r.seed] = (r.excess, r.accuracy)
+    assert len(asked) == 1
+    for (level, seed), (n, y) in seen.items():
+        drawn = studies.X.draw(people, int(level), f"h{seed}", "record_id").agg(F.count("*"), F.sum("y2") / 2).first()
+        assert tuple(drawn) == (n, y)
+    assert len(seen) == 4
