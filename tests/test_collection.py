@@ -155,3 +155,17 @@ def test_cells_resume(spark, sf, tmp_path):
     stored = Ledger(spark, path, ()).read()
     assert stored.select("level", "method").distinct().count() == 4 == stored.count() and stored.where("error is not null").count() == 0
     assert cells.run_cells(lambda done: s.run("order", rows, only=("human_only", "pooled_cal"), done=done), path, ("human_only", "pooled_cal")) == 2  # one row of a key: human_only is there already
+
+
+def test_runner_leaves_only_what_is_stored(spark, tmp_path):
+    """Answers are stored compressed, and the table that both sinks are written from is gone."""
+    from pathlib import Path
+
+    from pairforge.operators.lineage import scratch
+
+    jobs = C.build_jobs(records(spark, *[{"prompt": f"q{k}"} for k in range(12)]), [{"name": "j", "model": "m", "fingerprint": "f"}], C.check_prompt("p", "sys", TEMPLATE))
+    top = Path(scratch(spark, "x").removeprefix("file:")).parent
+    before = set(top.iterdir())
+    assert C.run_collection(jobs, spark.createDataFrame([], "request_key string"), lambda *a: "a 5", str(tmp_path / "good"), str(tmp_path / "bad"))[1] == 0
+    assert set(top.iterdir()) == before
+    assert all(p.suffix == ".gz" for p in (tmp_path / "good").glob("part-*"))
