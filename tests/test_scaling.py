@@ -129,3 +129,21 @@ def test_no_step_gathers_a_cell(spark):
     assert "InPandas" not in sides._jdf.queryExecution().executedPlan().toString()
     edges = M.weighted(df, M.bradley_terry(df, ("cell",)), ("cell",))
     assert edges.select(F.sum("w")).first()[0] > 0
+
+
+@pytest.mark.parametrize("rows", [0, 250_000])
+def test_rounds_leave_their_last_tables(spark, monkeypatch, rows):
+    """Rounds delete the tables that nothing reads any more; scores are the same whether edges are dealt out or not."""
+    from pathlib import Path
+
+    from pairforge.operators.lineage import scratch
+
+    monkeypatch.setattr(M, "ROWS", rows)
+    pairs = spark.createDataFrame([(0, 1, 10, 7.0), (1, 2, 8, 5.0), (0, 2, 6, 3.0), (2, 3, 9, 2.0)], "item_i long, item_j long, n long, y double")
+    top = Path(scratch(spark, "x").removeprefix("file:")).parent
+    before = set(top.glob("table-*"))
+    got = {r.item: r.score for r in M.bradley_terry(pairs).collect()}
+    assert len(set(top.glob("table-*")) - before) == (2 if rows else 1)
+    for item, wins in {0: 10.0, 1: 8.0, 2: 8.0, 3: 7.0}.items():  # at the maximum the expected wins are those seen
+        fit = sum(n / (1 + np.exp(got[b] - got[a])) for i, j, n, _ in pairs.collect() for a, b in ((i, j), (j, i)) if a == item)
+        assert fit == pytest.approx(wins, abs=1e-5)
