@@ -147,3 +147,21 @@ def test_rounds_leave_their_last_tables(spark, monkeypatch, rows):
     for item, wins in {0: 10.0, 1: 8.0, 2: 8.0, 3: 7.0}.items():  # at the maximum the expected wins are those seen
         fit = sum(n / (1 + np.exp(got[b] - got[a])) for i, j, n, _ in pairs.collect() for a, b in ((i, j), (j, i)) if a == item)
         assert fit == pytest.approx(wins, abs=1e-5)
+
+
+@pytest.mark.parametrize("rows", [0, 250_000])
+def test_iterations_leave_what_results_read(spark, monkeypatch, rows):
+    """Of conjugate gradients the tables with solved targets stay, and the edges if they aren't dealt out; the solution is the same."""
+    from pathlib import Path
+
+    from pairforge.operators.lineage import scratch
+
+    monkeypatch.setattr(M, "ROWS", rows)
+    w = np.array([[0, 2, 1, 0], [2, 0, 3, 0], [1, 3, 0, 4], [0, 0, 4, 0]], float)
+    edges = spark.createDataFrame([(a, b, float(w[a, b])) for a in range(4) for b in range(4) if w[a, b]], "s int, o int, w double")
+    top = Path(scratch(spark, "x").removeprefix("file:")).parent
+    before = set(top.glob("table-*"))
+    out = M.laplacian_solve(edges, spark.createDataFrame([("t", 0, 1.0), ("t", 3, -1.0)], "target string, item int, b double"))
+    got = {r.item: r.x for r in out.collect()}
+    assert len(set(top.glob("table-*")) - before) == (2 if rows else 1)
+    assert [got[k] for k in range(4)] == pytest.approx((np.linalg.pinv(np.diag(w.sum(0)) - w) @ [1, 0, 0, -1]).tolist(), abs=1e-8)
